@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,16 +46,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_columns(df: DataFrame, fn: Callable[..., tuple], schema: str, *, rows: int = 2048) -> DataFrame:
+def map_columns(df: DataFrame, fn: Callable[..., tuple], schema: str | StructType, *, rows: int = 2048) -> DataFrame:
     """``fn`` gets the columns of some rows as lists and returns the result's columns.
 
     Batches are cut to ``rows`` rows, so that memory in a worker follows the
     longest texts of a few rows and not those of a whole partition.
     """
-    arrow = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = to_arrow_schema(arrow)
+    out = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
