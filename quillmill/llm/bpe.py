@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 NONE = 1 << 30
 #: Pre-tokens that a worker remembers at most; then it starts anew.
@@ -225,7 +226,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
         data = f.read()
     shipped, digest = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
     rest = [c for c in docs.columns if c not in (text, out)]
-    schema = docs.select(*rest).schema.add(out, "array<int>")
+    schema = docs.select(*rest).schema.add(out, ArrayType(IntegerType()))
     kept = docs.select(text, *rest) if text not in rest else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,7 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", out: str = "byt
         data = f.read()
     shipped, digest = tokens.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
     rest = [c for c in tokens.columns if c not in (ids, out)]
-    schema = tokens.select(*rest).schema.add(out, "binary")
+    schema = tokens.select(*rest).schema.add(out, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _vocabulary(digest, shipped).tokens
