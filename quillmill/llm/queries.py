@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import token_report
 from .common import read
+from .fingerprint import edit_report
+from .licenses import license_report
 from .secrets import secret_report
+from .shards import shard_documents
 from .simhash import near_duplicates
 
 
@@ -21,6 +24,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(read(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
 
@@ -29,10 +36,21 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(read(spark, sf_dir, "documents"))
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_fingerprints": op2_fingerprints,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
+    "op8_licenses": op8_licenses,
+    "op9_shards": op9_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
