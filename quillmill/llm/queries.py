@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import token_report
 from .common import read
+from .decontaminate import contaminated_pairs
 from .fingerprint import edit_report
 from .licenses import license_report
 from .secrets import secret_report
 from .shards import shard_documents
+from .warc import archive_report
 from .simhash import near_duplicates
 
 
@@ -28,6 +30,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(read(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(read(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(read(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
 
@@ -44,13 +50,29 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
+    "op5_warc": op5_warc,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
     "op8_licenses": op8_licenses,
     "op9_shards": op9_shards,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+        d as (select page_id, octet_length(payload) as n, sha256(payload) as digest from p),
+        f as (select *, min(page_id) over (partition by digest) as first_id from d)
+        select page_id, n::bigint as payload_bytes, digest as payload_digest,
+               case when n >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+               case when n >= 100 and page_id <> first_id then first_id end as refers_to
+        from f
+    """,
+}
