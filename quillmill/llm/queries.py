@@ -12,8 +12,10 @@ from .common import read
 from .decontaminate import contaminated_pairs
 from .fingerprint import edit_report
 from .licenses import license_report
+from .quality import quality_report
 from .secrets import secret_report
 from .shards import shard_documents
+from .toxicity import toxicity_report
 from .warc import archive_report
 from .simhash import near_duplicates
 
@@ -30,6 +32,14 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(read(spark, sf_dir, "pages"))
 
@@ -57,6 +67,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
