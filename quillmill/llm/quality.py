@@ -62,10 +62,10 @@ class Rule:
             held &= (x[:, k] > t) == above
         return held
 
-    def column(self, names: list[str]) -> Column:
+    def column(self, values: list[Column]) -> Column:
         held = F.lit(True)
         for k, above, t in self.terms:
-            held = held & ((F.col(names[k]) > t) if above else (F.col(names[k]) <= t))
+            held = held & ((values[k] > t) if above else (values[k] <= t))
         return held
 
 
@@ -81,12 +81,18 @@ class Ensemble:
             raw += w * rule.holds(x)
         return 1 / (1 + np.exp(-raw))
 
-    def column(self) -> Column:
-        """The score over columns named as the statistics."""
-        raw = F.lit(self.bias)
-        for rule, w in self.rules:
-            raw = raw + F.when(rule.column(self.names), F.lit(w)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-raw))
+    def column(self, text: Column) -> Column:
+        """The score of a text. The statistics are bound to a variable, so each is computed once however many rules read it."""
+        own = statistics(text)
+
+        def scored(s: Column) -> Column:
+            values = [s[n] for n in self.names]
+            raw = F.lit(self.bias)
+            for rule, w in self.rules:
+                raw = raw + F.when(rule.column(values), F.lit(w)).otherwise(F.lit(0.0))
+            return 1 / (1 + F.exp(-raw))
+
+        return F.get(F.transform(F.array(F.struct(*(own[n].alias(n) for n in self.names))), scored), F.lit(0))
 
 
 def _simple(terms: list[tuple[int, bool, float]]) -> Rule:
@@ -193,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 def score_documents(docs: DataFrame, ensemble: Ensemble) -> DataFrame:
     """doc_id and score of every row of ``docs``; null counts as empty. Scores depend on the text alone."""
-    return with_statistics(docs).select("doc_id", "s.*").select("doc_id", ensemble.column().alias("score"))
+    return docs.select("doc_id", ensemble.column(F.col("text")).alias("score"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,11 +211,6 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` that score at least ``cut``, with their columns.
 
-    Labels teach by the ids in ``docs``. Names of columns don't matter, as statistics
-    are in one struct, whose name is free in ``docs``.
+    Labels teach by the ids in ``docs``; of its columns only doc_id and text are read.
     """
-    ensemble = train(docs, labels)
-    own = next(f"s{k}" for k in range(len(docs.columns) + 1) if f"s{k}" not in docs.columns)
-    stats = F.struct(*(c.alias(n) for n, c in statistics(F.col("text")).items()))
-    inner = Ensemble([f"{own}.{n}" for n in ensemble.names], ensemble.bias, ensemble.rules)
-    return docs.withColumn(own, stats).where(inner.column() >= cut).select(*docs.columns)
+    return docs.where(train(docs, labels).column(F.col("text")) >= cut)
