@@ -23,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
+from .common import bound_batches
+
 NONE = 1 << 30
 #: Pre-tokens that a worker remembers at most; then it starts anew.
 REMEMBERED = 400_000
 #: Characters of the texts that are encoded together, but for a longer single text.
-TOGETHER = 8_000_000
+TOGETHER = 1_500_000
 
 
 class RankQueue:
@@ -110,6 +113,11 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.merged[at], NONE) if len(self.pair) else np.full(len(key), NONE)
 
+    def decode(self, ids: np.ndarray, offset: np.ndarray) -> list[bytes]:
+        """The bytes of each stretch of ids between two offsets."""
+        token, bounds = self.tokens, offset.tolist()
+        return [b"".join([token[i] for i in ids[a:b].tolist()]) for a, b in itertools.pairwise(bounds)]
+
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and where each piece's ids end."""
         length = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -184,22 +192,31 @@ class Encoder:
     """Texts to ids; remembers the pre-tokens that it has met."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.split, self.known = vocabulary, regex.compile(pattern).findall, {}
+        self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
+        self._forget()
 
-    def texts(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """The ids of each text; null counts as empty."""
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # pre-token to its place in ``end``
+        self.ids, self.end = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin and end; null counts as empty."""
         pieces = [self.split(t or "") for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self._forget()
         known = self.known
         new = list({p for own in pieces for p in own if p not in known})
-        ids, ends = self.vocabulary.encode([p.encode("utf-8", "surrogatepass") for p in new])
-        ids, start = ids.tolist(), 0
-        for p, end in zip(new, ends.tolist(), strict=True):
-            known[p] = tuple(ids[start:end])
-            start = end
-        for own in pieces:
-            yield list(itertools.chain.from_iterable(map(known.__getitem__, own)))
+        ids, end = self.vocabulary.encode([p.encode("utf-8", "surrogatepass") for p in new])
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        self.end = np.concatenate((self.end, end + len(self.ids)))
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        place = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(pieces)), np.int64, counts.sum())
+        start = np.concatenate(([0], self.end))[place]
+        length = self.end[place] - start
+        to = np.concatenate(([0], np.cumsum(length)))
+        found = self.ids[np.repeat(start - to[:-1], length) + np.arange(to[-1])]
+        return found, to[np.concatenate(([0], np.cumsum(counts)))]
 
 
 def _together(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -214,44 +231,48 @@ def _together(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield some
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
     """``docs`` with the token ids of ``text`` as array<int> in ``out`` and without ``text``.
 
+    With ``back``, that column gets the bytes that the ids decode to, as ``decode`` gives
+    them, without another pass through Python workers.
+
     ``vocabulary`` is a file of ranks that the driver can read; it is broadcast (a
     vocabulary's size doesn't depend on the corpus). Each match of ``pattern`` is
     encoded by itself; there are no special tokens. Null and empty texts give an empty
-    array. All other columns pass unchanged, and one named as ``out`` is replaced.
+    array. All other columns pass unchanged, and one named as ``out`` or ``back`` is replaced.
     """
+    bound_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         data = f.read()
     shipped, digest = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
-    rest = [c for c in docs.columns if c not in (text, out)]
+    rest = [c for c in docs.columns if c not in (text, out, back)]
     schema = docs.select(*rest).schema.add(out, ArrayType(IntegerType()))
-    kept = docs.select(text, *rest) if text not in rest else docs
+    if back:
+        schema = schema.add(back, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_vocabulary(digest, shipped), pattern)
         for batch in batches:
             at = 0
             for some in _together(batch.column(0).to_pylist()):
-                ids, offset = [], [0]
-                for own in encoder.texts(some):
-                    ids.append(np.array(own, np.int32))
-                    offset.append(offset[-1] + len(own))
-                column = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(np.concatenate(ids)))
-                part = batch.slice(at, len(some))
+                ids, offset = encoder.texts(some)
+                columns = [*batch.slice(at, len(some)).columns[1:], pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(ids))]
+                if back:
+                    columns.append(pa.array(encoder.vocabulary.decode(ids, offset), pa.binary()))
                 at += len(some)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], column], names=[*rest, out])
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return docs.select(text, *rest).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """``tokens`` with the bytes that ``ids`` stand for in ``out`` and without ``ids``.
 
-    Null arrays give empty bytes; a null id within an array stands for nothing; an id
-    outside the vocabulary is an error, as no bytes could be right.
+    Null arrays give empty bytes; a null id, or one outside the
+    vocabulary, is an error, as no bytes could be right.
     """
+    bound_batches(tokens.sparkSession)
     with open(vocabulary, "rb") as f:
         data = f.read()
     shipped, digest = tokens.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
@@ -259,22 +280,23 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", out: str = "byt
     schema = tokens.select(*rest).schema.add(out, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _vocabulary(digest, shipped).tokens
+        known = _vocabulary(digest, shipped)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out_bytes = [b"".join([token[i] for i in own or () if i is not None]) for own in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out_bytes, pa.binary())], names=[*rest, out])
+                flat = part.column(0).flatten()
+                offset = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(part.column(0)), 0).to_numpy())))
+                found = known.decode(flat.to_numpy(zero_copy_only=not flat.null_count), offset)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found, pa.binary())], names=[*rest, out])
 
     return tokens.select(ids, *rest).mapInArrow(run, schema)
 
 
 def token_report(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Number and digest of the ids of every text of ``docs``, and the digest of the bytes they decode to."""
-    coded = encode(docs.select("doc_id", "text"), vocabulary, pattern).select(
+    return encode(docs.select("doc_id", "text"), vocabulary, pattern, back="bytes").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        "ids",
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )
-    return decode(coded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))

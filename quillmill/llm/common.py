@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Bytes of a batch that goes to a Python worker, and Spark's own setting for them.
+BATCH_BYTES, _BATCH, _DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One input table; the path may be in any store that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Holds batches to Python workers to ``BATCH_BYTES``, unless the session has a bound of its own.
+
+    Texts differ in length by orders of magnitude, and a worker holds a batch or two.
+    """
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
@@ -52,6 +64,7 @@ def map_columns(df: DataFrame, fn: Callable[..., tuple], schema: str | StructTyp
     Batches are cut to ``rows`` rows, so that memory in a worker follows the
     longest texts of a few rows and not those of a whole partition.
     """
+    bound_batches(df.sparkSession)
     out = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

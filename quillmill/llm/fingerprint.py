@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 EXACT, SKETCH, RUN = 32, 512, 8
 WIDTH = EXACT * 8 + SKETCH * 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -112,6 +114,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bytes(Fingerprint.of(t)) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "vector"])
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, vector binary")
 
 
@@ -191,4 +194,5 @@ def edit_report(docs: DataFrame) -> DataFrame:
                 if some:
                     yield compared(some)
 
+    bound_batches(docs.sparkSession)
     return with_next(docs).mapInArrow(run, _RESULT)
