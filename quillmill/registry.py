@@ -1,10 +1,5 @@
 """Queries of the offer and planning operators by name, and DuckDB SQL for the same rows."""
 
-from __future__ import annotations
+from .plans.queries import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
