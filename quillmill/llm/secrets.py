@@ -195,8 +195,8 @@ class Automaton:
     """The minimal deterministic automaton of some patterns.
 
     ``anywhere``: a match may begin at any byte, else at the first only. ``table`` has
-    ``width`` next states for each state, all multiplied by ``width``; state 0 is the
-    start, states from ``accepting`` on accept (``accepts``: which patterns), ``dead``
+    ``width`` next states for each state, all multiplied by ``width``; ``start`` is where a
+    text begins, states from ``accepting`` on accept (``accepts``: which patterns), ``dead``
     is the state that nothing leads out of (or -1).
     """
 
@@ -229,6 +229,8 @@ class Automaton:
             return frozenset(t for t in seen if nfa.steps[t] or t in finals)
 
         first = closure(origin)
+        if first & finals.keys():
+            raise ValueError("a pattern that matches the empty text")
         number, rows, todo = {first: 0}, [], [first]
         while len(rows) < len(todo):
             own = todo[len(rows)]
@@ -262,8 +264,6 @@ class Automaton:
         order = sorted(range(n), key=lambda b: (bool(accepts[one[b]]), one[b]))
         place = np.empty(n, int)
         place[order] = np.arange(n)
-        if place[block[0]] != 0 and not accepts[0]:
-            raise AssertionError("the start comes first")
         self.start = int(place[block[0]]) * self.width
         self.table = (place[block[rows[one[order]]]] * self.width).reshape(-1).tolist()
         self.accepts = {int(place[b]) * self.width: accepts[one[b]] for b in range(n) if accepts[one[b]]}
