@@ -1,6 +1,10 @@
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
+settings.register_profile("suite", deadline=None)
+settings.load_profile("suite")
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
