@@ -45,7 +45,7 @@ _LINE = (
 LINES = " union all ".join(f"select p_partkey as k, {n} as n, {text} as text, {style} as style from {{part}} where {where}" for n, text, style, where in _LINE)
 #: The same as paragraphs of seven files, with rules and headings between offers.
 PARAGRAPHS = f"""
-    select concat('list', cast(k % 7 as string)) as file, cast(k * 100 + n as int) as index, text, cast(style as string) as style from (
+    select concat('list', cast(k % 7 as string)) as file, cast(cast(floor(k / 7) as bigint) * 100 + n as int) as index, text, cast(style as string) as style from (
       {LINES}
       union all select p_partkey, 1, case when p_partkey % 4 = 0 then repeat('-', 30) else p_type end,
                        case when p_partkey % 4 = 0 then null else 'Heading1' end from {{part}} where p_partkey % 6 <> 5

@@ -345,10 +345,10 @@ def offer_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_SEGMENTS}, w as (select file, unnest(range(paragraph_start, paragraph_end + 1)) as index from seg)
-    select w.file, (w.index)::int as index, coalesce(p.text, '<missing>') as text from w left join ({PARAGRAPHS}) p on w.file = p.file and w.index = p.index where w.index % 10 < 3""")
+    select w.file, (w.index)::int as index, coalesce(p.text, '<missing>') as text from w left join ({PARAGRAPHS}) p on w.file = p.file and w.index = p.index""")
 def missing_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     paragraphs = derived.paragraphs(spark, sf_dir)
-    return import_quality.paragraphs_of(segment(paragraphs), paragraphs).where(F.col("index") % 10 < 3)
+    return import_quality.paragraphs_of(segment(paragraphs), paragraphs)
 
 
 _KINDS = "case when url then 'url' when weight then 'weight' when price then 'price' when id then 'identifier' when phys then 'physical' when pub then 'publication' else 'rest' end"
@@ -417,12 +417,10 @@ _PLANS = f"select id, name, budget, base_currency, timestamp '2024-01-01 00:00:0
 _LISTS = _duck(derived.LISTS)
 
 
-@query(f"select id, name, cast(cast(inserted_at as date) as varchar) as day, row_number() over (order by inserted_at desc, id desc) as place from ({_PLANS}) order by place limit 100")
+@query(f"select id, name, cast(cast(inserted_at as date) as varchar) as day from ({_PLANS}) order by inserted_at desc, id desc")
 def plans_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hundred newest plans, with their places."""
-    newest = planning.newest_first(derived.plans(spark, sf_dir)).limit(100)
-    nested = newest.agg(F.reverse(F.sort_array(F.collect_list(F.struct("inserted_at", "id", "name")))).alias("p"))
-    return nested.select(F.posexplode("p").alias("i", "p")).select("p.id", "p.name", F.col("p.inserted_at").cast("date").cast("string").alias("day"), (F.col("i") + 1).cast("long").alias("place"))
+    newest = planning.newest_first(derived.plans(spark, sf_dir))
+    return newest.select("id", "name", F.col("inserted_at").cast("date").cast("string").alias("day"))
 
 
 @query(f"""select p.id, coalesce(string_agg(l.id::varchar, ',' order by l.inserted_at, l.id), '') as order_lists, count(l.id) as n
