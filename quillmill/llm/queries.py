@@ -77,6 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
+#: CRC-32 of a text's bytes, one by one over the table of the reversed polynomial.
+_CRC = """
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(data)), lambda k: ('0x' || substr(hex(data), (2 * k + 1)::int, 2))::bigint)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::bigint)
+"""
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
@@ -87,4 +92,14 @@ ORACLE_SQL: dict[str, str] = {
                case when n >= 100 and page_id <> first_id then first_id end as refers_to
         from f
     """,
+    "op9_shards": f"""
+        with t as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab
+                   from (select unnest(range(256)) as i)),
+        d as (select row_number() over () as r, doc_id, coalesce(doc_id::varchar, '') as key, encode(coalesce(text, '')) as data, coalesce(text, '') as text from documents),
+        c as (select r, doc_id, key, octet_length(data)::bigint + 8 as size, {_CRC} as text_crc32, ('0x' || substr(md5(key || '/' || md5(text)), 1, 13))::bigint % 512 as part from d, t),
+        h as (select r, s, ('0x' || substr(md5(key || '/' || s), 1, 13))::bigint as draw from c, (select unnest(range(25)) as s)),
+        b as (select r, arg_max(s, draw) filter (where s < 24) as shard, arg_max(s, draw) as grown from h group by r)
+        select doc_id, size, text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by part, doc_id, text_crc32, size) - 1 as slot, grown::int as grown_shard
+        from c join b using (r)
+    """,
 }
