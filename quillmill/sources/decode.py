@@ -172,8 +172,7 @@ def _cell(kind: str | None, text: str | None, shared: list[str]) -> tuple[str, s
         return "string", text, None
     if not number.is_finite():
         return "string", text, None
-    whole = number == number.to_integral_value()
-    return ("int" if whole else "decimal"), format(number.quantize(Decimal(1)) if whole else number.normalize(), "f"), number
+    return ("int" if number.as_tuple().exponent == 0 else "decimal"), format(number, "f"), number  # the scale that is written stays
 
 
 def _strings(xml: bytes) -> list[str]:

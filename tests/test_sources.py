@@ -63,7 +63,7 @@ def test_workbooks(spark, tmp_path):
     rows = "<row r='1'><c r='A1' t='s'><v>0</v></c><c r='B1' t='s'><v>1</v></c></row><row r='3'><c r='B3'><v>12.50</v></c><c r='C3' t='inlineStr'><is><t>x</t></is></c></row><row r='4'><c r='A4'><v>3</v></c></row>"
     book = workbook(one=rows, two="<row r='1'><c r='A1' t='b'><v>1</v></c></row>")
     none = ("null", None, None)
-    assert decode.xlsx(book, "one") == [("one", [(1, [("string", "Title", None), ("string", "Price", None)]), (3, [none, ("decimal", "12.5", Decimal("12.50")), ("string", "x", None)]), (4, [("int", "3", Decimal(3))])])]
+    assert decode.xlsx(book, "one") == [("one", [(1, [("string", "Title", None), ("string", "Price", None)]), (3, [none, ("decimal", "12.50", Decimal("12.50")), ("string", "x", None)]), (4, [("int", "3", Decimal(3))])])]
     assert [n for n, _ in decode.xlsx(book)] == ["one", "two"]
     for bad, error in ((b"x", "invalid_xlsx_archive"), (workbook(a="<row"), "sheet_error")):
         with pytest.raises(decode.DecodeError, match=error):
