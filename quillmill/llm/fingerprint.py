@@ -156,7 +156,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         else array(struct(bucket as bucket, false as ahead)) end
     """)
     dealt = rows.withColumn("bucket", bucket).withColumn("to", F.explode(places)).select("to.bucket", "to.ahead", "k", "doc_id", "text")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "k", "text")
+    return dealt.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "ahead", "k", "text")
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
