@@ -82,6 +82,23 @@ _CRC = """
     xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(data)), lambda k: ('0x' || substr(hex(data), (2 * k + 1)::int, 2))::bigint)),
         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::bigint)
 """
+#: Kinds of secrets in order: pattern, and the least length of a match (of its second group, for the first kind).
+_SECRETS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))[''"]?\x20*[:=]\x20*[''"]?([A-Za-z0-9+/_.=-]+)""", 8),
+    ("access", "AKIA[A-Z0-9]+", 16),
+    ("hex", "[0-9a-f]+", 32),
+    ("forge", "gh[pousr]_[A-Za-z0-9]+", 40),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]+", 15),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+)
+#: A match begins after the pieces between matches and the matches before it.
+_FOUND = " union all ".join(
+    f"""select r, {o} as o, '{kind}' as kind, m[i] as hit, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint as start
+        from (select r, m, s, unnest(range(1, len(m) + 1)) as i from (select r, regexp_extract_all(text, '{pattern}') as m, regexp_split_to_array(text, '{pattern}') as s from d))
+        where length({f"regexp_extract(m[i], '{pattern}', 2)" if o == 0 else "m[i]"}) >= {least}"""
+    for o, (kind, pattern, least) in enumerate(_SECRETS)
+)
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
@@ -92,6 +109,15 @@ ORACLE_SQL: dict[str, str] = {
                case when n >= 100 and page_id <> first_id then first_id end as refers_to
         from f
     """,
+    "op7_secrets": f"""
+        with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+        f as ({_FOUND}),
+        g as (select r, count(*) filter (where o = 0) as n_assign, count(*) filter (where o = 1) as n_access, count(*) filter (where o = 2) as n_hex,
+                     string_agg(kind || ':' || start || ':' || (start + length(hit)), ',' order by start, o) filter (where o < 3) as base,
+                     string_agg(kind || ':' || start || ':' || (start + length(hit)), ',' order by start, o) as spans from f group by r)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from d left join g using (r)
+    """,
     "op9_shards": f"""
         with t as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab
                    from (select unnest(range(256)) as i)),
