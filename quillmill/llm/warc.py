@@ -13,6 +13,11 @@ of the headers' side, a hot digest's partition can be split.
 
 from __future__ import annotations
 
+import gzip
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,24 +78,24 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, date: str = D
         .join(first, "digest")
         .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
         .withColumn("head", F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n")))
-        .select(record_id(F.col("page_id")).alias("record_id"), header.cast("binary").alias("header"), F.col("head").cast("binary").alias("head"), "digest")
+        .select(record_id(F.col("page_id")).alias("record_id"), header.cast("binary").alias("header"), F.col("head").cast("binary").alias("head"), "digest", (F.col("record_type") != "revisit").alias("inline"))
         .write.parquet(f"{path}/headers")
     )
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, header, head, digest and payload of every record, payloads verified.
+    """record_id, header, head, digest, payload and inline of every record, payloads verified.
 
-    A revisit has the payload of the record that it refers to. A missing or damaged
+    ``inline`` is whether the record's own bytes hold the payload. A revisit has the payload of the record that it refers to. A missing or damaged
     payload raises an error rather than giving other bytes.
     """
-    headers = spark.read.schema("record_id string, header binary, head binary, digest string").parquet(f"{path}/headers")
+    headers = spark.read.schema("record_id string, header binary, head binary, digest string, inline boolean").parquet(f"{path}/headers")
     stored = spark.read.schema("digest string, first_id long, payload binary").parquet(f"{path}/payloads").select("digest", "payload")
     sound = F.sha2("payload", 256) == F.col("digest")
     checked = stored.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload without its digest: "), F.col("digest"))).cast("binary")))
     joined = headers.join(checked, "digest", "left")
     whole = F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("no payload for "), F.col("digest"))).cast("binary"))
-    return joined.select("record_id", "header", "head", "digest", whole.alias("payload"))
+    return joined.select("record_id", "header", "head", "digest", whole.alias("payload"), "inline")
 
 
 def field(header: Column, name: str) -> Column:
@@ -101,9 +106,63 @@ def field(header: Column, name: str) -> Column:
 
 def records(archive: DataFrame) -> DataFrame:
     """record_id and the exact bytes of each WARC record (header, block and the closing lines)."""
-    revisit = field(F.col("header"), "WARC-Type") == "revisit"
     end = F.lit("\r\n\r\n").cast("binary")
-    return archive.select("record_id", F.when(revisit, F.concat("header", "head", end)).otherwise(F.concat("header", "head", "payload", end)).alias("record"))
+    return archive.select("record_id", F.when(F.col("inline"), F.concat("header", "head", "payload", end)).otherwise(F.concat("header", "head", end)).alias("record"))
+
+
+_LENGTH = re.compile(rb"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n")
+_HTTP = re.compile(rb"(?i)\r\nContent-Type:[ \t]*application/http")
+_ID = re.compile(rb"(?i)\r\nWARC-Record-ID:[ \t]*<([^>\r\n]*)>")
+_PARSED = "record_id string, header binary, head binary, payload binary"
+
+
+def parse_records(data: bytes) -> Iterator[tuple[str | None, bytes, bytes, bytes]]:
+    """(record id, header, head, payload) of the records of a WARC file, plain or gzipped.
+
+    The three parts and the two closing lines are the record's exact bytes. head is what an
+    HTTP message has before its body, else empty. ValueError at the first byte that isn't
+    part of a record.
+    """
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at) + 4
+        header = data[at:end]
+        length = _LENGTH.search(header)
+        if end < 4 or not header.startswith(b"WARC/") or not length:
+            raise ValueError(f"no record at byte {at}")
+        stop = end + int(length[1])
+        if data[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} doesn't end at byte {stop}")
+        block = data[end:stop]
+        cut = block.find(b"\r\n\r\n") + 4 if _HTTP.search(header) else 0
+        cut = 0 if cut < 4 else cut
+        found = _ID.search(header)
+        yield found and found[1].decode("utf-8", "replace"), header, block[:cut], block[cut:]
+        at = stop + 4
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all ``.warc`` and ``.warc.gz`` files under a path; a damaged file is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _PARSED.split(", ")]
+        for batch in batches:
+            for content in batch.column(0):
+                for record in parse_records(content.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([record[0]], pa.string()), *(pa.array([x], pa.binary()) for x in record[1:])], names=names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc{,.gz}").option("recursiveFileLookup", "true").load(path)
+    return files.select("content").mapInArrow(run, _PARSED)
+
+
+def store_records(records: DataFrame, path: str) -> None:
+    """Archives parsed records (record_id, header, head, payload): equal payloads once, all else as it is. Null parts count as empty."""
+    part = lambda name: F.coalesce(name, F.lit("").cast("binary")).alias(name)
+    rows = records.select("record_id", part("header"), part("head"), part("payload")).withColumn("digest", F.sha2("payload", 256))
+    rows.groupBy("digest").agg(F.lit(None).cast("long").alias("first_id"), F.min("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    rows.select("record_id", "header", "head", "digest", F.lit(True).alias("inline")).write.parquet(f"{path}/headers")
 
 
 def archive_report(pages: DataFrame) -> DataFrame:

@@ -241,6 +241,30 @@ def test_warc_edges(spark, tmp_path):
         warc.read_archive(spark, path).collect()
 
 
+def test_warc_files(spark, tmp_path):
+    """Archived pages, written as files, read again and archived once more: the same bytes."""
+    import gzip
+
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").createOrReplaceTempView("own_pages")
+    warc.write_archive(spark.table("own_pages"), str(tmp_path / "a"))
+    exact = sorted(bytes(r.record) for r in warc.records(warc.read_archive(spark, str(tmp_path / "a"))).collect())
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: text/plain\r\ncontent-length:  4\r\n\r\n\xff\x00ab\r\n\r\n"
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "one.warc").write_bytes(b"".join([info, *exact[:4]]))
+    (tmp_path / "files" / "two.warc.gz").write_bytes(b"".join(map(gzip.compress, exact[4:])))
+    (tmp_path / "files" / "three.txt").write_bytes(b"other")
+    (tmp_path / "files" / "empty.warc").write_bytes(b"")
+    parsed = warc.read_files(spark, str(tmp_path / "files"))
+    warc.store_records(parsed, str(tmp_path / "b"))
+    again = warc.records(warc.read_archive(spark, str(tmp_path / "b"))).collect()
+    assert sorted(bytes(r.record) for r in again) == sorted([info, *exact]) and sum(r.record_id is None for r in again) == 1
+    payloads = spark.read.parquet(str(tmp_path / "b" / "payloads"))
+    assert payloads.count() == payloads.select("digest").distinct().count() == parsed.select("payload").distinct().count()
+    for bad in (exact[0][:-1], b"x" + exact[0], exact[0] + b"more", exact[0].replace(b"Content-Length", b"Content-Width", 1)):
+        with pytest.raises(ValueError, match="record at byte"):
+            list(warc.parse_records(bad))
+
+
 def contained(docs, items):
     """(doc_id, item_id) by comparing shingles of each with each."""
     words = lambda t: re.findall(r"\w+", (t or "").lower())
