@@ -38,8 +38,8 @@ def from_rows(rows: DataFrame, vendor: str | None = None, header_row: int = 1) -
     """
     if header_row < 1:
         raise ValueError(f"invalid_header_row: {header_row}")
-    sheets = rows.groupBy("file", "sheet").agg(F.max(F.when(F.col("row_no") == header_row, F.struct(prepared(F.col("cells")).alias("h")))).alias("h"), F.max("row_no").alias("most"))
-    sheets = sheets.select("file", "sheet", F.col("h.h").alias("headers"))
+    heads = rows.where(F.col("row_no") == header_row).groupBy("file", "sheet").agg(F.min(prepared(F.col("cells"))).alias("headers"))
+    sheets = rows.groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("rows")).drop("rows").join(heads, ["file", "sheet"], "left")
     sheets = sheets.withColumn("twice", duplicates(F.col("headers")))
     problem = F.when(F.col("headers").isNull(), "header_row_not_found").when(F.size("twice") > 0, "duplicate_headers")
     sheets = sheets.withColumn("error", problem)
