@@ -8,6 +8,8 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def _digit(c: Column, at: int) -> Column:
     """Value of the character at a place; X is ten. Only for texts that the pattern has admitted."""
@@ -24,7 +26,7 @@ def is_valid_isbn(value: Column) -> Column:
         return F.when(c.rlike(r"\A[0-9]{9}[0-9X]\z"), ten).when(c.rlike(r"\A[0-9]{13}\z"), thirteen)
 
     compact = F.upper(F.regexp_replace(value, r"(?U)[\s-]+", ""))
-    return F.coalesce(F.get(F.transform(F.array(compact), check), F.lit(0)), F.lit(False))  # bound to a variable, so computed once
+    return F.coalesce(let(compact, check), F.lit(False))
 
 
 def validated(identifiers: Column) -> Column:

@@ -79,6 +79,6 @@ def is_separator(text: Column) -> Column:
 
 
 def is_grounded(value: Column, source: Column) -> Column:
-    """The value, white space normalized, isn't empty and occurs in the source; null is grounded."""
+    """The value, white space normalized, isn't empty and occurs in the source, which is normalized already; null is grounded."""
     own = ws_normalize(value)
-    return F.coalesce((own != "") & F.contains(ws_normalize(source), own), F.lit(True))
+    return F.coalesce((own != "") & F.contains(source, own), F.lit(True))

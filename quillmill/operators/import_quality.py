@@ -26,14 +26,19 @@ def totals(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _each(offers: DataFrame, column: str) -> DataFrame:
+    """A row for each element. ``explode`` would have Spark parse every offer once more, to filter empty arrays before."""
+    return offers.select(F.explode_outer(column).alias("value")).where("value is not null")
+
+
 def status_histogram(offers: DataFrame) -> DataFrame:
     """Number of identifiers by validation status."""
-    return offers.select(F.explode("identifiers").alias("i")).groupBy(F.col("i.validation_status").alias("status")).agg(F.count(F.lit(1)).alias("n")).orderBy("status")
+    return _each(offers, "identifiers").select(F.col("value").alias("i")).groupBy(F.col("i.validation_status").alias("status")).agg(F.count(F.lit(1)).alias("n")).orderBy("status")
 
 
 def frequent_unparsed(offers: DataFrame, most: int = 10) -> DataFrame:
     """The most frequent statements that no rule fits, by count and then by text."""
-    return offers.select(F.explode("unparsed").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(most)
+    return _each(offers, "unparsed").groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(most)
 
 
 def with_unparsed(offers: DataFrame) -> DataFrame:

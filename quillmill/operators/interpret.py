@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signals as S
-from ..functions.text import utrim
+from ..functions.text import let, utrim, ws_normalize
 
 #: Kinds of error that an interpreter may report.
 ERRORS = ("unsupported_source", "invalid_source", "invalid_model_output", "backend_error")
@@ -65,8 +65,8 @@ def first_ungrounded() -> Column:
     single = [F.filter(one(n), lambda x: x["value"].isNotNull() & (x["value"] != "")) for n in ("title", "responsibility_statement")]
     each = lambda name: F.transform(F.coalesce(name, F.array().cast("array<string>")), lambda v: F.struct(F.lit(name).alias("field"), v.alias("value")))
     many = [each(n) for n in FIELDS]
-    source = F.concat_ws(" ", "source_lines")
-    return F.get(F.filter(F.concat(*single, *many), lambda x: ~S.is_grounded(x["value"], source)), F.lit(0))
+    source = ws_normalize(F.concat_ws(" ", "source_lines"))
+    return let(source, lambda s: F.get(F.filter(F.concat(*single, *many), lambda x: ~S.is_grounded(x["value"], s)), F.lit(0)))
 
 
 def grounded(results: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signals as S
-from ..functions.text import grapheme_len, utrim
+from ..functions.text import grapheme_len, let, utrim
 from ..types import IDENTIFIER, OFFER, TEXT_CONTENT, schema
 
 NO_TEXT = f"array<{TEXT_CONTENT}>"
@@ -46,11 +46,6 @@ def offer_candidate(lines: Column) -> Column:
     return F.coalesce(there(S.is_url) + there(S.is_price) + there(S.is_publication) >= 2, F.lit(False))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once; an expression of a name grows with each use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _content(role: str, text: Column) -> Column:
     none = F.create_map().cast("map<string,string>")
     return F.struct(F.lit(role).alias("role"), text.alias("text"), F.lit(None).cast("string").alias("language"), none.alias("metadata"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals as S
 from ..functions.isbn import is_valid_isbn
-from ..functions.text import blank, clean, grapheme_len, locator_text, shortened, utrim
+from ..functions.text import blank, clean, grapheme_len, locator_text, shortened, utrim, ws_normalize
 from ..operators import catalog, import_quality, interpret, planning, spreadsheet
 from ..operators.line_offers import offer_candidate, parse_lines, split_title, text_lines, without_preamble
 from ..operators.row_offers import parse_rows
@@ -389,7 +389,7 @@ _GROUNDED = r"""
 
 @query(f"{_GROUNDED} select doc_id, field, value, grounded from g")
 def grounding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.concat_ws(" ", "source_lines")
+    source = ws_normalize(F.concat_ws(" ", "source_lines"))
     pairs = F.array(*(F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in (("title", F.col("title")), ("descriptions", F.get("descriptions", F.lit(0))), ("notes", F.get("notes", F.lit(0))))))
     rows = _results(spark, sf_dir).select("doc_id", source.alias("source"), F.explode(pairs).alias("p"))
     return rows.select("doc_id", "p.field", "p.value", (S.is_grounded(F.col("p.value"), F.col("source")) | ((F.col("p.field") == "title") & (F.col("p.value") == ""))).alias("grounded"))
