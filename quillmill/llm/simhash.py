@@ -149,26 +149,24 @@ def _linked(batches: Iterator[pa.RecordBatch], keys: int, hot: int | None) -> It
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(fps)]))
             size = end - start
+            waiting = size > hot if hot is not None else np.zeros(len(start), bool)
+            if flowing is not None:  # as it was before this batch: its tail may begin the batch
+                waiting |= (key[start] == flowing).all(axis=1)
             if batch is not None:
-                last, group = key[-1].copy(), fps[start[-1] :]
-                if flowing is not None and np.array_equal(last, flowing) or hot is not None and len(group) > hot:
-                    flowing = last
+                if waiting[-1]:
+                    flowing = key[-1].copy()
                 else:
-                    held = (last, group.copy())
-                    start, end, size = start[:-1], end[:-1], size[:-1]
-            two = start[size == 2]
+                    held = (key[-1].copy(), fps[start[-1] :].copy())
+                    start, end, size, waiting = start[:-1], end[:-1], size[:-1], waiting[:-1]
+            two = start[(size == 2) & ~waiting]
             near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= DISTANCE]
             edges_a.append(fps[near + 1]), edges_b.append(fps[near])
-            for s, e in zip(start[size > 2].tolist(), end[size > 2].tolist(), strict=True):
-                if hot is not None and e - s > hot and not (flowing is not None and np.array_equal(key[s], flowing)):
-                    wait_a.append(key[s:e, 0].view(np.uint64)), wait_b.append(fps[s:e])
-                elif flowing is None or not np.array_equal(key[s], flowing):
-                    a, b = (compare if e - s <= HOT else look_up)(fps[s:e])
-                    edges_a.append(a), edges_b.append(b)
-            if flowing is not None:
-                hit = (key == flowing).all(axis=1)
-                if hit.any():
-                    wait_a.append(key[hit, 0].view(np.uint64)), wait_b.append(fps[hit])
+            many = (size > 2) & ~waiting
+            for s, e in zip(start[many].tolist(), end[many].tolist(), strict=True):
+                a, b = (compare if e - s <= HOT else look_up)(fps[s:e])
+                edges_a.append(a), edges_b.append(b)
+            for s, e in zip(start[waiting].tolist(), end[waiting].tolist(), strict=True):
+                wait_a.append(key[s:e, 0].view(np.uint64)), wait_b.append(fps[s:e])
         if any(map(len, edges_a)):
             yield rows(False, edges_a, edges_b)
         if any(map(len, wait_a)):

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given
@@ -88,6 +89,19 @@ def test_links_in_a_dense_ball():
     assert of(simhash.look_up(fps)) == of(simhash.compare(fps))
 
 
+def test_hot_groups_that_meet_in_a_batch():
+    """All rows of a hot group wait, also those at the head of a batch that ends in another hot group."""
+    for tail in (1, 2, 3, 5):
+        keys = [1] * 3 + [2] * (6 + tail) + [3] * 9 + [4] * 3 + [5] * 7
+        fps = list(range(100, 100 + len(keys)))
+        ends = [0, 9, 9 + tail + 7, 9 + tail + 9, len(keys)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(fps[a:b])], names=["key", "fp"]) for a, b in zip(ends, ends[1:], strict=False)]
+        got = [r for b in simhash._linked(iter(batches), 1, 4) for r in b.to_pylist()]
+        hot = sorted((k, f) for k, f in zip(keys, fps, strict=True) if k in (2, 3, 5))
+        assert sorted((r["a"], r["b"]) for r in got if r["pending"]) == hot
+        assert {keys[fps.index(r["a"])] for r in got if not r["pending"]} == {1, 4}
+
+
 def test_connected_chain(spark):
     """A long chain and a star become one component each."""
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)]
