@@ -67,6 +67,28 @@ def test_near_copies(spark):
     assert near_copies.near_copies(df.limit(0)).count() == 0
 
 
+def test_near_copies_at_the_bound(spark):
+    """Groups are those that comparing each with each at likeness 0.8 gives, around the bound and in chains."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(60):
+        own = [f"v{k}x{i}" for i in range(rng.choice([9, 40, 120, 300]))]
+        for _ in range(6):
+            texts.append(" ".join(own) + " the same last line of every text here")
+            at = rng.randrange(len(own))
+            own = own[:at] + [f"n{rng.randrange(10**6)}" for _ in range(max(1, len(own) // rng.choice([8, 10, 14])))] + own[at:]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if label[a] != label[b] and likeness(texts[a], texts[b]) >= 0.8:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (near_copies.HOT, 4):
+        assert sorted(tuple(r) for r in near_copies.near_copies(df, hot=hot).collect()) == list(enumerate(label))
+    assert 60 < len(set(label)) < 300
+
+
 def test_stages_by_brute_force(spark, tmp_path):
     rng = random.Random(11)
     items = [(k, " ".join(f"q{rng.randrange(400)}" for _ in range(rng.randint(12, 40)))) for k in range(10)]
