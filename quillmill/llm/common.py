@@ -32,22 +32,36 @@ def bound_batches(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (as in
-    local tests) the warehouse folder serves, which is shared as well.
+    The cluster names it in ``spark.checkpoint.dir``, or the program by ``setCheckpointDir``.
+    Where neither has been done, the warehouse folder serves a driver that is its own
+    executor (as in local tests); on a cluster that is an error, as the folder may be a
+    machine's own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return f"{base.rstrip('/')}/quillmill-{uuid.uuid4().hex}"
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """A table that results may read for as long as the driver runs is deleted when it ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, and its path.
 
     This cuts lineage: a lost executor costs at most the stage that runs, and the
-    rows are computed once however often they are read.
+    rows are computed once however often they are read. The table is deleted by
+    ``remove``, or else when the driver ends.
     """
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -77,6 +91,32 @@ def map_columns(df: DataFrame, fn: Callable[..., tuple], schema: str | StructTyp
     return df.mapInArrow(run, schema)
 
 
+def with_columns(df: DataFrame, reads: list[str], fn: Callable[..., tuple], adds: str | StructType, *, drop: tuple[str, ...] = (), rows: int = 2048) -> DataFrame:
+    """``df`` and the columns ``adds`` that ``fn`` makes of the columns ``reads`` (as lists); they replace those of their names.
+
+    Columns in ``drop`` go. All others pass through the worker as Arrow has them,
+    whatever their types, and keep their places.
+    """
+    bound_batches(df.sparkSession)
+    adds = adds if isinstance(adds, StructType) else StructType.fromDDL(adds)
+    made = to_arrow_schema(adds)
+    schema = StructType([adds[f.name] if f.name in adds.names else f for f in df.schema if f.name not in drop])
+    schema = StructType([*schema, *(f for f in adds if f.name not in schema.names)])
+    # only what is read or passed on goes to the worker
+    sent = df.select(*(c for c in df.columns if c in reads or c not in drop and c not in adds.names))
+    at, names = {c: k for k, c in enumerate(sent.columns)}, schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                got = fn(*(part.column(at[c]).to_pylist() for c in reads))
+                own = {f.name: pa.array(v, type=f.type) for v, f in zip(got, made, strict=True)}
+                yield pa.RecordBatch.from_arrays([own[c] if c in own else part.column(at[c]) for c in names], names=names)
+
+    return sent.mapInArrow(run, schema)
+
+
 def train_rows(labels: DataFrame, label: str, modulus: int, held: int, most: int) -> DataFrame:
     """Labelled rows that a classifier may learn from: doc_id and label.
 

@@ -210,7 +210,8 @@ def connected(edges: DataFrame) -> tuple[DataFrame, str]:
     """
     spark = edges.sparkSession
     now, path = written(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").where("a <> b").distinct())
-    seen = None
+    marks = [F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")]
+    seen = now.agg(*marks).first()
     while True:
         both = now.unionByName(now.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
@@ -218,7 +219,7 @@ def connected(edges: DataFrame) -> tuple[DataFrame, str]:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.explode(F.expr("array(struct(a as a, m as b), struct(b as a, m as b))")).alias("e")).select("e.*")
         after, to = written(small.where("a <> b").distinct())
-        mark = after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
+        mark = after.agg(*marks).first()
         remove(spark, path)
         now, path = after, to
         if mark == seen:
