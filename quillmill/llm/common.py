@@ -117,6 +117,14 @@ def with_columns(df: DataFrame, reads: list[str], fn: Callable[..., tuple], adds
     return sent.mapInArrow(run, schema)
 
 
+def make_room(df: DataFrame, names: set) -> DataFrame:
+    """``df`` with columns of these names renamed: a number after the name, the first that is free."""
+    for name in sorted(names & set(df.columns)):
+        free = next(f"{name}{k}" for k in range(len(df.columns) + 1) if f"{name}{k}" not in df.columns)
+        df = df.withColumnRenamed(name, free)
+    return df
+
+
 def train_rows(labels: DataFrame, label: str, modulus: int, held: int, most: int) -> DataFrame:
     """Labelled rows that a classifier may learn from: doc_id and label.
 
@@ -134,6 +142,17 @@ def train_rows(labels: DataFrame, label: str, modulus: int, held: int, most: int
     )
 
 
+def train_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int) -> DataFrame:
+    """doc_id, text and label of the rows that teach: ``most`` at most, whatever repeats in ``docs``.
+
+    Of rows that share an id the smallest text counts (null as empty); they are combined
+    before they are shuffled. The chosen labels are broadcast, as their number is bounded.
+    """
+    chosen = F.broadcast(train_rows(labels, label, modulus, held, most))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+
+
 def fold(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

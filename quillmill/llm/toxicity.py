@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_columns, train_rows
+from .common import fold, map_columns, remove, train_texts, written
 
 MODULUS, HELD = 3, 1
 #: Labelled rows that training takes at most.
@@ -49,11 +49,6 @@ def words_of(text: str | None) -> Counter:
     return Counter(_WORDS((text or "").lower()))
 
 
-def _joined(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """Text and label of the training rows; ``train`` has ``MOST`` rows at most, so it is broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").select("text", "label")
-
-
 def screen(rows: DataFrame, terms: int = TERMS) -> list[int]:
     """The hashed terms whose presence differs most between the labels (chi-square of documents)."""
 
@@ -161,9 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     """A machine from the labelled rows outside the held-out fold.
 
     Without any such rows, or with one label only, it scores every text alike: by the
-    smoothed share of label 1 (0.001 without rows).
+    smoothed share of label 1 (0.001 without rows). The rows that teach are written once,
+    so ``docs`` is read once, and ``most`` bounds what comes to the driver.
     """
-    rows = _joined(docs, train_rows(labels, label, MODULUS, HELD, most))
+    rows, path = written(train_texts(docs, labels, label, MODULUS, HELD, most).select("text", "label"))
     known = screen(rows)
 
     def counts(texts, own):
@@ -171,7 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         got = [terms.counts(t) for t in texts]
         return [a for a, _ in got], [x for _, x in got], own
 
-    found = map_columns(rows, counts, "at array<int>, x array<double>, label int").orderBy("label", "at", "x").collect() if known else []
+    found = map_columns(rows, counts, "at array<int>, x array<double>, label int").collect() if known else []
+    found.sort()  # the order in which rows arrive must not matter
+    remove(docs.sparkSession, path)
     return fit(known, [(r["at"], r["x"]) for r in found], np.array([float(r["label"] > 0) for r in found]))
 
 
@@ -189,6 +187,11 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score and decision for every document, and whether its label was held out of training."""
+    """Score and decision for every document, and whether its label was held out of training.
+
+    Null and empty texts are scored like others (without terms); repeated rows have equal
+    results; a null id counts as empty text for the fold. Empty ``docs`` give no rows, empty
+    ``labels`` one score for all. Only doc_id, text and the label are read.
+    """
     scored = score_documents(docs, train(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id"), MODULUS) == HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
