@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, train_rows
+from .common import fold, train_texts
 
 MODULUS, HELD = 5, 0
 #: Labelled rows that training takes at most.
@@ -180,14 +180,13 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST) -> Ensemble:
     """An ensemble from the labelled rows outside the held-out fold, ``most`` rows at most.
 
-    The chosen labels are broadcast (their number is bounded), so only the rows that
-    teach have their statistics computed, and only these come to the driver. Without any
-    rows every text scores ``NEUTRAL``.
+    Only the rows that teach have their statistics computed, once each, and only these
+    come to the driver. Without any rows every text scores ``NEUTRAL``.
     """
-    chosen = F.broadcast(train_rows(labels, label, MODULUS, HELD, most))
-    names = list(statistics(F.col("text")))
-    rows = with_statistics(docs.join(chosen.select("doc_id"), "doc_id", "left_semi")).join(chosen, "doc_id").select(*(F.col(f"s.{n}") for n in names), "label")
-    got = rows.orderBy(*names, "label").collect()
+    stats = statistics(F.col("text"))
+    names = list(stats)
+    rows = train_texts(docs, labels, label, MODULUS, HELD, most).select(*(c.alias(n) for n, c in stats.items()), F.col("label").alias("label"))
+    got = sorted(rows.collect())  # the order in which rows arrive must not matter
     return fit(names, np.array([r[:-1] for r in got], float).reshape(len(got), len(names)), np.array([float(r[-1] > 0) for r in got]))
 
 
@@ -197,7 +196,12 @@ def score_documents(docs: DataFrame, ensemble: Ensemble) -> DataFrame:
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score and decision for every document, and whether its label was held out of training."""
+    """Score and decision for every document, and whether its label was held out of training.
+
+    Null and empty texts are scored like others (their statistics are 0); repeated rows
+    have equal results; a null id counts as empty text for the fold. Empty ``docs`` give no
+    rows, empty ``labels`` one score for all. Only doc_id, text and the label are read.
+    """
     scored = score_documents(docs, train(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id"), MODULUS) == HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
