@@ -3,9 +3,11 @@
 Rules are regular expressions over bytes. They are compiled together: parsed to a
 nondeterministic automaton, made deterministic by subset construction over classes of
 bytes, minimised by partition refinement, and laid out as one transition array whose
-accepting states come last. One pass over a text's bytes then tells which rules match
-it at all. Only for those rules, and only in such a text, the matches' bounds are
-found with the rule's own anchored automaton: leftmost, longest, non-overlapping.
+accepting states come last. The automaton is that of the reversed rules and reads a text's
+bytes once, from the last to the first: so it accepts exactly where a match of a rule
+begins. Of a rule's places the leftmost counts; only from there its end is sought, over the
+match's own bytes, with the rule's anchored automaton (longest), and the next place that
+counts is at or after that end. Where no match begins, no byte is read twice.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import map_columns
+from .common import map_columns, with_columns
 
 
 @dataclass(frozen=True)
@@ -147,6 +150,17 @@ class _Parser:
         return frozenset(range(256)) - own if other else own
 
 
+def reverse(tree):
+    """The tree of the reversed texts."""
+    if isinstance(tree, frozenset):
+        return tree
+    if tree[0] == "cat":
+        return ("cat", *map(reverse, tree[:0:-1]))
+    if tree[0] == "or":
+        return ("or", *map(reverse, tree[1:]))
+    return ("rep", reverse(tree[1]), *tree[2:])
+
+
 class _Nfa:
     def __init__(self):
         self.steps: list[list[tuple[frozenset, int]]] = []
@@ -194,13 +208,14 @@ class _Nfa:
 class Automaton:
     """The minimal deterministic automaton of some patterns.
 
-    ``anywhere``: a match may begin at any byte, else at the first only. ``table`` has
+    ``anywhere``: a match may begin at any byte, else at the first only. ``backward``: the
+    patterns are reversed, for bytes that come from the last to the first. ``table`` has
     ``width`` next states for each state, all multiplied by ``width``; ``start`` is where a
     text begins, states from ``accepting`` on accept (``accepts``: which patterns), ``dead``
     is the state that nothing leads out of (or -1).
     """
 
-    def __init__(self, patterns: list[str], anywhere: bool):
+    def __init__(self, patterns: list[str], anywhere: bool, backward: bool = False):
         nfa = _Nfa()
         origin = nfa.state()
         finals = {}
@@ -209,6 +224,7 @@ class Automaton:
             tree = parser.alternatives()
             if parser.i < len(pattern):
                 raise ValueError(f"unexpected {pattern[parser.i]!r} in {pattern!r}")
+            tree = reverse(tree) if backward else tree
             start = nfa.state()
             nfa.free[origin].append(start)
             finals[nfa.add(tree, start)] = k
@@ -272,23 +288,18 @@ class Automaton:
         self.dead = int(place[stuck[0]]) * self.width if stuck else -1
         self.states = n
 
-    def matching(self, data: bytes) -> frozenset:
-        """Which patterns match somewhere: one pass."""
-        state, table, accepting, seen = self.start, self.table, self.accepting, set()
-        for c in data.translate(self.classes):
+    def begins(self, data: bytes) -> dict[int, list[int]]:
+        """Where a match of each pattern begins, from the last place to the first: one pass of a backward automaton."""
+        state, table, accepting, hits = self.start, self.table, self.accepting, []
+        for n, c in enumerate(data.translate(self.classes)[::-1], 1):
             state = table[state + c]
             if state >= accepting:
-                seen.add(state)
-        return frozenset().union(*map(self.accepts.__getitem__, seen))
-
-    def first_end(self, classes: bytes, start: int) -> int:
-        """Where the first match from ``start`` on to end ends, or -1."""
-        state, table, accepting = self.start, self.table, self.accepting
-        for i in range(start, len(classes)):
-            state = table[state + classes[i]]
-            if state >= accepting:
-                return i + 1
-        return -1
+                hits.append((n, state))
+        found: dict[int, list[int]] = {}
+        for n, state in hits:
+            for k in self.accepts[state]:
+                found.setdefault(k, []).append(len(data) - n)
+        return found
 
     def longest(self, classes: bytes, start: int) -> int:
         """End of the longest match at ``start``, or -1."""
@@ -303,34 +314,32 @@ class Automaton:
 
 
 class Scanner:
-    """All rules in one automaton, and each rule's own for the bounds."""
+    """All rules in one backward automaton, and each rule's own for the ends."""
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
-        self.all = Automaton([r.pattern for r in rules], anywhere=True)
-        self.own = [(Automaton([r.pattern], True), Automaton([r.pattern], False), Automaton([r.prefix], False) if r.prefix else None) for r in rules]
+        self.all = Automaton([r.pattern for r in rules], anywhere=True, backward=True)
+        self.own = [(Automaton([r.pattern], False), Automaton([r.prefix], False) if r.prefix else None) for r in rules]
 
-    def bounds(self, k: int, data: bytes) -> list[tuple[int, int]]:
-        rule, (search, anchored, prefix) = self.rules[k], self.own[k]
-        classes, whole = data.translate(search.classes), data.translate(anchored.classes)
+    def bounds(self, k: int, data: bytes, begins: list[int]) -> list[tuple[int, int]]:
+        """Leftmost, longest, non-overlapping matches, from all places where one begins (the last first)."""
+        rule, (anchored, prefix) = self.rules[k], self.own[k]
+        whole = data.translate(anchored.classes)
         found, at = [], 0
-        while (least := search.first_end(classes, at)) >= 0:
-            start = at
-            while (end := anchored.longest(whole, start)) < 0:
-                start += 1
-            assert start < least
-            lead = prefix.longest(data[start:end].translate(prefix.classes), 0) if prefix else 0
-            if end - start - lead >= rule.least:
-                found.append((start, end))
-            at = max(end, start + 1)
+        for start in reversed(begins):
+            if start < at:
+                continue
+            at = anchored.longest(whole, start)
+            lead = prefix.longest(data[start:at].translate(prefix.classes), 0) if prefix else 0
+            if at - start - lead >= rule.least:
+                found.append((start, at))
         return found
 
     def scan(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by start and then by the rules' order."""
         text = text or ""
         data = text.encode("utf-8", "surrogatepass")
-        spans = [(s, k, e) for k in self.all.matching(data) for s, e in self.bounds(k, data)]
-        spans.sort()
+        spans = sorted((s, k, e) for k, places in self.all.begins(data).items() for s, e in self.bounds(k, data, places))
         if len(data) == len(text):
             return [(self.rules[k].kind, s, e) for s, k, e in spans]
         points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
@@ -379,18 +388,15 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Null texts stay null; all other columns stay as they are.
     """
-    place = docs.columns.index("text")
-    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    reads = ["text", "n_chars"] if "n_chars" in docs.columns else ["text"]
 
-    def clean(*columns):
-        columns = list(columns)
-        texts = [redacted(t, scanner(rules).scan(t)) for t in columns[place]]
-        if size is not None:
-            columns[size] = [n if t is old or t == old else len(t) for n, t, old in zip(columns[size], texts, columns[place], strict=True)]
-        columns[place] = texts
-        return tuple(columns)
+    def clean(old, sizes=None):
+        texts = [redacted(t, scanner(rules).scan(t)) for t in old]
+        if sizes is None:
+            return (texts,)
+        return texts, [n if t is o or t == o else len(t) for n, t, o in zip(sizes, texts, old, strict=True)]
 
-    return map_columns(docs, clean, docs.schema)
+    return with_columns(docs, reads, clean, StructType([docs.schema[c] for c in reads]))
 
 
 def joined(spans):
@@ -399,7 +405,12 @@ def joined(spans):
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the digest of their spans, and all spans, for every row of ``docs``."""
+    """Counts of the base kinds, the digest of their spans, and all spans, for every row of ``docs``.
+
+    Null and empty texts have none (the digest of the empty text); spans that begin
+    together come in the rules' order; repeated rows have equal results; an empty table
+    gives no rows. Only doc_id and text are read.
+    """
     found = find_secrets(docs)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
