@@ -51,7 +51,8 @@ class Parsed:
 
 
 _POWER = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
+#: A line's end and the end of a comment also end an expression.
+_TOKEN = re.compile(r"\n|\*/|\(|\)|[a-z0-9][a-z0-9.+:-]*")
 
 
 def postfix(expression: str) -> list[str]:
@@ -107,15 +108,18 @@ def evaluate(tokens: list[str]) -> Parsed:
     return stack[0]
 
 
-def parse_tag(rest: str) -> Parsed:
-    """The expression that ``rest`` (lower-cased, after a tag, up to the line's end) begins with.
+def parse_tag(low: str, start: int = 0) -> Parsed:
+    """The expression that the line begins with at ``start`` (of a lower-cased text, after a tag), however long.
 
     Of a line that goes on with other words, the longest beginning that is an expression
-    counts; without any, nothing is found.
+    counts; without any, nothing is found. Reading stops at the first token that can't go on.
     """
-    tokens = _TOKEN.findall(rest[:4096].split("*/")[0])
+    tokens: list[str] = []
     end, operand, depth = 0, False, 0
-    for k, token in enumerate(tokens):
+    for k, token in enumerate(m[0] for m in _TOKEN.finditer(low, start)):
+        if token in ("\n", "*/"):
+            break
+        tokens.append(token)
         if token in _POWER or token == ")":
             if not operand or token == ")" and not depth:
                 break
@@ -167,8 +171,7 @@ def scan(text: str | None) -> tuple[int, list[int], set[str], set[str], float]:
             base.add(label)
     low = data.translate(_LOWER).decode("latin-1")
     for end, _ in tags.iter(low):
-        line = low.find("\n", end)
-        found = parse_tag(low[end + 1 : line if line >= 0 else len(low)])
+        found = parse_tag(low, end + 1)
         labels |= found.labels
         score = max(score, found.weight)
     return len(words), places, base, labels, score
