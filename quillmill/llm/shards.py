@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Parts that each shard's rows are numbered in; the counts of all parts are the only thing gathered.
 PARTS = 512
 
@@ -25,17 +27,20 @@ def draw(key: Column, shard: Column, weight: Column | None = None) -> Column:
     return drawn if weight is None else drawn / weight
 
 
-def assign(key: Column, shards: int, weights: list[float] | None = None) -> Column:
-    """The shard, 0 to shards - 1, of a key (text). Equal draws go to the larger number."""
+def best_draw(key: Column, shards: int, weights: list[float] | None = None) -> Column:
+    """Draw (d) and number (s) of the shard, 0 to shards - 1, that wins a key (text). Equal draws go to the larger number."""
     if shards < 1 or weights is not None and (len(weights) != shards or min(weights) <= 0):
         raise ValueError("one positive weight for each of one or more shards")
     at = F.sequence(F.lit(0), F.lit(shards - 1))
     if weights is None:
-        best = F.array_max(F.transform(at, lambda s: F.struct(draw(key, s).alias("d"), s.alias("s"))))
-    else:
-        known = F.array(*map(F.lit, weights))
-        best = F.array_max(F.transform(at, lambda s: F.struct(draw(key, s, F.get(known, s)).alias("d"), s.alias("s"))))
-    return best["s"]
+        return F.array_max(F.transform(at, lambda s: F.struct(draw(key, s).alias("d"), s.alias("s"))))
+    known = F.array(*map(F.lit, weights))
+    return F.array_max(F.transform(at, lambda s: F.struct(draw(key, s, F.get(known, s)).alias("d"), s.alias("s"))))
+
+
+def assign(key: Column, shards: int, weights: list[float] | None = None) -> Column:
+    """The shard, 0 to shards - 1, of a key (text)."""
+    return best_draw(key, shards, weights)["s"]
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, weights: list[float] | None = None, parts: int = PARTS) -> DataFrame:
@@ -45,20 +50,22 @@ def shard_documents(docs: DataFrame, shards: int = 24, weights: list[float] | No
     ``parts`` parts (by a hash of doc_id and text, so that rows with one id are spread),
     each from the number of rows in the parts before it; the counts are aggregated
     before they are shuffled. size is the text's UTF-8 bytes plus 8 and text_crc32 the
-    CRC-32 of those bytes (null: none). Only doc_id and text are read, and only
-    digests of the text are shuffled.
+    CRC-32 of those bytes (null: none). Only doc_id and text are read, once: what is drawn
+    and digested is written, and only that is counted and shuffled. Repeated rows have
+    slots of their own; an empty table gives no rows.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    grown = None if weights is None else [*weights, sum(weights) / len(weights)]
-    rows = docs.select(
+    weight = None if weights is None else F.lit(sum(weights) / len(weights))
+    drawn = docs.select(
         "doc_id",
         (F.octet_length(data) + 8).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
-        assign(key, shards, weights).alias("shard"),
-        assign(key, shards + 1, grown).alias("grown_shard"),
+        best_draw(key, shards, weights).alias("best"),
+        F.struct(draw(key, F.lit(shards), weight).alias("d"), F.lit(shards).alias("s")).alias("more"),
         (hash52(F.concat_ws("/", key, F.md5(data))) % parts).cast("int").alias("part"),
     )
+    rows, _ = written(drawn.select("doc_id", "size", "text_crc32", F.col("best.s").alias("shard"), F.greatest("best", "more")["s"].alias("grown_shard"), "part"))
     count = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = count.select("shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
