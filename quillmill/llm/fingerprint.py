@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-EXACT, SKETCH, RUN = 32, 512, 8
+EXACT, SKETCH, RUN, CHUNK = 32, 512, 8, 1 << 20
 WIDTH = EXACT * 8 + SKETCH * 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,13 +86,15 @@ class Fingerprint:
 
 
 def vector(paragraph: str) -> tuple[np.ndarray, np.ndarray]:
-    """The lanes that one paragraph adds."""
+    """The lanes that one paragraph adds. Its runs are counted by ``CHUNK``, so a long one needs little more than its bytes."""
     data = paragraph.encode("utf-8", "surrogatepass")
     exact = np.frombuffer(hashlib.shake_128(data).digest(EXACT * 8), "<u8")
     padded = data.ljust(RUN, b"\0")
-    runs = np.ndarray(len(padded) - RUN + 1, "<u8", padded, strides=(1,)) * _MIX
-    lanes = np.bincount((runs >> np.uint64(54)).astype(np.int64), minlength=2 * SKETCH)
-    return exact, (lanes[::2] - lanes[1::2]).astype(np.int64).astype(np.uint32)
+    n, lanes = len(padded) - RUN + 1, np.zeros(2 * SKETCH, np.int64)
+    for at in range(0, n, CHUNK):
+        runs = np.ndarray(min(CHUNK, n - at), "<u8", padded, at, (1,)) * _MIX
+        lanes += np.bincount((runs >> np.uint64(54)).astype(np.int64), minlength=2 * SKETCH)
+    return exact, (lanes[::2] - lanes[1::2]).astype(np.uint32)
 
 
 def edited(text: str, following: str) -> str:
@@ -118,16 +120,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, vector binary")
 
 
+def _longs(values: list[int]):
+    """A constant array: one literal, which Catalyst folds, however many values it has."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
 def _place(key, splits: list[int]):
     """How many of the sorted ``splits`` are at most ``key``, by a search in two steps."""
     if not splits:
         return F.lit(0)
     step = max(1, int(len(splits) ** 0.5))
-    blocks = [splits[i : i + step] for i in range(0, len(splits), step)]
-    longs = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
-    coarse = f"size(filter({longs([b[0] for b in blocks])}, x -> x <= {key}))"
-    fine = f"get(array({','.join(map(longs, blocks))}), {coarse} - 1)"
-    return F.expr(f"case when {coarse} = 0 then 0 else ({coarse} - 1) * {step} + size(filter({fine}, x -> x <= {key})) end")
+    upto = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
+    coarse = upto(_longs(splits[::step]))
+    fine = upto(F.slice(_longs(splits), (coarse - 1) * step + 1, step))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -136,25 +142,24 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     Rows are dealt out by ranges of doc_id and sorted in them; the first row of each
     range is sent to the range before it as well (``ahead``), that of the first range to
     the last. So one shuffle of the texts is enough, no task holds more than a range,
-    and only ``parts`` split points and minima come to the driver. Null ids come first;
+    and only ``parts`` split points (a tenth of a range from where they should be, at most)
+    and minima come to the driver; finding them reads doc_id alone. Null ids come first;
     rows with equal ids follow each other in the order of their texts.
     """
     low = -(1 << 63) + 1
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(low)).alias("k"))
     parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranks = rows.select("k").agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else []
-    bucket = _place("k", sorted(set(ranks or [])))
+    ranks = rows.select("k").agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] if parts > 1 else []
+    bucket = _place(F.col("k"), sorted(set(ranks or [])))
     first = {r["bucket"]: r["k"] for r in rows.select("k", bucket.alias("bucket")).groupBy("bucket").agg(F.min("k").alias("k")).collect()}
     full = sorted(first)
     if not full:
         return rows.selectExpr("0 as bucket", "false as ahead", "k", "doc_id", "text")
     before = dict(zip(full, [full[-1], *full[:-1]], strict=True))
-    at = lambda known, default: "array(" + ",".join(str(known.get(b, default)) + "L" for b in range(full[-1] + 1)) + ")"
-    places = F.expr(f"""
-        case when k = get({at(first, low)}, bucket)
-        then array(struct(bucket as bucket, false as ahead), struct(cast(get({at(before, 0)}, bucket) as int) as bucket, true as ahead))
-        else array(struct(bucket as bucket, false as ahead)) end
-    """)
+    at = lambda known, default: F.get(_longs([known.get(b, default) for b in range(full[-1] + 1)]), F.col("bucket"))
+    row = lambda bucket, ahead: F.struct(bucket.cast("int").alias("bucket"), F.lit(ahead).alias("ahead"))
+    own = row(F.col("bucket"), False)
+    places = F.when(F.col("k") == at(first, low), F.array(own, row(at(before, 0), True))).otherwise(F.array(own))
     dealt = rows.withColumn("bucket", bucket).withColumn("to", F.explode(places)).select("to.bucket", "to.ahead", "k", "doc_id", "text")
     return dealt.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "ahead", "k", "text")
 
