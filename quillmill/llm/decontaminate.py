@@ -5,8 +5,9 @@ A passage's score for an item is BM25 over the words that both have, as a share
 score that the item gets for its own words. An item that keeps ``SIMILAR`` of its word
 shingles lacks no more words than it lacks shingles, so its share is at least one less the
 shares of its so many heaviest words: that is the item's threshold, and every item that
-reaches its own is retrieved. A retrieved pair is then verified on word shingles of the
-whole document: what share of the item's question and of its answer the document holds.
+reaches its own is retrieved. (Where that leaves no threshold, as for an item of few
+different words, one word is enough.) A retrieved pair is then verified on word shingles of
+the whole document: what share of the item's question and of its answer the document holds.
 
 Items are ordered by length and lie in blocks of ``BLOCK``; for each word and block the
 index has the largest part that the word can add there, relative to the threshold. A
@@ -14,7 +15,10 @@ passage's words give a bound for each block; only blocks whose bound reaches one
 opened, and in them WAND pivots over the posting lists.
 
 Passages are windows at steps of the longest item's length, wide enough that an item's
-copy, with a quarter more words put into it, lies within one of them.
+copy, with a quarter more words put into it, lies within one of them, and the whole
+document. So an item whose parts lie far apart is retrieved as well, and what is found
+depends neither on the windows nor on the other items; a pair's score is that of its
+best window, or of the document if no window reaches the threshold.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import map_columns
+from .common import make_room, remove, with_columns, written
 
 K1, B = 1.2, 0.75
 SHINGLE, SIMILAR, PART = 5, 0.8, 0.5
-WIDE = 2.25
-BLOCK = 8
+WIDE, LEAST = 2.25, 0.05
+BLOCK = 2
 #: What one index holds at most: items, and bytes of their texts. More items are searched in several passes.
 INDEX_ITEMS, INDEX_BYTES = 2048, 2 << 20
 
@@ -47,13 +51,13 @@ def words(text: str | None) -> list[str]:
 
 
 class Index:
-    """BM25 over items (id, text), of which ``n`` in all have the document frequencies ``df`` and the mean length ``mean``."""
+    """BM25 over items (id, text); ``n`` items in all have the document frequencies ``df``, and lengths of ``mean`` on average and ``longest`` at most."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float, block: int = BLOCK):
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float, longest: int, block: int = BLOCK):
         split = sorted((len(own), item_id, own) for item_id, own in ((i, words(t)) for i, t in items) if own)
         self.ids, self.question, self.answer, self.theta = [], [], [], []
         self.postings: dict[str, tuple[list[int], list[float]]] = {}
-        self.longest, self.block = split[-1][0] if split else 1, block
+        self.longest, self.block = max(1, longest), block
         for at, (length, item_id, own) in enumerate(split):
             part = {
                 w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
@@ -64,7 +68,8 @@ class Index:
             self.question.append(shingles(own[: cut + SHINGLE - 1]))
             self.answer.append(shingles(own[cut:] if length - cut >= SHINGLE else own[-SHINGLE:]))
             lost = int((1 - SIMILAR) * len(self.question[-1] | self.answer[-1]) + 1e-9)
-            self.theta.append(1 - sum(sorted(part.values(), reverse=True)[:lost]) / whole)
+            theta = 1 - sum(sorted(part.values(), reverse=True)[:lost]) / whole
+            self.theta.append(theta if theta > LEAST else min(part.values()) / whole)
             self.ids.append(item_id)
             for w, p in part.items():
                 at_, parts = self.postings.setdefault(w, ([], []))
@@ -126,6 +131,9 @@ class Index:
         for at in range(0, max(1, len(own) - width + step), step):
             for item, s in self.search({*rows[at : at + width], -1}):
                 score[item] = max(s, score.get(item, 0.0))
+        if len(own) > width:
+            for item, s in self.search({*rows, -1}):
+                score.setdefault(item, s)
         if not score:
             return []
         have, out = shingles(own), []
@@ -159,43 +167,54 @@ def contamination(docs: DataFrame, items: DataFrame, out: str = "matches") -> Da
     """``docs`` and, in ``out``, the test items that each row's text holds.
 
     Null and empty texts hold none; items without id, text or words are never found;
-    items with equal ids or texts are each looked for. Of ``items`` only item_id and text
-    are read; the columns of ``docs`` pass unchanged, whatever their names (but ``out``).
+    items that share an id or a text are each looked for, rows that repeat both once. Of
+    ``items`` only item_id and text are read; the columns of ``docs`` pass unchanged, and one
+    named as ``out`` gets a number after its name. Empty tables find nothing.
 
     The index goes to every worker by broadcast, so its size is checked: items beyond
     ``INDEX_ITEMS`` or ``INDEX_BYTES`` are split into blocks by a hash, and the documents are
-    searched for one block after the other. Document frequencies and lengths are those of
-    all items, so that a score doesn't depend on the blocks.
+    searched for one block after the other. Document frequencies are counted in Spark, and
+    with the lengths they are those of all items: neither rows nor scores depend on the blocks.
     """
-    rows = items.select("item_id", "text").where("item_id is not null and text is not null")
-    count, total = rows.agg(F.count("text"), F.sum(F.octet_length("text"))).first()
-    blocks = max(1, -(-count // INDEX_ITEMS), -(-(total or 0) // INDEX_BYTES))
-    df, n, length = Counter(), 0, 0
-    for r in rows.toLocalIterator():
-        own = words(r["text"])
-        df.update(set(own))
-        n, length = n + bool(own), length + len(own)
-    place, found = docs.columns.index("text"), docs.withColumn(out, F.lit(None).cast(_MATCHES))
+    spark = docs.sparkSession
+    rows = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+
+    def own_words(texts):
+        own = [words(t) for t in texts]
+        return [len(w) for w in own], [sorted(set(w)) for w in own]
+
+    rows, path = written(with_columns(rows, ["text"], own_words, "n int, words array<string>"))
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.col("n") > 0).alias("n"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
+    blocks = max(1, -(-size["rows"] // INDEX_ITEMS), -(-(size["bytes"] or 0) // INDEX_BYTES))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    df, to = written(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    whole = (size["n"], (size["words"] or 0) / max(1, size["n"]), size["longest"] or 1)
+    found = make_room(docs, {out}).withColumn(out, F.lit(None).cast(_MATCHES))
     for k in range(blocks):
-        block = sorted((r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect())
-        known = {w: df[w] for _, t in block for w in words(t)}
-        shipped = docs.sparkSession.sparkContext.broadcast((block, known, n, length / max(1, n)))
+        own = rows.where(F.col("block") == k)
+        block = sorted((r["item_id"], r["text"]) for r in own.select("item_id", "text").collect())
+        known = {r["word"]: r["df"] for r in own.select(F.explode("words").alias("word")).distinct().join(df, "word").collect()}
+        shipped = spark.sparkContext.broadcast((block, known, *whole))
 
-        def search(*columns, shipped=shipped):
+        def search(texts, before, shipped=shipped):
             index = _index(shipped)
-            own = [[dict(zip(_MATCH, m, strict=True)) for m in index.matches(t)] for t in columns[place]]
-            return *columns[:-1], [(a or []) + b for a, b in zip(columns[-1], own, strict=True)]
+            return ([(a or []) + [dict(zip(_MATCH, m, strict=True)) for m in index.matches(t)] for t, a in zip(texts, before, strict=True)],)
 
-        found = map_columns(found, search, found.schema)
+        found = with_columns(found, ["text", out], search, StructType([found.schema[out]]))
+    remove(spark, path, to)
     return found
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row for each document and each test item that it holds: ids, BM25 share and overlaps."""
+    """A row for each document and each test item that it holds: ids, BM25 share and overlaps.
+
+    Documents without items (null and empty texts among them) have no row; repeated
+    documents have equal rows; a null doc_id stays null.
+    """
     return contamination(docs.select("doc_id", "text"), items).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no test item, with their columns."""
+    """The rows of ``docs`` whose text holds no test item, with their columns. Null and empty texts stay."""
     out = next(f"matches{k}" for k in range(len(docs.columns) + 1) if f"matches{k}" not in docs.columns)
     return contamination(docs, items, out).where(F.size(out) == 0).drop(out)
