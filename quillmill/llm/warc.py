@@ -14,14 +14,19 @@ of the headers' side, a hot digest's partition can be split.
 from __future__ import annotations
 
 import gzip
+import io
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import bound_batches, forget_at_exit, scratch_dir, written
 
 #: From so many bytes on, a repeated payload is a revisit of the first record that has it.
 LEAST = 100
@@ -120,31 +125,44 @@ def parse_records(data: bytes) -> Iterator[tuple[str | None, bytes, bytes, bytes
     """(record id, header, head, payload) of the records of a WARC file, plain or gzipped.
 
     The three parts and the two closing lines are the record's exact bytes. head is what an
-    HTTP message has before its body, else empty. ValueError at the first byte that isn't
-    part of a record.
+    HTTP message has before its body, else empty. A gzipped file is unpacked as it is read,
+    so that one record at a time is held. ValueError at the first byte that isn't part of a
+    record.
     """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at) + 4
-        header = data[at:end]
-        length = _LENGTH.search(header)
-        if end < 4 or not header.startswith(b"WARC/") or not length:
-            raise ValueError(f"no record at byte {at}")
-        stop = end + int(length[1])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end at byte {stop}")
-        block = data[end:stop]
-        cut = block.find(b"\r\n\r\n") + 4 if _HTTP.search(header) else 0
-        cut = 0 if cut < 4 else cut
-        found = _ID.search(header)
-        yield found and found[1].decode("utf-8", "replace"), header, block[:cut], block[cut:]
-        at = stop + 4
+    try:
+        while header := _header(stream):
+            length = _LENGTH.search(header)
+            if not header.endswith(b"\r\n\r\n") or not header.startswith(b"WARC/") or not length:
+                raise ValueError(f"no record at byte {at}")
+            block = stream.read(int(length[1]))
+            if len(block) < int(length[1]) or stream.read(4) != b"\r\n\r\n":
+                raise ValueError(f"the record at byte {at} doesn't end where its length says")
+            cut = block.find(b"\r\n\r\n") + 4 if _HTTP.search(header) else 0
+            cut = 0 if cut < 4 else cut
+            found = _ID.search(header)
+            yield found and found[1].decode("utf-8", "replace"), header, block[:cut], block[cut:]
+            at += len(header) + len(block) + 4
+    except (EOFError, OSError, zlib.error) as e:
+        raise ValueError(f"the record at byte {at} can't be unpacked: {e}") from None
+
+
+def _header(stream) -> bytes:
+    """All up to the next empty line, with it; less at the end of the stream."""
+    lines: list[bytes] = []
+    while line := stream.readline():
+        lines.append(line)
+        if line == b"\r\n" and (len(lines) == 1 or lines[-2].endswith(b"\r\n")):
+            break
+    return b"".join(lines)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ``.warc`` and ``.warc.gz`` files under a path; a damaged file is an error."""
+    """The records of all ``.warc`` and ``.warc.gz`` files under a path; a damaged file is an error.
+
+    A file is read as one value, which Spark bounds at 2 GB.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _PARSED.split(", ")]
@@ -157,6 +175,33 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, _PARSED)
 
 
+def write_files(archive: DataFrame, path: str) -> DataFrame:
+    """Writes the exact records as ``part-*.warc.gz`` files, each record a member of its own; tells file, records and bytes.
+
+    ``path`` is a folder that all executors share, by a URI that Arrow can write to. A task
+    writes one file, under a name of its own until it is whole, so one that is repeated
+    replaces its file. Partitions without records write none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        name, own, out, n, size = f"part-{TaskContext.get().partitionId():05d}.warc.gz", f"{root}/.{uuid.uuid4().hex}", None, 0, 0
+        for batch in batches:
+            for record in batch.column(0):
+                out = out or store.open_output_stream(own, compression=None)
+                data = gzip.compress(record.as_py(), mtime=0)
+                out.write(data)
+                n, size = n + 1, size + len(data)
+        if out:
+            out.close()
+            store.move(own, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([size])], names=["file", "records", "bytes"])
+
+    bound_batches(archive.sparkSession)
+    return written(records(archive).select("record").mapInArrow(run, "file string, records long, bytes long"))[0]
+
+
 def store_records(records: DataFrame, path: str) -> None:
     """Archives parsed records (record_id, header, head, payload): equal payloads once, all else as it is. Null parts count as empty."""
     part = lambda name: F.coalesce(name, F.lit("").cast("binary")).alias(name)
@@ -172,6 +217,7 @@ def archive_report(pages: DataFrame) -> DataFrame:
     """
     path = scratch_dir(pages.sparkSession)
     write_archive(pages, path)
+    forget_at_exit(pages.sparkSession, path)
     header = F.col("header")
     return read_archive(pages.sparkSession, path).select(
         field(header, "WARC-Page-ID").cast("long").alias("page_id"),
