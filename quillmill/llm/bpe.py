@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from .common import bound_batches
+from .common import bound_batches, make_room
 
 NONE = 1 << 30
 #: Pre-tokens that a worker remembers at most; then it starts anew.
@@ -109,7 +109,7 @@ class Vocabulary:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank at which each pair merges; NONE if it doesn't."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.merged[at], NONE) if len(self.pair) else np.full(len(key), NONE)
 
@@ -119,18 +119,31 @@ class Vocabulary:
         return [b"".join([token[i] for i in ids[a:b].tolist()]) for a, b in itertools.pairwise(bounds)]
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, and where each piece's ids end."""
+        """Ids of all pieces, and where each piece's ids end. A piece that is a token is that one id, merges or not."""
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        ids, end = self._merged([p for p, w in zip(pieces, whole.tolist(), strict=True) if w < 0])
+        counts = np.ones(len(pieces), np.int64)
+        counts[whole < 0] = np.diff(end, prepend=0)
+        ends = np.cumsum(counts)
+        out = np.empty(counts.sum(), np.int64)
+        merged = np.repeat(whole < 0, counts)
+        out[merged], out[~merged] = ids, whole[whole >= 0]
+        return out, ends
+
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces by merges alone, and where each piece's ids end."""
         length = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n, ends = len(data), np.cumsum(length)
         if not n:
             return np.empty(0, np.int64), np.zeros(len(pieces), np.int64)
-        piece = np.repeat(np.arange(len(pieces)), length)
-        token = np.append(self.byte[data], -1)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        kind = np.int32 if n < 1 << 30 else np.int64  # five numbers for each byte: a long pre-token's memory
+        piece = np.repeat(np.arange(len(pieces), dtype=kind), length)
+        token = np.append(self.byte[data], -1).astype(kind)
+        after, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
         after[ends[length > 0] - 1] = n
         before[(ends - length)[length > 0]] = n
-        rank = np.full(n + 1, NONE)
+        rank = np.full(n + 1, NONE, kind)
         queue = RankQueue(self.size)
 
         def look(at: np.ndarray) -> None:
@@ -151,7 +164,7 @@ class Vocabulary:
                 for r, s, e in zip(found[start].tolist(), start, [*start[1:], len(at)], strict=True):
                     queue.push(r, at[s:e])
 
-        look(np.arange(n))
+        look(np.arange(n, dtype=kind))
         while (r := queue.first()) >= 0:
             at = queue.take(r)
             at = at[rank[at] == r]
@@ -240,8 +253,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
     ``vocabulary`` is a file of ranks that the driver can read; it is broadcast (a
     vocabulary's size doesn't depend on the corpus). Each match of ``pattern`` is
     encoded by itself; there are no special tokens. Null and empty texts give an empty
-    array. All other columns pass unchanged, and one named as ``out`` or ``back`` is replaced.
+    array. All other columns pass unchanged; one named as ``out`` or ``back`` gets a number
+    after its name (the first that is free).
     """
+    docs = make_room(docs, {out, back} - {text})
     bound_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         data = f.read()
@@ -269,9 +284,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """``tokens`` with the bytes that ``ids`` stand for in ``out`` and without ``ids``.
 
-    Null arrays give empty bytes; a null id, or one outside the
+    A column that is named as ``out`` gets a number after its name. Null arrays give empty bytes; a null id, or one outside the
     vocabulary, is an error, as no bytes could be right.
     """
+    tokens = make_room(tokens, {out} - {ids})
     bound_batches(tokens.sparkSession)
     with open(vocabulary, "rb") as f:
         data = f.read()
@@ -293,7 +309,11 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", out: str = "byt
 
 
 def token_report(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Number and digest of the ids of every text of ``docs``, and the digest of the bytes they decode to."""
+    """Number and digest of the ids of every text of ``docs``, and the digest of the bytes they decode to.
+
+    Null and empty texts have no ids (and the digests of nothing); repeated rows have
+    equal results; an empty table gives no rows. Only doc_id and text are read.
+    """
     return encode(docs.select("doc_id", "text"), vocabulary, pattern, back="bytes").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
