@@ -206,7 +206,9 @@ def connected(edges: DataFrame) -> tuple[DataFrame, str]:
     """(node, root) of every node that has an edge; root is the component's smallest node.
 
     Large-star and small-star steps until the edges stay the same. Every step is a
-    written table; per-node minima are combined before they are shuffled.
+    written table; per-node minima are combined before they are shuffled. The centre of a
+    large component is a hot key of the joins: its rows are pairs of integers, and AQE
+    (on by default) splits the partition that they fall into.
     """
     spark = edges.sparkSession
     now, path = written(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").where("a <> b").distinct())
