@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, licenses
 from .bpe import token_report
 from .common import read
 from .decontaminate import contaminated_pairs
@@ -61,7 +63,8 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    pairs = contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return pairs.withColumn("score", F.round("score", 9))  # sums of doubles differ by their order
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -99,7 +102,83 @@ _FOUND = " union all ".join(
         where length({f"regexp_extract(m[i], '{pattern}', 2)" if o == 0 else "m[i]"}) >= {least}"""
     for o, (kind, pattern, least) in enumerate(_SECRETS)
 )
+#: Rows of the phrases: words, whether it is a base phrase, and its label.
+_PHRASES = ", ".join(f"({phrase.split()}, {phrase in licenses.BASE}, '{label}')" for phrase, label in (licenses.BASE | licenses.NOTICES).items())
+_FAMILY = "case " + " ".join(f"when starts_with(t, '{begin}') then '{label}'" for begin, label in licenses.FAMILIES) + " else 'other' end"
+_WEIGHT = "case label " + " ".join(f"when '{label}' then {w}::double" for label, w in licenses.WEIGHT.items()) + f" else {licenses.UNKNOWN}::double end"
+_TAG = "|".join(licenses.TAGS)
+#: Runs of five words (of fewer: all) of a list of words.
+_RUNS = lambda words: f"(case when len({words}) <= 5 then [array_to_string({words}, ' ')] else list_transform(range(1, len({words}) - 3), lambda k: array_to_string(({words})[k:k + 4], ' ')) end)"
 ORACLE_SQL: dict[str, str] = {
+    "op8_licenses": rf"""
+        with recursive d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents),
+        w as (select r, doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from d),
+        phrases as (select * from (values {_PHRASES}) as p(words, base, label)),
+        begins as (select r, word, pos from (select r, unnest(w) as word, unnest(range(len(w))) as pos from w) where word in (select words[1] from phrases)),
+        noted as (select r, label, base, pos from begins join phrases on word = words[1] join w using (r) where w[pos + 1:pos + len(words)] = words),
+        tagged as (select r, low, regexp_extract_all(low, '{_TAG}') as m, regexp_split_to_array(low, '{_TAG}') as s from d where regexp_matches(low, '{_TAG}')),
+        place as (select r, low, i, list_sum(list_transform(s[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) as pos from (select *, unnest(range(1, len(m) + 1)) as i from tagged)),
+        told as (select r, i, regexp_extract_all(split_part(split_part(substr(low, pos::bigint + 1), chr(10), 1), '*/', 1), '\(|\)|[a-z0-9][a-z0-9.+:-]*') as tokens from place),
+        scan as (
+            select r, i, tokens, 0 as k, false as operand, 0 as depth, 0 as best from told
+            union all
+            select r, i, tokens, k + 1, operand_, depth_, case when operand_ and depth_ = 0 then k + 1 else best end
+            from (select *, t not in ('or', 'and', 'with', '(') as operand_, depth + case t when '(' then 1 when ')' then -1 else 0 end as depth_ from (select *, tokens[k + 1] as t from scan where k < len(tokens))
+                  where case when t in ('or', 'and', 'with', ')') then operand and (t <> ')' or depth > 0) else not operand end)
+        ),
+        expression as (select r, i, any_value(tokens)[1:max(best)] as tokens from scan group by r, i having max(best) > 0),
+        yard as (
+            select r, i, tokens, 0 as k, []::varchar[] as ops, []::struct(labels varchar[], weight double)[] as vals, false as done from expression
+            union all
+            select r, i, tokens,
+                case when pop then k else k + 1 end,
+                case when pop or t = ')' then ops[:-2] when t in ('or', 'and', 'with', '(') then list_append(ops, t) else ops end,
+                case when pop then list_append(vals[:-3], case top when 'with' then {{'labels': a.labels, 'weight': a.weight * 0.75::double}}
+                                                                   else {{'labels': list_distinct(a.labels || b.labels), 'weight': case top when 'or' then least(a.weight, b.weight) else greatest(a.weight, b.weight) end}} end)
+                     when t is null or t in ('or', 'and', 'with', '(', ')') then vals else list_append(vals, {{'labels': [label], 'weight': {_WEIGHT}}}) end,
+                t is null and not pop
+            from (select *, {_FAMILY} as label, vals[-2] as a, vals[-1] as b,
+                         coalesce(top <> '(' and case when t is null or t = ')' then true when t in ('or', 'and', 'with') then list_position(['or', 'and', 'with'], top) >= list_position(['or', 'and', 'with'], t) else false end, false) as pop
+                  from (select *, tokens[k + 1] as t, ops[-1] as top from yard where not done))
+        ),
+        licensed as (select r, vals[1] as v from yard where done),
+        found as (select r, label, base, {_WEIGHT} as weight from noted union all select r, unnest(v.labels), false, v.weight from licensed),
+        g as (select r, coalesce(array_to_string(list_sort(list(distinct label) filter (where base)), ','), '') as base_labels, array_to_string(list_sort(list(distinct label)), ',') as labels, max(weight) as score from found group by r),
+        b as (select r, count(*) as n_base, min(pos)::bigint as first_word, max(pos)::bigint as last_word from noted where base group by r)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0::double) as score
+        from w left join b using (r) left join g using (r)
+    """,
+    "op10_decontaminate": rf"""
+        with i as (select row_number() over () as i, item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') as w from (select distinct item_id, text from benchmark where item_id is not null and text is not null)),
+        c as (select *, len(w) as n, greatest(1, len(w) - greatest(1, len(w) // 4)) as cut from i where len(w) > 0),
+        parts as (select i, unnest({_RUNS("w[1:cut + 4]")}) as s, true as q, false as a from c union all select i, unnest({_RUNS("(case when n - cut >= 5 then w[cut + 1:] else w[greatest(n - 4, 1):] end)")}), false, true from c),
+        runs as (select i, s, bool_or(q) as q, bool_or(a) as a from parts group by i, s),
+        size as (select i, count(*) as runs, count(*) filter (where q) as q, count(*) filter (where a) as a from runs group by i),
+        d as (select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') as w from documents),
+        have as (select distinct r, s from (select r, unnest({_RUNS("w")}) as s from d)),
+        hit as (select r, i, count(*) as runs, count(*) filter (where q) as q, count(*) filter (where a) as a from have join runs using (s) group by r, i),
+        long as (select r, i, hit.runs / size.runs as overlap, hit.q / size.q as question, hit.a / size.a as answer from hit join size using (i) join c using (i) where c.n >= 5),
+        shorts as (select distinct n from c where n < 5),
+        few as (select distinct r, n, s from (select r, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) as s from d, shorts)),
+        pair as (select r, i, overlap, question, answer from long where overlap >= {decontaminate.SIMILAR}::double and question >= {decontaminate.PART}::double and answer >= {decontaminate.PART}::double
+                 union all select r, c.i, 1, 1, 1 from few join c on few.n = c.n and few.s = array_to_string(c.w, ' ')),
+        whole as (select count(*) as items, sum(n) / count(*) as mean, max(n) as step, floor({decontaminate.WIDE} * max(n))::bigint as width from c),
+        tf as (select i, word, count(*) as tf from (select i, unnest(w) as word from c) group by i, word),
+        df as (select word, count(*) as df from tf group by word),
+        bm as (select i, word, ln(1 + (items - df + 0.5::double) / (df + 0.5::double)) * tf * ({decontaminate.K1}::double + 1) / (tf + {decontaminate.K1}::double * (1 - {decontaminate.B}::double + {decontaminate.B}::double * n / mean)) as part
+               from tf join df using (word) join c using (i), whole),
+        weights as (select i, sum(part) as total, min(part) as smallest, list(part order by part desc) as parts from bm group by i),
+        theta as (select i, total, case when t > {decontaminate.LEAST}::double then t else smallest / total end as theta
+                  from (select *, 1 - coalesce(list_sum(parts[1:floor((1 - {decontaminate.SIMILAR}::double) * runs + 1e-9)::bigint]), 0) / total as t from weights join size using (i))),
+        met as (select r, unnest(w) as word, unnest(range(len(w))) as pos, len(w) as len from d where r in (select r from pair)),
+        seen as (select p.r, p.i, m.word, m.pos, m.len, b.part from pair p join bm b on b.i = p.i join met m on m.r = p.r and m.word = b.word),
+        inside as (select distinct r, i, word, part, unnest(range(greatest(0, ceil((pos - width + 1) / step))::bigint, least(pos // step, (greatest(1, len - width + step) - 1) // step)::bigint + 1)) as k from seen, whole),
+        share as (select r, i, sum(part) as part from inside group by r, i, k),
+        best as (select r, i, max(part / total) as score from share join theta using (i) where part / total >= theta * (1 - 1e-6) group by r, i),
+        every as (select r, i, sum(part) / any_value(total) as score from (select distinct r, i, word, part from seen) join theta using (i) group by r, i)
+        select d.doc_id, c.item_id, round(coalesce(best.score, every.score), 9) as score, pair.overlap::double as overlap, pair.question::double as question, pair.answer::double as answer
+        from pair join d using (r) join c using (i) join every using (r, i) left join best using (r, i)
+    """,
     "op5_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
         d as (select page_id, octet_length(payload) as n, sha256(payload) as digest from p),

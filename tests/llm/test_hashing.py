@@ -150,6 +150,48 @@ def test_edit_report(spark):
     assert sorted((r.doc_id or 0, r.edited_sha256) for r in ties) == sorted([(0, hashlib.sha256(b"ccca").hexdigest()), (1, hashlib.sha256(b"aaaa").hexdigest()), (1, hashlib.sha256(b"aaab").hexdigest()), (1, hashlib.sha256(b"bbbc").hexdigest())])
 
 
+def plain_vector(text):
+    """The fingerprint's vector by sums over lines, one run of eight bytes after the other."""
+    exact, sketch = [0] * fp.EXACT, [0] * fp.SKETCH
+    for line in (text or "").split("\n"):
+        data = line.encode()
+        if not data:
+            continue
+        digest = hashlib.shake_128(data).digest(fp.EXACT * 8)
+        exact = [(x + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) % 2**64 for k, x in enumerate(exact)]
+        data = data.ljust(8, b"\0")
+        for at in range(len(data) - 7):
+            lane = int.from_bytes(data[at : at + 8], "little") * 0x9E3779B97F4A7C15 % 2**64 >> 54
+            sketch[lane // 2] += 1 - 2 * (lane % 2)
+    return b"".join(x.to_bytes(8, "little") for x in exact) + b"".join((x % 2**32).to_bytes(4, "little") for x in sketch)
+
+
+@given(st.text(max_size=80))
+def test_vectors_by_plain_sums(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert bytes(fp.Fingerprint.of(text)) == plain_vector(text)
+
+
+def test_a_long_paragraph_in_chunks(monkeypatch):
+    text = "".join(random.Random(4).choices("abcdef é", k=5000))
+    for chunk in (7, 8, 1000):
+        monkeypatch.setattr(fp, "CHUNK", chunk)
+        assert bytes(fp.Fingerprint.of(text)) == plain_vector(text)
+
+
+def test_next_row_in_many_ranges(spark):
+    """More ranges than ids: every row still meets the next one."""
+    rows = [(k * 7 % 101, f"text {k}") for k in range(60)]
+    after = sorted(rows)
+    for parts in (1, 2, 64):
+        got = fp.with_next(frame(spark, rows), parts).collect()
+        assert sorted((r.doc_id, r.text) for r in got if not r.ahead) == after
+        ahead = {r.bucket: (r.doc_id, r.text) for r in got if r.ahead}
+        for bucket, first in ahead.items():
+            last = max((r.doc_id, r.text) for r in got if r.bucket == bucket and not r.ahead)
+            assert first == after[(after.index(last) + 1) % len(after)]
+
+
 def test_document_vectors(spark):
     got = fp.fingerprint_documents(frame(spark, [(1, "a\nb"), (2, "b\n\na"), (3, None)])).collect()
     assert {r.doc_id: bytes(r.vector) for r in got} == {1: bytes(fp.Fingerprint.of("a\nb")), 2: bytes(fp.Fingerprint.of("a\nb")), 3: bytes(fp.WIDTH)}

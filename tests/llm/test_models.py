@@ -1,6 +1,8 @@
 """Toxicity and quality: held-out accuracy, folds, edges."""
 
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -103,6 +105,62 @@ def test_keep_good(spark, corpus):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+@pytest.mark.parametrize("train, size", [(toxicity.train_texts, 2), (quality.train_texts, 2)])
+def test_bounded_training(spark, train, size):
+    """Ids that repeat don't break the bound; the smallest text counts."""
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(1200)] + [(1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 3, 1, 1) for k in range(30)], LABELS)
+    rows = train(docs, labels, "toxic", 1000, -1, size).collect()
+    assert len(rows) == size and len({r.doc_id for r in rows}) == size
+    assert all(r.text == ("" if r.doc_id == 1 else f"text {r.doc_id}") for r in rows)
+
+
+def test_machine_by_pairs():
+    """The machine's raw score is the sum over terms and over all pairs of terms."""
+    rng = np.random.default_rng(3)
+    machine = toxicity.Machine(list(range(6)), 0.3, rng.normal(size=7), rng.normal(size=(7, toxicity.FACTORS)))
+    rows = []
+    for _ in range(50):
+        at = sorted(rng.choice(7, rng.integers(1, 8), replace=False).tolist())
+        rows.append((at, rng.normal(size=len(at)).tolist()))
+    want = []
+    for at, x in rows:
+        raw = machine.bias + sum(machine.w[k] * v for k, v in zip(at, x, strict=True))
+        for i in range(len(at)):
+            for j in range(i):
+                raw += sum(machine.v[at[i], f] * machine.v[at[j], f] for f in range(toxicity.FACTORS)) * x[i] * x[j]
+        want.append(1 / (1 + np.exp(-raw)))
+    assert np.allclose(machine.score(rows), want)
+
+
+def plain_statistics(text):
+    """The statistics of a text, counted one by one."""
+    t = text or ""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w]
+    lines = t.split("\n")
+    share = lambda a, b: a / max(b, 1)
+    n, chars = len(words), len(t)
+    gaps = [m.end() - m.start() for m in re.finditer(r"[ \t\n\x0b\f\r]+", t.strip(" \t\n\x0b\f\r"))]
+    repeated = sum(a == b and g == 1 for a, b, g in zip(words, words[1:], gaps, strict=False))
+    return {
+        "words": n, "word_length": share(chars, n), "distinct_words": share(len(set(words)), n), "repeated_words": share(repeated, n),
+        "distinct_lines": share(len(set(lines)), len(lines)), "words_per_line": share(n, len(lines)),
+        "upper": share(sum(unicodedata.category(c) == "Lu" for c in t), chars), "marks": share(sum(c in "#$%&*!|<>{}[]\\^~=+_" for c in t), chars),
+        "bars": share(t.count("|"), n), "bangs": share(t.count("!"), n), "digits": share(sum(c in "0123456789" for c in t), chars),
+        "sentence_ends": share(sum(c in ".?" and (k + 1 == chars or t[k + 1] in " \t\n\x0b\f\r") for k, c in enumerate(t)), n),
+    }
+
+
+def test_statistics(spark):
+    rng = random.Random(6)
+    pieces = ["one", "two", "Two", " ", " ", " ", "\n", "\n\n", ".", "?", "!", "|", "$", "É", "ß", "42", "one one", "\t", "😀", "_"]
+    texts = [None, "", " ", "\n", "a", *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 80))) for _ in range(300))]
+    got = quality.with_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "s.*").collect()
+    for r in got:
+        own = r.asDict()
+        assert own == {"doc_id": r.doc_id} | {k: pytest.approx(v) for k, v in plain_statistics(texts[r.doc_id]).items()}, texts[r.doc_id]
+
+
 def test_lasso_is_sparse():
     rng = np.random.default_rng(1)
     z = (rng.random((2000, 40)) < 0.5).astype(float)
