@@ -15,7 +15,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def utrim(c: Column) -> Column:
     """White space of any script off both ends (``trim`` takes blanks only)."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(c, r"(?U)\A\s+|(?<!\s)\s+\z", "")  # looks at each inner run of white space once
 
 
 def ws_normalize(c: Column) -> Column:

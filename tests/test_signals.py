@@ -79,3 +79,11 @@ def test_text(spark):
     assert one(spark, text.ws_normalize, " a \n\t b ") == ["a b"]
     assert one(spark, text.clean, "  ", " x ") == [None, "x"]
     assert one(spark, lambda c: text.shortened(c, 3), "abcdef", None, "ab") == ["abc…", "—", "ab"]
+
+
+def test_trim_in_linear_time(spark):
+    """Millions of blanks within a line are looked at once."""
+    blanks = " " * 1_000_000
+    rows = [(f"a{blanks}b",), (f"{blanks}a \u3000b\u2003{blanks}",), (blanks,), ("",), (None,), (" a\n ",)]
+    got = [r.t for r in spark.createDataFrame(rows, "x string").coalesce(1).select(text.utrim(F.col("x")).alias("t")).collect()]
+    assert got == [f"a{blanks}b", "a \u3000b", "", "", None, "a"]
