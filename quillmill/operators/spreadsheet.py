@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
@@ -31,33 +31,35 @@ def is_empty_row(cells: Column) -> Column:
 def from_rows(rows: DataFrame, vendor: str | None = None, header_row: int = 1) -> DataFrame:
     """Source records of ``rows`` (file, sheet, row_no, cells), one for each non-empty row below the header.
 
-    Rows are joined to their sheet's header by file and sheet. A sheet whose header row is
-    missing, or has a heading twice, gives one record with ``error`` (and ``detail``) and
-    no raw row. Rows are padded with empty cells; cells beyond the header are kept under
-    generated names, as no source value may be lost.
+    A sheet whose header row is missing, or has a heading twice, gives one record with
+    ``error`` (and ``detail``) and no raw row. Rows are padded with empty cells; cells beyond
+    the header are kept under generated names (with a low line after one that is a heading
+    already), as no source value may be lost.
+
+    ``rows`` is read once and exchanged once, by file and sheet: a window gives each row its
+    sheet's header. A sheet is one task's (the format bounds it at 1,048,576 rows).
     """
     if header_row < 1:
         raise ValueError(f"invalid_header_row: {header_row}")
-    heads = rows.where(F.col("row_no") == header_row).groupBy("file", "sheet").agg(F.min(prepared(F.col("cells"))).alias("headers"))
-    sheets = rows.groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("rows")).drop("rows").join(heads, ["file", "sheet"], "left")
-    sheets = sheets.withColumn("twice", duplicates(F.col("headers")))
-    problem = F.when(F.col("headers").isNull(), "header_row_not_found").when(F.size("twice") > 0, "duplicate_headers")
-    sheets = sheets.withColumn("error", problem)
-    broken = sheets.where(F.col("error").isNotNull()).select(
-        F.lit("xlsx").alias("format"), F.col("file").alias("source_filename"), F.lit(vendor).cast("string").alias("vendor"), _locator(F.col("sheet"), F.lit(None).cast("int")),
-        F.lit(None).cast(f"map<string,{rows.schema['cells'].dataType.elementType.simpleString()}>").alias("raw_row"), F.col("headers").alias("original_headers"), "error",
-        F.when(F.col("error") == "duplicate_headers", F.array_join("twice", ", ")).otherwise(F.lit(str(header_row))).alias("detail"),
-    )
-    good = sheets.where(F.col("error").isNull()).select("file", "sheet", "headers")
+    sheet = Window.partitionBy("file", "sheet")
+    heads = F.when(F.col("row_no") == header_row, prepared(F.col("cells")))
+    every = rows.select("file", "sheet", "row_no", "cells", F.row_number().over(sheet.orderBy("row_no")).alias("nth"), F.min(heads).over(sheet).alias("headers"))
+    every = every.withColumn("twice", F.when(F.col("nth") == 1, duplicates(F.col("headers"))))
+    # the sheet's first row knows of the error, the others need only know that there is one
+    problem = F.when(F.col("headers").isNull(), "header_row_not_found").when(F.size("headers") > F.size(F.array_distinct("headers")), "duplicate_headers")
+    every = every.withColumn("error", problem)
+    row = (F.col("row_no") > header_row) & ~is_empty_row(F.col("cells"))
+    kept = every.where(F.when(F.col("error").isNull(), row).otherwise(F.col("nth") == 1))
+    good = F.col("error").isNull()
     width = F.greatest(F.size("headers"), F.size("cells"))
-    names = F.concat("headers", F.when(width > F.size("headers"), F.transform(F.sequence(F.size("headers") + 1, width), lambda i: F.concat(F.lit(UNNAMED), i.cast("string")))).otherwise(F.array().cast("array<string>")))
+    beyond = lambda i: F.concat(F.lit(UNNAMED), i.cast("string"), F.when(F.array_contains("headers", F.concat(F.lit(UNNAMED), i.cast("string"))), "_").otherwise(""))
+    names = F.concat("headers", F.when(width > F.size("headers"), F.transform(F.sequence(F.size("headers") + 1, width), beyond)).otherwise(F.array().cast("array<string>")))
     values = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.get("cells", i))
-    data = rows.where((F.col("row_no") > header_row) & ~is_empty_row(F.col("cells"))).join(good, ["file", "sheet"])
-    records = data.select(
-        F.lit("xlsx").alias("format"), F.col("file").alias("source_filename"), F.lit(vendor).cast("string").alias("vendor"), _locator(F.col("sheet"), F.col("row_no").cast("int")),
-        F.map_from_arrays(names, values).alias("raw_row"), F.col("headers").alias("original_headers"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("detail"),
+    detail = F.when(F.col("error") == "duplicate_headers", F.array_join("twice", ", ")).when(~good, F.lit(str(header_row)))
+    return kept.select(
+        F.lit("xlsx").alias("format"), F.col("file").alias("source_filename"), F.lit(vendor).cast("string").alias("vendor"), _locator(F.col("sheet"), F.when(good, F.col("row_no").cast("int"))),
+        F.when(good, F.map_from_arrays(names, values)).alias("raw_row"), F.col("headers").alias("original_headers"), "error", detail.alias("detail"),
     )
-    return records.unionByName(broken)
 
 
 def _locator(sheet: Column, row: Column) -> Column:

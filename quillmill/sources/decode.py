@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable
-from decimal import Decimal, InvalidOperation
+from datetime import datetime, timedelta
+from decimal import Decimal, InvalidOperation, localcontext
 from xml.parsers import expat
 
 #: Bytes that a member of an archive may unpack to.
@@ -26,7 +28,10 @@ def local(name: str) -> str:
 
 
 def parse(data: bytes, start: Callable, end: Callable, text: Callable) -> None:
-    """Runs handlers over XML; names come without prefixes. Document type declarations are refused."""
+    """Runs handlers over XML; names come without prefixes. Document type declarations are refused.
+
+    Whatever is wrong with the XML, its encoding or the values in it is a ``DecodeError``.
+    """
 
     def refuse(*_):
         raise DecodeError("doctype_not_allowed")
@@ -37,7 +42,12 @@ def parse(data: bytes, start: Callable, end: Callable, text: Callable) -> None:
     parser.StartElementHandler = lambda name, own: start(local(name), {local(k): v for k, v in own.items()})
     parser.EndElementHandler = lambda name: end(local(name))
     parser.CharacterDataHandler = text
-    parser.Parse(data, True)
+    try:
+        parser.Parse(data, True)
+    except DecodeError:
+        raise
+    except (expat.ExpatError, ValueError, LookupError, ArithmeticError) as e:
+        raise DecodeError("invalid_xml", str(e)) from None
 
 
 def member(archive: bytes, name: str, missing: str, broken: str) -> bytes:
@@ -50,7 +60,9 @@ def member(archive: bytes, name: str, missing: str, broken: str) -> bytes:
             if info.file_size > MEMBER_BYTES:
                 raise DecodeError(broken, f"{name} unpacks to {info.file_size} bytes")
             return z.read(info)
-    except (zipfile.BadZipFile, zipfile.LargeZipFile, RuntimeError, OSError) as e:
+    except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, RuntimeError, OSError, ValueError) as e:
+        if isinstance(e, DecodeError):
+            raise
         raise DecodeError(broken, str(e)) from None
 
 
@@ -90,7 +102,7 @@ def docx_paragraphs(xml: bytes) -> list[tuple[int, str, str | None]]:
 
     try:
         parse(xml, start, end, text)
-    except (expat.ExpatError, DecodeError) as e:
+    except DecodeError as e:
         raise DecodeError("invalid_docx_xml", str(e)) from None
     return found
 
@@ -102,16 +114,19 @@ def docx(archive: bytes) -> list[tuple[int, str, str | None]]:
 def mods_records(xml: bytes) -> list[dict]:
     """record_id, title, creator and isbn of every ``mods`` element; of repeated elements the last counts.
 
-    Texts are trimmed and blank ones null; title and subtitle are joined by a colon. Any
-    failure is the error ``invalid_response``; a response without records is an empty list.
+    Texts are trimmed and blank ones null; an element's text is all that is in it, markup
+    within it aside. Title and subtitle are joined by a colon. A record may lack any of
+    these, its identifier too. A response that is no XML is the error ``invalid_response``;
+    one without records is an empty list.
     """
-    found, path, now, value = [], [], None, []
+    found, now, value = [], None, []
     primary, isbn = [], []
+    told = ("title", "subTitle", "recordIdentifier", "namePart", "identifier")
 
     def start(name, own):
         nonlocal now
-        path.append(name)
-        value.clear()
+        if name in told:
+            value.clear()
         if name == "mods":
             now = {"title": None, "subtitle": None, "creator": None, "isbn": None, "record_id": None}
         elif name == "name":
@@ -121,8 +136,7 @@ def mods_records(xml: bytes) -> list[dict]:
 
     def end(name):
         nonlocal now
-        path.pop()
-        text = "".join(value).strip() or None
+        text = ("".join(value).strip() or None) if name in told else None
         if now is not None:
             key = {"title": "title", "subTitle": "subtitle", "recordIdentifier": "record_id"}.get(name)
             if key:
@@ -139,25 +153,80 @@ def mods_records(xml: bytes) -> list[dict]:
             primary.pop()
         elif name == "identifier" and isbn:
             isbn.pop()
-        value.clear()
 
     try:
         parse(xml, start, end, value.append)
-    except (expat.ExpatError, DecodeError) as e:
+    except DecodeError as e:
         raise DecodeError("invalid_response", str(e)) from None
-    if any(r["record_id"] is None for r in found):
-        raise DecodeError("invalid_response", "a record without an identifier")
     return found
 
 
+#: Fixed values of the format: the last column, XFD; numbers of the built-in date and time formats.
+COLUMNS = 16_384
+DATES = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+#: What a cell's number holds as an exact decimal.
+DIGITS, SCALE = 38, 18
+
+
 def _column(reference: str) -> int:
     n = 0
-    for c in re.match(r"[A-Z]*", reference.upper())[0]:
+    for c in re.match(r"[A-Z]*", reference.upper())[0][:4]:
         n = n * 26 + ord(c) - 64
+    if n > COLUMNS:
+        raise ValueError(f"no column {reference[:8]}")
     return n - 1
 
 
-def _cell(kind: str | None, text: str | None, shared: list[str]) -> tuple[str, str | None, Decimal | None]:
+def _is_date(code: str) -> bool:
+    """Whether a number format shows days or times: it has one of their letters outside quotes, escapes and brackets."""
+    bare = re.sub(r"""\"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]""", "", code, flags=re.I)
+    return bool(re.search(r"[dmyhs]", bare, re.I)) and "general" not in bare.lower()
+
+
+def _dated(number: Decimal, late: bool) -> str | None:
+    """A serial day number as ISO text: a day, a day and time, or (below 1) a time; null for what is no day.
+
+    ``late``: days are counted from 1904, not 1900. The day that the format wrongly gives
+    to 1900 (number 60) is the one before March.
+    """
+    seconds = int((number * 86_400).to_integral_value()) if 0 <= number < 2_958_467 else -1
+    if not 0 <= seconds < (2_958_466 - (1462 if late else 0)) * 86_400:
+        return None
+    days, rest = divmod(seconds, 86_400)
+    base = datetime(1904, 1, 1) if late else datetime(1899, 12, 30) if days >= 60 else datetime(1899, 12, 31)
+    time = str(timedelta(seconds=rest)).rjust(8, "0")
+    if not days and not late:
+        return time
+    day = f"{base + timedelta(days=days):%Y-%m-%d}"
+    return day if not rest else f"{day} {time}"
+
+
+def _styles(xml: bytes) -> list[bool]:
+    """For each cell style whether its number format is one of days or times."""
+    custom, found, inside = {}, [], 0
+
+    def start(name, own):
+        nonlocal inside
+        inside += name == "cellXfs"
+        if name == "numFmt":
+            custom[own.get("numFmtId")] = _is_date(own.get("formatCode", ""))
+        elif name == "xf" and inside:
+            n = own.get("numFmtId", "0")
+            found.append(custom[n] if n in custom else n.isdigit() and int(n) in DATES)
+
+    def end(name):
+        nonlocal inside
+        inside -= name == "cellXfs"
+
+    parse(xml, start, end, lambda x: None)
+    return found
+
+
+def _cell(kind: str | None, text: str | None, shared: list[str], dated: bool = False, late: bool = False) -> tuple[str, str | None, Decimal | None]:
+    """(kind, text, number). Numbers keep the scale they are written with, up to what an exact decimal holds.
+
+    Beyond that the number is rounded to its scale or, if too large, null; the text stays.
+    """
     if text is None:
         return "null", None, None
     if kind == "s":
@@ -172,72 +241,106 @@ def _cell(kind: str | None, text: str | None, shared: list[str]) -> tuple[str, s
         return "string", text, None
     if not number.is_finite():
         return "string", text, None
-    return ("int" if number.as_tuple().exponent == 0 else "decimal"), format(number, "f"), number  # the scale that is written stays
+    if dated and (day := _dated(number, late)):
+        return "string", day, None
+    exponent, size = number.as_tuple().exponent, number.adjusted()
+    plain = format(number, "f") if -100 < exponent and -100 < size < 100 else text
+    exact = number if size < DIGITS - SCALE else None
+    if exact is not None and exponent < -SCALE:
+        with localcontext(prec=DIGITS + SCALE):
+            exact = round(number, SCALE) if size > -100 else Decimal(0)
+            exact = exact if exact.adjusted() < DIGITS - SCALE else None
+    return ("int" if exponent == 0 else "decimal"), plain, exact
 
 
 def _strings(xml: bytes) -> list[str]:
-    found, now, depth = [], [], 0
+    """The shared strings; how they are spoken (``rPh``) is no part of them."""
+    found, now, depth, spoken = [], [], 0, 0
 
     def start(name, own):
-        nonlocal depth
+        nonlocal depth, spoken
+        spoken += name == "rPh"
         if name == "si":
             now.clear()
         elif name == "t":
             depth += 1
 
     def end(name):
-        nonlocal depth
+        nonlocal depth, spoken
+        spoken -= name == "rPh"
         if name == "si":
             found.append("".join(now))
         elif name == "t":
             depth -= 1
 
-    parse(xml, start, end, lambda x: now.append(x) if depth else None)
+    parse(xml, start, end, lambda x: now.append(x) if depth and not spoken else None)
     return found
 
 
-def _sheet(xml: bytes, shared: list[str]) -> list[tuple[int, list]]:
-    rows, now, kind, value, at, inside = [], {}, None, [], -1, 0
-    number = 0
+def _sheet(xml: bytes, shared: list[str], dates: list[bool] | None = None, late: bool = False) -> list[tuple[int, list]]:
+    rows, now, kind, value, at, inside, spoken, dated = [], {}, None, [], -1, 0, 0, False
+    number, dates = 0, dates or []
 
     def start(name, own):
-        nonlocal now, kind, at, number, inside
+        nonlocal now, kind, at, number, inside, spoken, dated
+        spoken += name == "rPh"
         if name == "row":
             number = int(own.get("r", number + 1))
             now, at = {}, -1
         elif name == "c":
             at = _column(own["r"]) if own.get("r") else at + 1
-            kind = own.get("t")
+            if at >= COLUMNS:
+                raise ValueError("too many columns")
+            kind, style = own.get("t"), int(own.get("s") or 0)
+            dated = kind in (None, "n") and 0 <= style < len(dates) and dates[style]
             value.clear()
         elif name in ("v", "t"):
             inside += 1
 
     def end(name):
-        nonlocal inside
+        nonlocal inside, spoken
+        spoken -= name == "rPh"
         if name in ("v", "t"):
             inside -= 1
         elif name == "c":
-            now[at] = _cell(kind, "".join(value) if value or kind in ("str", "inlineStr") else None, shared)
+            now[at] = _cell(kind, "".join(value) if value or kind in ("str", "inlineStr") else None, shared, dated, late)
         elif name == "row":
             rows.append((number, [now.get(k, ("null", None, None)) for k in range(max(now, default=-1) + 1)]))
 
-    parse(xml, start, end, lambda x: value.append(x) if inside else None)
+    parse(xml, start, end, lambda x: value.append(x) if inside and not spoken else None)
     return rows
 
 
 def xlsx(archive: bytes, only: str | None = None) -> list[tuple[str, list[tuple[int, list]]]]:
-    """(sheet, rows) in the workbook's order; a row is its number and its cells (kind, text, number)."""
+    """(sheet, rows) in the workbook's order; a row is its number and its cells (kind, text, number).
+
+    Cells whose format shows days or times are ISO texts, as ``_dated`` gives them.
+    """
     broken = "invalid_xlsx_archive"
-    try:
-        sheets, targets = [], {}
-        parse(member(archive, "xl/workbook.xml", "workbook_not_found", broken), lambda n, o: sheets.append((o.get("name"), o.get("id"))) if n == "sheet" else None, lambda n: None, lambda x: None)
-        parse(member(archive, "xl/_rels/workbook.xml.rels", "workbook_not_found", broken), lambda n, o: targets.update({o.get("Id"): o.get("Target", "")}) if n == "Relationship" else None, lambda n: None, lambda x: None)
+
+    def other(name: str, read: Callable[[bytes], list]) -> list:
+        """Of a member that a workbook may lack."""
         try:
-            shared = _strings(member(archive, "xl/sharedStrings.xml", "none", broken))
+            data = member(archive, name, "none", broken)
         except DecodeError as e:
             if e.reason != "none":
                 raise
-            shared = []
+            return []
+        return read(data)
+
+    try:
+        sheets, targets, late = [], {}, False
+
+        def book(name, own):
+            nonlocal late
+            if name == "sheet":
+                sheets.append((own.get("name"), own.get("id")))
+            elif name == "workbookPr":
+                late = own.get("date1904") in ("1", "true")
+
+        parse(member(archive, "xl/workbook.xml", "workbook_not_found", broken), book, lambda n: None, lambda x: None)
+        parse(member(archive, "xl/_rels/workbook.xml.rels", "workbook_not_found", broken), lambda n, o: targets.update({o.get("Id"): o.get("Target", "")}) if n == "Relationship" else None, lambda n: None, lambda x: None)
+        shared, dates = other("xl/sharedStrings.xml", _strings), other("xl/styles.xml", _styles)
         if only is not None and only not in [n for n, _ in sheets]:
             raise DecodeError("sheet_not_found", only)
         found = []
@@ -246,9 +349,11 @@ def xlsx(archive: bytes, only: str | None = None) -> list[tuple[str, list[tuple[
                 target = targets.get(rel, "").lstrip("/")
                 path = target if target.startswith("xl/") else f"xl/{target}"
                 try:
-                    found.append((name, _sheet(member(archive, path, "sheet_missing", broken), shared)))
-                except (expat.ExpatError, DecodeError, ValueError, IndexError) as e:
+                    found.append((name, _sheet(member(archive, path, "sheet_missing", broken), shared, dates, late)))
+                except DecodeError as e:
                     raise DecodeError("sheet_error", f"{name}: {e}") from None
         return found
-    except expat.ExpatError as e:
-        raise DecodeError(broken, str(e)) from None
+    except DecodeError as e:
+        if e.reason == "invalid_xml":
+            raise DecodeError(broken, e.detail) from None
+        raise

@@ -23,14 +23,21 @@ def files(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, per_batch: int = 1000) -> StreamingQuery:
+def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, per_batch: int = 1000, failed: str | None = None) -> StreamingQuery:
     """Appends processed records to ``out`` until all files that are there are done.
 
-    A batch writes to a folder of its own number and overwrites it when repeated after a failure.
+    Files that can't be decoded go to ``failed`` (``out`` and ``_failed``, if not given) with
+    error and detail. A batch writes to folders of its own number and overwrites them when
+    repeated after a failure.
     """
+    failed = failed or f"{out.rstrip('/')}_failed"
 
     def batch(df: DataFrame, number: int) -> None:
-        lines = paragraphs(df)
-        process(segment(lines.where("error is null").drop("error", "detail")), parse_lines).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        lines = paragraphs(df).persist()  # files are decoded once for both outputs
+        try:
+            process(segment(lines.where("error is null").drop("error", "detail")), parse_lines).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            lines.where("error is not null").select("file", "error", "detail").write.mode("overwrite").parquet(f"{failed}/batch={number}")
+        finally:
+            lines.unpersist()
 
     return files(spark, path, per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

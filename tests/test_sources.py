@@ -76,6 +76,57 @@ def test_workbooks(spark, tmp_path):
     assert all(r.vendor == "V" and r.original_headers == ["Title", "Price"] for r in got)
 
 
+def test_odd_workbooks(spark, tmp_path):
+    """Numbers beyond an exact decimal, dates, spoken strings; what is broken is one row with an error."""
+    cell = lambda ref, v, more="": f"<c r='{ref}' {more}><v>{v}</v></c>"
+    numbers = {"1.2345678901234567E-5": Decimal("0.000012345678901235"), "1e25": None, "1e-999999": Decimal(0), "1E+999999": None, "99999999999999999999.5": Decimal("99999999999999999999.5"), "-7": Decimal(-7), "NaN": None}
+    row = "<row r='1'>" + "".join(cell(f"{chr(65 + k)}1", n) for k, n in enumerate(numbers)) + "</row>"
+    styles = "<styleSheet><numFmts><numFmt numFmtId='164' formatCode='yyyy\\-mm'/><numFmt numFmtId='165' formatCode='0.00&quot;days&quot;[Red]'/></numFmts><cellStyleXfs><xf numFmtId='14'/></cellStyleXfs><cellXfs><xf numFmtId='0'/><xf numFmtId='14'/><xf numFmtId='164'/><xf numFmtId='165'/></cellXfs></styleSheet>"
+    dates = "<row r='1'>" + "".join(cell(f"{c}1", v, f"s='{s}'") for c, v, s in [("A", "45322", 1), ("B", "45322.4375", 2), ("C", "0.5", 1), ("D", "45322", 3), ("E", "59", 1), ("F", "61", 1), ("G", "-1", 1), ("H", "5", 9)]) + "</row>"
+    spoken = "<row r='1'><c r='A1' t='s'><v>0</v></c><c r='B1' t='inlineStr'><is><t>a</t><rPh><t>x</t></rPh><t>b</t></is></c></row>"
+
+    def book(sheet, strings="<sst><si><t>東</t><rPh sb='0' eb='1'><t>hi</t></rPh></si></sst>", kind="<workbookPr/>"):
+        return archive(**{
+            "xl/workbook.xml": f"<workbook xmlns:r='urn:r'>{kind}<sheets><sheet name='one' r:id='r0'/></sheets></workbook>", "xl/_rels/workbook.xml.rels": "<Relationships><Relationship Id='r0' Target='worksheets/s.xml'/></Relationships>",
+            "xl/sharedStrings.xml": strings, "xl/styles.xml": styles, "xl/worksheets/s.xml": f"<worksheet><sheetData>{sheet}</sheetData></worksheet>",
+        })
+
+    files = {"numbers": book(row), "dates": book(dates), "late": book(dates, kind="<workbookPr date1904='1'/>"), "spoken": book(spoken), "wide": book(cell("ZZZZZZ1", 1)), "far": book(cell("XFE1", 1)),
+             "shared": book(cell("A1", 7, "t='s'")), "style": book(cell("A1", 7, "s='x'")), "encoded": book(row, strings="<?xml version='1.0' encoding='big5'?><sst/>")}
+    whole = bytearray(files["numbers"])
+    at = whole.index(b"xl/worksheets/s.xml") + 19
+    deflated = io.BytesIO()
+    with zipfile.ZipFile(deflated, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", "<workbook><sheets/></workbook>" * 40)
+    damaged = bytearray(deflated.getvalue())
+    damaged[45:60] = b"\xff" * 15
+    files |= {"damaged": bytes(damaged), "flipped": bytes(whole[:at] + bytes([whole[at] ^ 255]) + whole[at + 1 :])}
+    for name, data in files.items():
+        (tmp_path / f"{name}.xlsx").write_bytes(data)
+    got = {}
+    for r in readers.read_xlsx(spark, str(tmp_path)).collect():
+        name = r.file.rsplit("/", 1)[1][:-5]
+        assert name not in got
+        got[name] = r.error or [(c.s, c.d) for c in r.cells]
+    assert [d for _, d in got["numbers"]] == [n if n is None else n.quantize(Decimal(1).scaleb(-18), context=__import__("decimal").Context(prec=60)) for n in numbers.values()]
+    assert [s for s, _ in got["numbers"]][:2] == ["0.000012345678901234567", "10000000000000000000000000"] and got["numbers"][3][0] == "1E+999999"
+    assert [s for s, _ in got["dates"]] == ["2024-01-31", "2024-01-31 10:30:00", "12:00:00", "45322", "1900-02-28", "1900-03-01", "-1", "5"]
+    assert [s for s, _ in got["late"]][:2] == ["2028-02-01", "2028-02-01 10:30:00"]
+    assert [s for s, _ in got["spoken"]] == ["東", "ab"]
+    assert {n: got[n] for n in ("wide", "far", "shared", "style", "encoded", "damaged")} == {n: "sheet_error" for n in ("wide", "far", "shared", "style")} | {n: "invalid_xlsx_archive" for n in ("encoded", "damaged")}
+    assert isinstance(got["flipped"], str)
+    for bad in ("shift_jis", "no-such"):
+        (tmp_path / "a.docx").write_bytes(archive(**{"word/document.xml": f"<?xml version='1.0' encoding='{bad}'?><document/>"}))
+        (r,) = readers.read_docx(spark, str(tmp_path)).collect()
+        assert r.error == "invalid_docx_xml"
+
+
+def test_headings_that_look_generated(spark):
+    s = lambda x: ("string", x, None)
+    df = spark.createDataFrame([("f", "a", 1, [s("N"), s("__unnamed_column_3")]), ("f", "a", 2, [s("x"), s("y"), s("z")])], f"file string, sheet string, row_no int, cells array<{CELL}>")
+    assert {k: v.s for k, v in spreadsheet.from_rows(df).first().raw_row.items()} == {"N": "x", "__unnamed_column_3": "y", "__unnamed_column_3_": "z"}
+
+
 def test_worksheet_rows(spark):
     s, null = (lambda x: ("string", x, None)), ("null", None, None)
     data = [
@@ -105,7 +156,10 @@ def test_catalogue_responses(spark, tmp_path):
     assert first == {"record_id": "7", "title": "Pāṇini: grammar", "creator": "A", "isbn": "978"}
     assert second == {"record_id": "8", "title": None, "creator": None, "isbn": None}
     assert decode.mods_records(b"<r/>") == []
-    for bad in (b"", b"<r><mods></r>", b"<r><mods/></r>"):
+    nested = b"<r><mods><title>A <b>x</b> C</title><identifier type='isbn'>97<i>8</i></identifier></mods><mods><recordInfo>no<recordIdentifier> 9 </recordIdentifier></recordInfo></mods></r>"
+    none = {"record_id": None, "title": None, "creator": None, "isbn": None}
+    assert decode.mods_records(nested) == [none | {"title": "A x C", "isbn": "978"}, none | {"record_id": "9"}]
+    for bad in (b"", b"<r><mods></r>", b"<?xml version='1.0' encoding='shift_jis'?><r/>", b"<?xml version='1.0' encoding='no-such'?><r/>"):
         with pytest.raises(decode.DecodeError, match="invalid_response"):
             decode.mods_records(bad)
     (tmp_path / "a.xml").write_text(MODS)
@@ -123,5 +177,9 @@ def test_file_drop(spark, tmp_path):
         file_drop.ingest(spark, str(drop), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     (drop / "b.docx").write_bytes(docx(*offer))
     file_drop.ingest(spark, str(drop), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    (drop / "c.docx").write_bytes(b"broken")
+    file_drop.ingest(spark, str(drop), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    failed = spark.read.parquet(str(tmp_path / "out_failed"))
+    assert [(r.file[-6:], r.error) for r in failed.collect()] == [("c.docx", "invalid_docx_archive")]
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.source.source_filename[-6:], r.error or r.vendor_category) for r in got.collect()) == [("a.docx", "Arts"), ("a.docx", "not_offer"), ("b.docx", "Arts"), ("b.docx", "not_offer")]
