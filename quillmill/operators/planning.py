@@ -1,7 +1,8 @@
 """Acquisition plans and their order lists, as tables with explicit constraint checks.
 
 Spark enforces no keys: ``PlanStore`` validates against the tables as they are and then
-appends, so it expects one writer at a time.
+appends, so it expects one writer at a time. Nothing is ever rewritten: a deletion is a
+row as well, so a crash leaves the tables as they were or as they should be.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from ..functions.text import utrim
 from ..types import ORDER_LIST, ORDER_PLAN, schema
 
 # Messages that users of these checks see.
-BLANK, SHORT, LONG, NEGATIVE = "can't be blank", "should be at least 1 character(s)", "should be at most 255 character(s)", "must be greater than or equal to 0"
+BLANK, LONG, NEGATIVE = "can't be blank", "should be at most 255 character(s)", "must be greater than or equal to 0"
 BAD_CURRENCY = "must be a three-letter uppercase currency code"
 TAKEN, NO_PLAN = "has already been used in this order plan", "does not exist"
 IN_USE = "cannot be deleted while order lists still belong to this plan"
@@ -99,7 +100,7 @@ class ConstraintError(ValueError):
 
 
 class PlanStore:
-    """The two tables under one path."""
+    """Plans, lists, and the ids of deleted plans: three tables under one path."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -113,7 +114,7 @@ class PlanStore:
             return self.spark.createDataFrame([], ddl)
 
     def plans(self) -> DataFrame:
-        return self._table("order_plans", ORDER_PLAN)
+        return self._table("order_plans", ORDER_PLAN).join(self._table("order_plans_deleted", "id long"), "id", "left_anti")
 
     def lists(self) -> DataFrame:
         return self._table("order_lists", ORDER_LIST)
@@ -133,8 +134,9 @@ class PlanStore:
     def list_order_lists(self, plan_id: int) -> DataFrame:
         return lists_of(self.lists(), plan_id)
 
-    def _insert(self, checked: DataFrame, table: str, ddl: str, old: DataFrame) -> int:
-        row = checked.first()
+    def _insert(self, checked: DataFrame, table: str, ddl: str) -> int:
+        """Appends the row under the next id; those of deleted rows aren't given again."""
+        row, old = checked.first(), self._table(table, ddl)
         if row["errors"]:
             raise ConstraintError([(e["field"], e["message"]) for e in row["errors"]])
         new = (old.agg(F.max("id")).first()[0] or 0) + 1
@@ -148,17 +150,15 @@ class PlanStore:
     def create_order_plan(self, name: str | None, base_currency: str | None, budget=None) -> int:
         """The new plan's id; ConstraintError if a check fails."""
         given = self.spark.createDataFrame([(name, budget, base_currency)], "name string, budget decimal(14,2), base_currency string")
-        return self._insert(checked_plans(given), "order_plans", ORDER_PLAN, self.plans())
+        return self._insert(checked_plans(given), "order_plans", ORDER_PLAN)
 
     def create_order_list(self, plan_id: int, name: str | None) -> int:
         given = self.spark.createDataFrame([(name, plan_id)], "name string, order_plan_id long")
-        return self._insert(checked_lists(given, self.plans(), self.lists()), "order_lists", ORDER_LIST, self.lists())
+        return self._insert(checked_lists(given, self.plans(), self.lists()), "order_lists", ORDER_LIST)
 
     def delete_order_plan(self, plan_id: int) -> None:
-        """Rewrites the table without the plan; ConstraintError while it has lists."""
+        """Takes the plan out, by one appended row; ConstraintError while it has lists."""
         self.get_order_plan(plan_id)
         if not self.lists().where(F.col("order_plan_id") == plan_id).isEmpty():
             raise ConstraintError([("order_lists", IN_USE)])
-        kept = self.plans().where(F.col("id") != plan_id)
-        kept.write.mode("overwrite").parquet(f"{self.path}/order_plans_next")
-        self.spark.read.schema(schema(ORDER_PLAN)).parquet(f"{self.path}/order_plans_next").write.mode("overwrite").parquet(f"{self.path}/order_plans")
+        self.spark.createDataFrame([(plan_id,)], "id long").coalesce(1).write.mode("append").parquet(f"{self.path}/order_plans_deleted")

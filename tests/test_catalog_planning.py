@@ -48,6 +48,9 @@ def test_plans(spark, tmp_path):
     assert sorted(r.id for r in store.plans().collect()) == [first, second]
     with pytest.raises(LookupError):
         store.get_order_plan(third)
+    with pytest.raises(planning.ConstraintError, match=planning.NO_PLAN):
+        store.create_order_list(third, "x")
+    assert store.create_order_plan("Next", "BND") == third + 1  # an id isn't given again
 
 
 def test_plan_checks(spark):
