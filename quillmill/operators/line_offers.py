@@ -135,8 +135,10 @@ def parse_lines(records: DataFrame) -> DataFrame:
     """
     lines, there = without_preamble(text_lines(F.col("raw_paragraphs"))), F.col("raw_paragraphs").isNotNull()
     base = records.select(F.struct(*records.columns).alias("source"), F.when(there, lines).alias("lines"))
-    base = base.select("source", "lines", offer_candidate(F.col("lines")).alias("ok"))
-    rest = F.transform(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), _signals)
+    base = base.select("source", F.transform("lines", _signals).alias("lines"))  # each line's patterns are tried once
+    there = lambda name: F.exists("lines", lambda x: x[name]).cast("int")
+    base = base.select("source", "lines", F.coalesce(there("url") + there("price") + there("pub") >= 2, F.lit(False)).alias("ok"))
+    rest = F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))
     base = base.select("source", "ok", F.get("lines", F.lit(0))["text"].alias("head"), F.when(F.col("ok"), classified(rest)).alias("c"))
     base = base.select("*", S.price(F.col("c.price")).alias("price"))
     c, none, metadata = F.col("c"), F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
