@@ -7,6 +7,12 @@ for some keys.
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape, quoteattr
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +139,107 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.unionByName(heads).select(F.lit("book").alias("file"), "sheet", "row_no", F.when(F.col("d").isNull(), three).otherwise(F.concat(three, F.array(number))).alias("cells"))
 
 
+#: Cells of a header row for each part: blank, missing, repeated and generated-looking headings.
+HEADS = """
+    select p_partkey as k, p_name as a, case when p_partkey % 3 = 0 then '  ' else p_brand end as b,
+           case when p_partkey % 4 = 0 then p_name when p_partkey % 4 = 1 then null else p_type end as c,
+           case when p_partkey % 5 = 0 then '__unnamed_column_2' when p_partkey % 5 = 1 then concat(p_name, ' ') else p_brand end as d
+    from {part}
+"""
+
+
+def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each part, of its header row and one row below."""
+    heads = spark.sql(HEADS, part=table(spark, sf_dir, "part"))
+    none = F.lit(None).cast("decimal(38,18)")
+    cell = lambda c: F.struct(F.when(F.col(c).isNull(), "null").otherwise("string").alias("kind"), F.col(c).alias("s"), none.alias("d"))
+    cells = F.array(*map(cell, "abcd"))
+    return heads.select(F.lit("book").alias("file"), F.col("k").cast("string").alias("sheet"), F.explode(F.array(F.lit(1), F.lit(2))).alias("row_no"), cells.alias("cells"))
+
+
+#: A catalogue record of each part; every eleventh lacks its identifier, titles have markup in them.
+MODS = f"""
+    select p_partkey as k, cast(floor(p_partkey / 5) as bigint) as response, case when p_partkey % 11 <> 0 then concat('r', cast(p_partkey as string)) end as record_id,
+           p_name as title, case when p_partkey % 3 <> 0 then p_type end as subtitle, case when p_partkey % 4 <> 0 then p_brand end as creator, {ISBN} as isbn
+    from {{part}}
+"""
+#: Cells of a workbook for each part: two texts, an exact number, a day, a day and time in quarters.
+BOOKS = f"""
+    select p_partkey as k, p_name as name, p_brand as brand, concat(cast(cast(floor({CENTS} / 100) as bigint) as string), '.', lpad(cast({CENTS} % 100 as string), 2, '0')) as price,
+           cast(30000 + p_partkey % 20000 as int) as day, cast(p_partkey % 4 as int) as quarter
+    from {{part}}
+"""
+
+
+def _zipped(members: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def _files(rows: DataFrame, path: str, content: Callable[[dict], bytes]) -> DataFrame:
+    """path and content of one file for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([str(r[path]) for r in some]), pa.array([content(r) for r in some], pa.binary())], names=["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each part's offer as a word-processor file."""
+
+    def content(r: dict) -> bytes:
+        style = lambda s: f"<w:pPr><w:pStyle w:val={quoteattr(s)}/></w:pPr>" if s else ""
+        run = lambda t: "".join(f"<w:r><w:t>{escape(x)}</w:t></w:r>" for x in (t[:5], t[5:]))
+        body = "".join(f"<w:p>{style(p['style'])}{run(p['text'])}</w:p>" for p in r["raw_paragraphs"])
+        return _zipped({"word/document.xml": f'<w:document xmlns:w="urn:w"><w:body>{body}</w:body></w:document>', "word/other.xml": "<other/>"})
+
+    return _files(records(spark, sf_dir).select("k", "raw_paragraphs"), "k", content)
+
+
+def mods_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of five catalogue records each."""
+
+    def content(r: dict) -> bytes:
+        def record(x: dict) -> str:
+            head, _, tail = x["title"].partition(" ")
+            tag = lambda name, value, more="": "" if value is None else f"<{name}{more}>{escape(value)}</{name}>"
+            title = f"<titleInfo><title> {escape(head)}{f' <i>{escape(tail)}</i>' if tail else ''}</title>{tag('subTitle', x['subtitle'])}</titleInfo>"
+            name = "" if x["creator"] is None else f"<name usage='primary'>{tag('namePart', x['creator'])}</name><name><namePart>Other</namePart></name>"
+            return f"<mods>{title}{name}{tag('identifier', x['isbn'], ' type=\"ISBN\"')}<identifier type='issn'>1</identifier><recordInfo>{tag('recordIdentifier', x['record_id'])}</recordInfo></mods>"
+
+        return f'<r xmlns="urn:m">{"".join(map(record, r["records"]))}</r>'.encode()
+
+    rows = spark.sql(MODS, part=table(spark, sf_dir, "part"))
+    grouped = rows.groupBy("response").agg(F.sort_array(F.collect_list(F.struct("k", "record_id", "title", "subtitle", "creator", "isbn"))).alias("records"))
+    return _files(grouped, "response", content)
+
+
+def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook of two sheets for each part."""
+
+    def content(r: dict) -> bytes:
+        half = f"{r['day']}.{'0 25 5 75'.split()[r['quarter']]}"
+        stock = f"<row r='2'><c r='A2' t='s'><v>1</v></c><c r='C2' t='inlineStr'><is><t>{escape(r['brand'])}</t><rPh><t>no</t></rPh></is></c><c r='D2'><v>{r['price']}</v></c></row>"
+        days = f"<row r='1'><c r='A1' s='1'><v>{r['day']}</v></c><c r='B1' s='2'><v>{half}</v></c><c r='C1'><v>{r['day']}</v></c></row>"
+        sheet = lambda rows: f"<worksheet><sheetData>{rows}</sheetData></worksheet>"
+        return _zipped({
+            "xl/workbook.xml": "<workbook xmlns:r='urn:r'><sheets><sheet name='Stock' r:id='a'/><sheet name='Days' r:id='b'/></sheets></workbook>",
+            "xl/_rels/workbook.xml.rels": "<Relationships><Relationship Id='a' Target='worksheets/s1.xml'/><Relationship Id='b' Target='/xl/worksheets/s2.xml'/></Relationships>",
+            "xl/sharedStrings.xml": f"<sst><si><t>other</t></si><si><r><t>{escape(r['name'][:3])}</t></r><r><t xml:space='preserve'>{escape(r['name'][3:])}</t></r></si></sst>",
+            "xl/styles.xml": "<styleSheet><numFmts><numFmt numFmtId='170' formatCode='d/m/yy hh:mm'/></numFmts><cellXfs><xf numFmtId='0'/><xf numFmtId='14'/><xf numFmtId='170'/></cellXfs></styleSheet>",
+            "xl/worksheets/s1.xml": sheet(stock), "xl/worksheets/s2.xml": sheet(days),
+        })
+
+    return _files(spark.sql(BOOKS, part=table(spark, sf_dir, "part")), "k", content)
+
+
 CATALOG = f"select 'parts' as source, cast(p_partkey as string) as record_id, p_name as title, p_brand as creator, {ISBN} as isbn from {{part}}"
 PLANS = """
     select c_custkey as id, case when c_custkey % 40 = 0 then '  ' else concat(' ', c_name, ' ') end as name, cast(c_acctbal as decimal(14,2)) as budget,
@@ -140,7 +247,7 @@ PLANS = """
            cast(c_custkey * 7919 % 1009 as int) as day
     from {customer}
 """
-LISTS = "select o_orderkey as id, concat('List ', cast(o_orderkey % 9 as string)) as name, o_custkey + case when o_orderkey % 101 = 0 then 100000000 else 0 end as order_plan_id, o_orderdate as inserted_at from {orders}"
+LISTS = "select o_orderkey as id, concat('List ', cast(o_orderkey % 9 as string)) as name, o_custkey + case when o_orderkey % 101 = 0 then 100000000 else 0 end as order_plan_id, o_orderdate as inserted_at from {orders} where o_custkey % 13 <> 0"
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

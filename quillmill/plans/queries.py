@@ -14,6 +14,7 @@ from ..operators import catalog, import_quality, interpret, planning, spreadshee
 from ..operators.line_offers import offer_candidate, parse_lines, split_title, text_lines, without_preamble
 from ..operators.row_offers import parse_rows
 from ..operators.segment import segment
+from ..sources import readers
 from ..types import OFFER, schema
 from . import derived
 from .imports import process, split
@@ -282,15 +283,20 @@ def physical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _row_offers(spark, sf_dir).where("error is null").groupBy(F.col("physical_description").alias("physical")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select * from (values ('s0', 'Name|Brand|Type', ''), ('s1', 'Name|Name|Type', 'Name'), ('s2', 'Name|__unnamed_column_2|__unnamed_column_3', ''), ('s3', 'Name|name|Name ', '')) t(sheet, headers, twice)")
+_HEADS = f"""with c as (select k, [a, b, c, d] as own from ({_duck(derived.HEADS)})),
+    h as (select k, list_transform(own, lambda x, i: case when trim(coalesce(x, '')) = '' then '__unnamed_column_' || i else x end) as h from c),
+    p as (select k::varchar as sheet, array_to_string(h, '|') as headers, list_filter(h, lambda x, i: len(list_filter(h, lambda y: y = x)) > 1 and list_position(h, x) = i) as twice from h)"""
+
+
+@query(f"{_HEADS} select sheet, headers, array_to_string(twice, '|') as twice from p")
 def header_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = derived.sheet_rows(spark, sf_dir).where("row_no = 1").select("sheet", spreadsheet.prepared(F.col("cells")).alias("h"))
+    heads = derived.header_rows(spark, sf_dir).where("row_no = 1").select("sheet", spreadsheet.prepared(F.col("cells")).alias("h"))
     return heads.select("sheet", _bar(F.col("h")).alias("headers"), _bar(spreadsheet.duplicates(F.col("h"))).alias("twice"))
 
 
-@query("select 's1' as sheet, 'duplicate_headers' as error, 'Name' as detail")
+@query(f"{_HEADS} select sheet, 'duplicate_headers' as error, array_to_string(twice, ', ') as detail from p where len(twice) > 0")
 def header_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spreadsheet.from_rows(derived.sheet_rows(spark, sf_dir)).where("error is not null")
+    found = spreadsheet.from_rows(derived.header_rows(spark, sf_dir)).where("error is not null")
     return found.select("locator.sheet", "error", "detail")
 
 
@@ -470,3 +476,33 @@ def display_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def display_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = segment(derived.paragraphs(spark, sf_dir))
     return found.select(F.col("source_filename").alias("file"), locator_text(F.col("locator"), ["sheet", "row", "paragraph_start", "paragraph_end"]).alias("place"))
+
+
+@query(f"""select k::varchar as file, (row_number() over (partition by k order by n))::int as index, text, style from ({LINES})""")
+def docx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.paragraphs(derived.docx_files(spark, sf_dir)).where("error is null").select("file", "index", "text", "style")
+
+
+@query(f"""select response::varchar as file, record_id, case when subtitle is null then title else title || ': ' || subtitle end as title, creator, isbn from ({_duck(derived.MODS)})""")
+def mods_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.catalogue_records(derived.mods_responses(spark, sf_dir)).where("error is null").select("file", "record_id", "title", "creator", "isbn")
+
+
+@query(f"""with b as (select *, date '1899-12-30' + day as d from ({_duck(derived.BOOKS)})),
+    c as (select k, unnest([{{'sheet': 'Stock', 'n': 2, 'at': 1, 'kind': 'string', 's': name}}, {{'sheet': 'Stock', 'n': 2, 'at': 2, 'kind': 'null', 's': null}}, {{'sheet': 'Stock', 'n': 2, 'at': 3, 'kind': 'string', 's': brand}},
+      {{'sheet': 'Stock', 'n': 2, 'at': 4, 'kind': 'decimal', 's': price}}, {{'sheet': 'Days', 'n': 1, 'at': 1, 'kind': 'string', 's': d::date::varchar}},
+      {{'sheet': 'Days', 'n': 1, 'at': 2, 'kind': 'string', 's': d::date::varchar || case quarter when 0 then '' when 1 then ' 06:00:00' when 2 then ' 12:00:00' else ' 18:00:00' end}}, {{'sheet': 'Days', 'n': 1, 'at': 3, 'kind': 'int', 's': day::varchar}}]) as x from b)
+    select k::varchar as file, x.sheet as sheet, x.n as row_no, x."at" as place, x.kind as kind, x.s as shown, case when x.kind in ('int', 'decimal') then (try_cast(x.s as decimal(20,2)) * 100)::bigint end as hundredths from c""")
+def xlsx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.worksheet_rows(derived.workbooks(spark, sf_dir)).where("error is null")
+    return rows.select("file", "sheet", "row_no", F.posexplode("cells").alias("place", "c")).select(
+        "file", "sheet", "row_no", (F.col("place") + 1).alias("place"), "c.kind", F.col("c.s").alias("shown"), (F.col("c.d") * 100).cast("long").alias("hundredths")
+    )
+
+
+@query(f"""select k::varchar as file, (row_number() over (partition by k order by i))::int as place, v from (select k, 1 as i, name as v from ({_duck(derived.BOOKS)}) union all select k, 2, brand from ({_duck(derived.BOOKS)}) union all select k, 3, price from ({_duck(derived.BOOKS)}))""")
+def xlsx_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet by name, its cells that aren't empty."""
+    rows = readers.worksheet_rows(derived.workbooks(spark, sf_dir), "Stock").where("error is null")
+    kept = F.filter("cells", lambda c: c["kind"] != "null")
+    return rows.select("file", F.posexplode(kept).alias("place", "c")).select("file", (F.col("place") + 1).alias("place"), F.col("c.s").alias("v"))
