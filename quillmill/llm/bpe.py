@@ -137,7 +137,7 @@ class Vocabulary:
         n, ends = len(data), np.cumsum(length)
         if not n:
             return np.empty(0, np.int64), np.zeros(len(pieces), np.int64)
-        kind = np.int32 if n < 1 << 30 else np.int64  # five numbers for each byte: a long pre-token's memory
+        kind = np.int32 if 1 << 24 < n < 1 << 30 else np.int64  # five numbers for each byte; narrow ones are slower, but a very long pre-token needs memory
         piece = np.repeat(np.arange(len(pieces), dtype=kind), length)
         token = np.append(self.byte[data], -1).astype(kind)
         after, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)

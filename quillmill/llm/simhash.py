@@ -239,13 +239,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = HOT) -> DataFr
     read, so other columns may have any name.
     """
     spark = docs.sparkSession
-    fps, _ = written(fingerprints(docs, shingle))
-    first, _ = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    fps, at = written(fingerprints(docs, shingle))
+    first, to = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     edges, scratch = links(first.select("fp"), hot)
-    roots, _ = connected(edges)
-    remove(spark, *scratch)
+    roots, last = connected(edges)
     group = F.coalesce("root", "fp")
     rooted = first.join(roots, first.fp == roots.node, "left").select("fp", "least_id", group.alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
+    out, _ = written(fps.join(named, "fp").select("doc_id", hex16("fp").alias("fingerprint"), "component_id"))
+    remove(spark, *scratch, at, to, last)
+    return out

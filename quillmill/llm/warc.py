@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, forget_at_exit, scratch_dir, written
+from .common import bound_batches, remove, scratch_dir, written
 
 #: From so many bytes on, a repeated payload is a revisit of the first record that has it.
 LEAST = 100
@@ -214,15 +214,19 @@ def archive_report(pages: DataFrame) -> DataFrame:
     """Archives ``pages``, reads the archive back and tells of each record what it is.
 
     Sizes and digests are taken from the reconstructed payloads, all else from the header bytes.
+    The archive is gone when the report is written.
     """
-    path = scratch_dir(pages.sparkSession)
+    spark = pages.sparkSession
+    path = scratch_dir(spark)
     write_archive(pages, path)
-    forget_at_exit(pages.sparkSession, path)
     header = F.col("header")
-    return read_archive(pages.sparkSession, path).select(
+    report = read_archive(spark, path).select(
         field(header, "WARC-Page-ID").cast("long").alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"),
         field(header, "WARC-Type").alias("record_type"),
         field(header, "WARC-Refers-To-Page-ID").cast("long").alias("refers_to"),
     )
+    out, _ = written(report)
+    remove(spark, path)
+    return out
