@@ -21,6 +21,10 @@ PREAMBLE, PREAMBLE_END = "Mary Martin Booksellers Pte Ltd", "www.marymartin.com"
 VENDOR, HEADING, LIST_STYLE = "Mary Martin Booksellers", "Heading1", "ListParagraph"
 
 
+#: A character or two that a pattern can't match without: looked for first, as most lines lack them.
+PRICE_HAS, PUBLICATION_HAS, URL_HAS = "/", ":", "://"
+
+
 def price(line: Column) -> Column:
     """amount (rounded to cents), currency, qualifier and binding; null if the line isn't a price."""
     part = lambda k: F.regexp_extract(line, PRICE, k)
@@ -31,7 +35,7 @@ def price(line: Column) -> Column:
 
 
 def is_price(line: Column) -> Column:
-    return line.rlike(PRICE) & F.replace(F.regexp_extract(line, PRICE, 2), F.lit(","), F.lit(".")).try_cast("decimal(38,18)").isNotNull()
+    return line.contains(PRICE_HAS) & line.rlike(PRICE) & F.replace(F.regexp_extract(line, PRICE, 2), F.lit(","), F.lit(".")).try_cast("decimal(38,18)").isNotNull()
 
 
 def is_identifier(line: Column) -> Column:
@@ -44,7 +48,7 @@ def is_physical(line: Column) -> Column:
 
 
 def is_publication(line: Column) -> Column:
-    return line.rlike(PUBLICATION)
+    return line.contains(PUBLICATION_HAS) & line.rlike(PUBLICATION)
 
 
 def is_weight(line: Column) -> Column:
@@ -57,7 +61,7 @@ def vendor_url(line: Column) -> Column:
 
 
 def is_url(line: Column) -> Column:
-    return line.rlike(VENDOR_URL)
+    return line.contains(URL_HAS) & line.rlike(VENDOR_URL)
 
 
 def is_edition(line: Column) -> Column:

@@ -27,10 +27,13 @@ def text_lines(paragraphs: Column) -> Column:
 
 def without_preamble(lines: Column) -> Column:
     """The lines after the vendor's address block, if there is one with its end."""
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    at = F.array_min(F.filter(F.when(F.size(lines) > 0, places), lambda i: F.contains(F.lower(F.get(lines, i)["text"]), F.lit(S.PREAMBLE_END))))
-    there = F.exists(lines, lambda x: x["text"] == S.PREAMBLE) & at.isNotNull()
-    return F.when(there, F.slice(lines, at + 2, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
+
+    def without(own: Column) -> Column:
+        there = F.exists(own, lambda x: x["text"] == S.PREAMBLE)
+        places = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.contains(F.lower(F.get(own, i)["text"]), F.lit(S.PREAMBLE_END)))
+        return F.when(there, let(F.array_min(places), lambda at: F.when(at.isNull(), own).otherwise(F.slice(own, at + 2, F.size(own))))).otherwise(own)
+
+    return let(lines, without)
 
 
 def split_title(line: Column) -> tuple[Column, Column]:
@@ -135,7 +138,8 @@ def parse_lines(records: DataFrame) -> DataFrame:
     """
     lines, there = without_preamble(text_lines(F.col("raw_paragraphs"))), F.col("raw_paragraphs").isNotNull()
     base = records.select(F.struct(*records.columns).alias("source"), F.when(there, lines).alias("lines"))
-    base = base.select("source", F.transform("lines", _signals).alias("lines"))  # each line's patterns are tried once
+    # each line's patterns are tried once: a condition on the error isn't pushed below a generator, where they would be tried again
+    base = base.select("source", F.explode(F.array(F.transform("lines", _signals))).alias("lines"))
     there = lambda name: F.exists("lines", lambda x: x[name]).cast("int")
     base = base.select("source", "lines", F.coalesce(there("url") + there("price") + there("pub") >= 2, F.lit(False)).alias("ok"))
     rest = F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))

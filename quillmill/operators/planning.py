@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import utrim
+from ..functions.text import grapheme_len, utrim
 from ..types import ORDER_LIST, ORDER_PLAN, schema
 
 # Messages that users of these checks see.
@@ -18,7 +18,6 @@ BLANK, LONG, NEGATIVE = "can't be blank", "should be at most 255 character(s)",
 BAD_CURRENCY = "must be a three-letter uppercase currency code"
 TAKEN, NO_PLAN = "has already been used in this order plan", "does not exist"
 IN_USE = "cannot be deleted while order lists still belong to this plan"
-GRAPHEMES = r"\X"
 
 
 def _problem(when: Column, field: str, message: str) -> Column:
@@ -27,7 +26,7 @@ def _problem(when: Column, field: str, message: str) -> Column:
 
 def _name_problems(name: Column) -> list[Column]:
     missing = name.isNull() | (name == "")
-    length = F.size(F.regexp_extract_all(name, F.lit(GRAPHEMES), F.lit(0)))
+    length = grapheme_len(name)
     return [_problem(missing, "name", BLANK), _problem(length > 255, "name", LONG)]
 
 
