@@ -14,6 +14,9 @@ estimate how much two multisets of such runs differ, hence a likeness from 0 to
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,32 +139,55 @@ def _place(key, splits: list[int]):
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
 
 
+def _ranges(ranks: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Split points of ids, and the first bucket and the number of buckets of each range between them.
+
+    An id that several of the equally spaced ``ranks`` fall on is a range by itself, and has as many buckets.
+    """
+    # ranks come as doubles: beyond 2**53 an id is within a unit in their last place
+    slack = lambda v: int(math.ulp(float(v))) if abs(v) >= 1 << 53 else 0
+    count = Counter(ranks)
+    heavy = {max(v - slack(v), -(1 << 63)): n for v, n in count.items() if n > 1}
+    ends = (v + slack(v) + 1 for v, n in count.items() if n > 1)
+    splits = sorted({*heavy, *(v for v in ends if v < 1 << 63), *(v for v, n in count.items() if n == 1)})
+    width = [1, *(heavy.get(v, 1) for v in splits)]
+    return splits, list(itertools.accumulate(width[:-1], initial=0)), width
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Rows (bucket, ahead, k, doc_id, text) from which each row's next one is at hand.
+    """Rows (bucket, ahead, k, doc_id, text, t) from which each row's next one is at hand.
 
     Rows are dealt out by ranges of doc_id and sorted in them; the first row of each
     range is sent to the range before it as well (``ahead``), that of the first range to
     the last. So one shuffle of the texts is enough, no task holds more than a range,
     and only ``parts`` split points (a tenth of a range from where they should be, at most)
-    and minima come to the driver; finding them reads doc_id alone. Null ids come first;
-    rows with equal ids follow each other in the order of their texts.
+    and minima come to the driver; finding them reads doc_id alone, unless an id has more
+    rows than a range and is split. Null ids come first; rows with equal ids follow each
+    other in the order of a hash of their texts (t), by which such an id is split.
     """
     low = -(1 << 63) + 1
+    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(low)).alias("k"))
     parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranks = rows.select("k").agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] if parts > 1 else []
-    bucket = _place(F.col("k"), sorted(set(ranks or [])))
-    first = {r["bucket"]: r["k"] for r in rows.select("k", bucket.alias("bucket")).groupBy("bucket").agg(F.min("k").alias("k")).collect()}
+    splits, start, width = _ranges(ranks or [])
+    place = _place(F.col("k"), splits)
+    part = hashed if max(width) > 1 else F.lit(0).cast("long")
+    rows = rows.withColumn("part", part)
+    within = F.shiftright(F.shiftright("part", 31) * F.get(_longs(width), F.col("place")), 32)  # as a share of all values
+    rows = rows.withColumn("place", place).withColumn("bucket", (F.get(_longs(start), F.col("place")) + within).cast("int")).drop("place")
+    first = {r["bucket"]: r["row"] for r in rows.groupBy("bucket").agg(F.min(F.struct("k", "part")).alias("row")).collect()}
     full = sorted(first)
     if not full:
-        return rows.selectExpr("0 as bucket", "false as ahead", "k", "doc_id", "text")
+        return rows.selectExpr("0 as bucket", "false as ahead", "k", "doc_id", "text", "part as t")
     before = dict(zip(full, [full[-1], *full[:-1]], strict=True))
-    at = lambda known, default: F.get(_longs([known.get(b, default) for b in range(full[-1] + 1)]), F.col("bucket"))
+    at = lambda known: F.get(_longs([known.get(b, 0) for b in range(full[-1] + 1)]), F.col("bucket"))
     row = lambda bucket, ahead: F.struct(bucket.cast("int").alias("bucket"), F.lit(ahead).alias("ahead"))
     own = row(F.col("bucket"), False)
-    places = F.when(F.col("k") == at(first, low), F.array(own, row(at(before, 0), True))).otherwise(F.array(own))
-    dealt = rows.withColumn("bucket", bucket).withColumn("to", F.explode(places)).select("to.bucket", "to.ahead", "k", "doc_id", "text")
-    return dealt.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "ahead", "k", "text")
+    is_first = (F.col("k") == at({b: r["k"] for b, r in first.items()})) & (F.col("part") == at({b: r["part"] for b, r in first.items()}))
+    places = F.when(is_first, F.array(own, row(at(before), True))).otherwise(F.array(own))
+    dealt = rows.withColumn("to", F.explode(places)).select("to.bucket", "to.ahead", "k", "doc_id", "text", hashed.alias("t"))
+    return dealt.repartitionById(full[-1] + 1, "bucket").sortWithinPartitions("bucket", "ahead", "k", "t", "text")
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
@@ -169,7 +195,8 @@ def edit_report(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n/4) code points replaced by the first as many
     (or all) of the next document's, by ascending doc_id; after the last comes the first
-    (a single document follows itself). Null texts count as empty. An empty table gives
+    (a single document follows itself). Rows with equal ids follow each other as
+    ``with_next`` orders them. Null texts count as empty. An empty table gives
     no rows. Only doc_id and text are read.
     """
 

@@ -146,8 +146,10 @@ def test_edit_report(spark):
     alone = fp.edit_report(frame(spark, [(1, "abcdefgh")])).first()
     assert (alone.edited_sha256, alone.near_next) == (hashlib.sha256(b"abcdefab").hexdigest(), 1.0)
     assert fp.edit_report(frame(spark, [])).count() == 0
-    ties = fp.edit_report(frame(spark, [(1, "bbbb"), (1, "aaaa"), (None, "cccc"), (1, "aaaa")])).collect()
-    assert sorted((r.doc_id or 0, r.edited_sha256) for r in ties) == sorted([(0, hashlib.sha256(b"ccca").hexdigest()), (1, hashlib.sha256(b"aaaa").hexdigest()), (1, hashlib.sha256(b"aaab").hexdigest()), (1, hashlib.sha256(b"bbbc").hexdigest())])
+    ties = [(1, "bbbb"), (1, "aaaa"), (None, "cccc"), (1, "aaaa")]
+    got = sorted((r.doc_id or 0, r.edited_sha256) for r in fp.edit_report(frame(spark, ties)).collect())
+    ties.sort(key=in_order)
+    assert got == sorted((i or 0, hashlib.sha256(fp.edited(t, ties[(k + 1) % 4][1]).encode()).hexdigest()) for k, (i, t) in enumerate(ties))
 
 
 def plain_vector(text):
@@ -179,17 +181,31 @@ def test_a_long_paragraph_in_chunks(monkeypatch):
         assert bytes(fp.Fingerprint.of(text)) == plain_vector(text)
 
 
+def in_order(row):
+    """By id, null first, then by the hash of the text."""
+    return (row[0] is not None, row[0] or 0, xxhash.xxh64_intdigest((row[1] or "").encode(), 42) >> 1, row[1] or "")
+
+
 def test_next_row_in_many_ranges(spark):
-    """More ranges than ids: every row still meets the next one."""
-    rows = [(k * 7 % 101, f"text {k}") for k in range(60)]
-    after = sorted(rows)
-    for parts in (1, 2, 64):
-        got = fp.with_next(frame(spark, rows), parts).collect()
-        assert sorted((r.doc_id, r.text) for r in got if not r.ahead) == after
-        ahead = {r.bucket: (r.doc_id, r.text) for r in got if r.ahead}
-        for bucket, first in ahead.items():
-            last = max((r.doc_id, r.text) for r in got if r.bucket == bucket and not r.ahead)
-            assert first == after[(after.index(last) + 1) % len(after)]
+    """More ranges than ids, and an id with most of the rows, which is split: every row still meets the next one."""
+    few = [(k * 7 % 101, f"text {k}") for k in range(60)]
+    crowd = [*few, *((50, f"crowd {k}") for k in range(400)), *((None, f"none {k}") for k in range(200)), ((1 << 63) - 1, "last"), ((1 << 63) - 1, "again")]
+    for rows in (few, crowd):
+        after = sorted(rows, key=in_order)
+        for parts in (1, 2, 16, 64):
+            got = fp.with_next(frame(spark, rows), parts).collect()
+            assert sorted(((r.doc_id, r.text) for r in got if not r.ahead), key=in_order) == after
+            ahead, own = {}, {}
+            for r in got:
+                if r.ahead:
+                    ahead.setdefault(r.bucket, (r.doc_id, r.text))  # the first one counts
+                else:
+                    own.setdefault(r.bucket, []).append((r.doc_id, r.text))
+            assert set(ahead) == set(own)
+            for bucket, first in ahead.items():
+                assert first == after[(after.index(max(own[bucket], key=in_order)) + 1) % len(after)]
+            if rows is crowd and parts == 16:
+                assert max(map(len, own.values())) < 150 and sum((50, "crowd 0")[0] in {i for i, _ in x} for x in own.values()) > 5
 
 
 def test_document_vectors(spark):
