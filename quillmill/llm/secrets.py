@@ -7,7 +7,7 @@ accepting states come last. The automaton is that of the reversed rules and read
 bytes once, from the last to the first: so it accepts exactly where a match of a rule
 begins. Of a rule's places the leftmost counts; only from there its end is sought, over the
 match's own bytes, with the rule's anchored automaton (longest), and the next place that
-counts is at or after that end. Where no match begins, no byte is read twice.
+counts is at or after that end. Far from where matches begin, no byte is read twice.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
+#: Bytes that are scanned before places are looked for.
+CHUNK = 1024
 
 _EVERY = {"d": frozenset(range(48, 58)), "w": frozenset([*range(48, 58), *range(65, 91), 95, *range(97, 123)]), "s": frozenset([32, *range(9, 14)])}
 _ESCAPED = {"n": 10, "t": 9, "r": 13, "f": 12, "v": 11}
@@ -289,12 +291,23 @@ class Automaton:
         self.states = n
 
     def begins(self, data: bytes) -> dict[int, list[int]]:
-        """Where a match of each pattern begins, from the last place to the first: one pass of a backward automaton."""
+        """Where a match of each pattern begins, from the last place to the first: one pass of a backward automaton.
+
+        Only a chunk in which the automaton accepts is gone through once more, with places.
+        """
         state, table, accepting, hits = self.start, self.table, self.accepting, []
-        for n, c in enumerate(data.translate(self.classes)[::-1], 1):
-            state = table[state + c]
-            if state >= accepting:
-                hits.append((n, state))
+        classes = data.translate(self.classes)[::-1]
+        for at in range(0, len(classes), CHUNK):
+            some, before, hit = classes[at : at + CHUNK], state, False
+            for c in some:
+                state = table[state + c]
+                if state >= accepting:
+                    hit = True
+            if hit:
+                for n, c in enumerate(some, at + 1):
+                    before = table[before + c]
+                    if before >= accepting:
+                        hits.append((n, before))
         found: dict[int, list[int]] = {}
         for n, state in hits:
             for k in self.accepts[state]:
