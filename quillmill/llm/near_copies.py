@@ -1,17 +1,23 @@
 """Near copies: groups of documents that share at least 0.8 of their word shingles.
 
-Two sets of shingles of likeness (Jaccard) 0.8 share at least 0.8 of the larger one. So in
-any order of all shingles, the same for every set, the first ones of each set, a fifth and
-one, have one in common (prefix filter): a search by equal shingles loses no pair. The order
-puts shingles that a sample finds common last, so that few sets meet.
-
-What meets and differs in at most ``DISTANCE`` bits of a SimHash of 255 is a candidate. The bound
-is far above the 39 bits that likeness 0.8 gives on average, and far below the 128 of sets
+The method is that of ``simhash``, for a wider bound: a SimHash of 255 bits is cut into segments
+of 16, and every set is indexed under each segment with one of its bits taken out. Rows are brought
+together by equal signature and the whole sketches are verified. Sets that differ in at most 31 bits
+agree in some segment but for one bit, so none of them is lost; of those at 39, which is what likeness
+(Jaccard) 0.8 gives on average, more than 0.99 meet.
+
+Pairs that differ more and still are alike are met in an exact way. Sets of likeness 0.8 share at
+least 0.8 of the larger one. So in any order of all shingles, the same for every set, the first ones
+of each set, a fifth and one, have one in common (prefix filter). They are keys of the same index and
+verified as the signatures are. The order puts shingles that a sample finds common last, so that few sets meet.
+
+What meets and differs in at most ``DISTANCE`` bits is a candidate. The bound
+is far above those 39 bits, and far below the 128 of sets
 that have nothing to do with each other, so chance doesn't chain them. Components of candidates are
 blocks; within a block the sets themselves are compared, and only likeness 0.8 links.
 No pairs are listed: candidates and links are kept as stars, from each component's first.
 
-Shingles and blocks with more than ``HOT`` sets are dealt into parts. Each part's sets are compared
+Keys and blocks with more than ``HOT`` sets are dealt into parts. Each part's sets are compared
 with each other and with some pivots, which are the same for all parts: so a group of copies
 becomes one component at a cost linear in its sets. Those that are not in the group's largest
 component then are compared with all of the group, so no pair of two components goes unseen. Joins
@@ -38,11 +44,18 @@ BITS, TINY = 256, 16
 #: Differing bits up to which sets are candidates: likeness 0.8 gives 38.9 on average, with a deviation of 5.7;
 #: and where one is tiny (sets of four and five shingles: 48 and 6.2).
 DISTANCE, LOOSE = 70, 100
-#: Up to so many sets of a shingle or block, and shingles of a block, are compared with each other by one task.
+#: The same where one is tiny and a signature is all that they share: few votes give sketches that are near by chance.
+SURE = 31
+#: Bits of a segment: the first of these that holds the sets which meet by chance to ``CROWD`` a signature.
+SEGMENTS, CROWD = (16, 21, 32), 512
+#: Up to so many sets of a key or block, and shingles of a block, are compared with each other by one task.
 HOT, TOKENS = 1024, 1 << 20
+#: Pairs of groups of up to so many sets are looked at all at once.
+FEW = 32
 #: One text of ``SAMPLE`` tells which ``COMMON`` shingles come last; results don't depend on it.
 SAMPLE, COMMON = 16, 1 << 18
 CHUNK = 1 << 15
+MINUS = "shiftleft(1L, 63)"
 
 WORDS = [f"f{k}" for k in range(BITS // 64)]
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BITS // 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,12 +142,34 @@ def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_columns(texts, rows, f"doc_id long, t long, d long, n long, {', '.join(f'{f} long' for f in WORDS)}, p array<long>")
 
 
-def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sketches (rows of id and words) are candidates, by broadcasting."""
+def segment_bits(count: int) -> int:
+    """Bits of a segment for ``count`` sets."""
+    return next((wide for wide in SEGMENTS if count <= CROWD << (wide - 1)), SEGMENTS[-1])
+
+
+def indexed(distinct: DataFrame, wide: int) -> DataFrame:
+    """key, d and words of each set (d, n, words, p) under its signatures and the shingles of its prefix; empty sets have none.
+
+    Signature v is segment v // wide without its bit v % wide. Equal segments agree in all of
+    theirs, so none is indexed as it is. Bit 0 of a sketch belongs to no signature. Keys of
+    shingles are negative, those of signatures aren't.
+    """
+    per = 64 // wide
+    many = len(WORDS) * per * wide
+    keys = F.when(F.col("n") > 0, F.concat(F.sequence(F.lit(1).cast("long"), F.lit(many - 1).cast("long")), "p"))
+    word = f"element_at(array(f0 & -2L, {', '.join(WORDS[1:])}), cast(v div {wide * per} as int) + 1)"
+    segment = f"shiftrightunsigned({word}, cast({wide} * (v div {wide} % {per}) as int)) & {(1 << wide) - 1}L"
+    signature = f"shiftleft(v, 32) | ({segment} & ~shiftleft(1L, cast(v % {wide} as int)))"
+    rows = distinct.select("d", *WORDS, F.posexplode(keys).alias("at", "v"))
+    return rows.selectExpr(f"case when at < {many - 1} then {signature} else v | {MINUS} end as key", "d", *WORDS)
+
+
+def near(a: np.ndarray, b: np.ndarray, signed) -> np.ndarray:
+    """Whether sketches (rows of id and words) are candidates, by broadcasting; ``signed``: they met by a signature."""
     apart = a[..., 1:] ^ b[..., 1:]
     apart[..., 0] &= ~np.uint64(1)
     tiny = ((a[..., 1] | b[..., 1]) & np.uint64(1)).astype(bool)
-    return np.bitwise_count(apart).sum(axis=-1, dtype=np.int32) <= np.where(tiny, LOOSE, DISTANCE)
+    return np.bitwise_count(apart).sum(axis=-1, dtype=np.int32) <= np.where(tiny, np.where(signed, SURE, LOOSE), DISTANCE)
 
 
 def forest(n: int, links_to: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +187,14 @@ def forest(n: int, links_to: Callable[[int, np.ndarray], np.ndarray]) -> tuple[n
     return np.concatenate(leaf), np.concatenate(root)
 
 
+def pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of all pairs within groups of consecutive rows."""
+    at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    more = np.repeat(start + size, size) - at - 1  # rows of the group that follow
+    i = np.repeat(at, more)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more) - more, more)
+
+
 def _linked(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.RecordBatch]:
     """Rows (key, d, words) sorted by key, d -> (key, d, words, b): an edge d-b, or, with a key, a hot group's member d.
 
@@ -160,8 +203,10 @@ def _linked(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.R
 
     def rows(key: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         a, b = a.view(np.int64), b.view(np.int64)
-        first = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)
-        return pa.RecordBatch.from_arrays([first, *(pa.array(np.ascontiguousarray(x)) for x in (*a.T, b[:, 0]))], names=["key", "d", *WORDS, "b"])
+        none = pa.nulls(len(a), pa.int64())
+        words = [none if key is None else pa.array(np.ascontiguousarray(x)) for x in a.T[1:]]
+        ends = [pa.array(np.ascontiguousarray(x[:, 0])) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([none if key is None else pa.array(key), ends[0], *words, ends[1]], names=["key", "d", *WORDS, "b"])
 
     width = len(WORDS) + 1
     held_key, held, flowing = None, np.empty((0, width), np.uint64), None
@@ -190,13 +235,22 @@ def _linked(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.R
         s, n = start[few], size[few]
         first = np.repeat(s, n)  # most groups are near to their first set as a whole
         own = first + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = near(fps[own], fps[first])
+        hit = near(fps[own], fps[first], key[own] >= 0)
         whole = np.logical_and.reduceat(hit, np.cumsum(n) - n) if len(n) else np.empty(0, bool)
         done = np.repeat(whole | (n == 2), n) & hit & (own != first)
         leaf, root = [own[done]], [first[done]]
-        for a, z in zip(s[~whole & (n > 2)].tolist(), (s + n)[~whole & (n > 2)].tolist(), strict=True):
+        rest = ~whole & (n > 2)
+        small = rest & (n <= FEW)
+        i, j = pairs(s[small], n[small])
+        hit = near(fps[i], fps[j], key[i] >= 0)
+        i, j = i[hit], j[hit]
+        group = np.searchsorted(s, i, "right") - 1
+        lean = np.bincount(group, minlength=len(s)) < n  # no more edges than a forest has
+        leaf.append(j[lean[group]]), root.append(i[lean[group]])
+        rest &= ~(small & lean)
+        for a, z in zip(s[rest].tolist(), (s + n)[rest].tolist(), strict=True):
             some = fps[a:z]
-            x, y = forest(z - a, lambda u, others, some=some: near(some[u], some[others]))
+            x, y = forest(z - a, lambda u, others, some=some, signed=key[a] >= 0: near(some[u], some[others], signed))
             leaf.append(x + a), root.append(y + a)
         leaf, root = np.concatenate(leaf), np.concatenate(root)
         if len(leaf):
@@ -244,8 +298,8 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(rows: DataFrame, to) -> DataFrame:
-    """``rows`` once for each task in the array column ``to``; key becomes the task's."""
-    return rows.withColumn("to", F.explode(to)).withColumn("key", F.xxhash64("key", "to")).repartition("key").sortWithinPartitions("key", "d")
+    """``rows`` once for each task in the array column ``to``; key becomes the task's and keeps its sign."""
+    return rows.withColumn("to", F.explode(to)).withColumn("key", F.expr(f"xxhash64(key, to) & ~{MINUS} | key & {MINUS}")).repartition("key").sortWithinPartitions("key", "d")
 
 
 def _parts(count, tokens, hot: int):
@@ -290,9 +344,9 @@ _FOUND = f"key long, d long, {', '.join(f'{f} long' for f in WORDS)}, b long"
 
 
 def candidates(distinct: DataFrame, hot: int = HOT) -> tuple[DataFrame, str]:
-    """(node, root) of the components of candidates among distinct sets (d, words, p), and a scratch path."""
+    """(node, root) of the components of candidates among distinct sets (d, n, words, p), and a scratch path."""
     spark = distinct.sparkSession
-    keyed = distinct.select(F.explode("p").alias("key"), "d", *WORDS)
+    keyed = indexed(distinct, segment_bits(distinct.count()))
     found, path = written(keyed.repartition("key").sortWithinPartitions("key", "d").mapInArrow(lambda it: _linked(it, hot), _FOUND))
     edges = found.where("key is null").selectExpr("d as a", "b")
     crowd = found.where("key is not null").selectExpr("key", "d", *WORDS, "0 as n")

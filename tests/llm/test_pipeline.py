@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -89,6 +90,47 @@ def test_near_copies_at_the_bound(spark):
     assert 60 < len(set(label)) < 300
 
 
+def test_near_copies_meet_by_signatures(spark):
+    """Without a shingle to meet by, signatures find all up to 31 bits, and 0.9 of the pairs of likeness 0.8 at least."""
+    rng = random.Random(14)
+    rows = []
+    for _ in range(150):
+        sketch = rng.getrandbits(255) << 1
+        for bits in (0, 1, 17, 31):
+            rows.append(sketch ^ sum(1 << b for b in rng.sample(range(1, 256), bits)))
+    for _ in range(200):  # sets of shingles of likeness 0.8
+        own = rng.sample(range(1 << 62), 220)
+        for h in (own[:200], own[20:] + own[:2]):
+            words = near_copies.sketch(np.unique(np.array(h, np.uint64)))
+            rows.append(sum((w & (1 << 64) - 1) << 64 * k for k, w in enumerate(words)))
+    signed = lambda w: w - (w >> 63 << 64)
+    made = [(d, 50, *(signed(s >> 64 * k & (1 << 64) - 1) for k in range(4)), []) for d, s in enumerate(rows)]
+    df = spark.createDataFrame(made, f"d long, n long, {', '.join(f'{f} long' for f in near_copies.WORDS)}, p array<long>")
+    roots, _ = near_copies.candidates(df)
+    root = {r.node: r.root for r in roots.collect()}
+    assert all(root.get(k, k) == root.get(k // 4 * 4, k // 4 * 4) for k in range(600))
+    met = sum(root.get(k + 1) == k for k in range(600, 1000, 2))
+    assert met >= 180
+    assert len({root.get(k, k) for k in range(len(rows))}) == 150 + 400 - met
+    tiny = df.where("d < 600").withColumn("f0", F.expr("f0 | 1"))  # flagged as tiny, by signatures 31 bits link
+    assert {tuple(r) for r in near_copies.candidates(tiny, hot=2)[0].collect()} == {(k, k // 4 * 4) for k in range(600) if k % 4}
+
+
+def test_signatures(spark):
+    """Each bit but the first is left out of its segment once, whatever the width; shingles are keys as well."""
+    one, words = 0x0123_4567_89AB_CDEF, near_copies.WORDS
+    df = spark.createDataFrame([(1, 9, one, -1, -one, 0, [5, -6]), (2, 0, 0, 0, 0, 0, [])], f"d long, n long, {', '.join(f'{f} long' for f in words)}, p array<long>")
+    for wide in near_copies.SEGMENTS:
+        per, want = 64 // wide, []
+        for v in range(1, 4 * per * wide):
+            segment, bit = divmod(v, wide)
+            word = [one & ~1, -1, -one, 0][segment // per] & (1 << 64) - 1
+            want.append(v << 32 | (word >> wide * (segment % per)) & ((1 << wide) - 1) & ~(1 << bit))
+        got = near_copies.indexed(df, wide).collect()
+        assert sorted(r.key for r in got) == sorted([*want, 5 - (1 << 63), -6]) and {r.d for r in got} == {1}
+    assert [near_copies.segment_bits(k) for k in (0, 10**6, 10**8, 10**12)] == [16, 16, 21, 32]
+
+
 def test_stages_by_brute_force(spark, tmp_path):
     rng = random.Random(11)
     items = [(k, " ".join(f"q{rng.randrange(400)}" for _ in range(rng.randint(12, 40)))) for k in range(10)]
