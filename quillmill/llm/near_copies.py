@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, map_columns, remove, with_columns, written
-from .simhash import connected
+from .simhash import components, connected, star
 
 SEED, SHINGLE = 42, 5
 #: Bits of a sketch; the first one isn't SimHash but tells a set of fewer than ``TINY`` shingles.
@@ -52,6 +52,8 @@ SEGMENTS, CROWD = (16, 21, 32), 512
 HOT, TOKENS = 1024, 1 << 20
 #: Pairs of groups of up to so many sets are looked at all at once.
 FEW = 32
+#: A task thins its edges to a forest whenever it holds so many.
+SPAN = 1 << 18
 #: One text of ``SAMPLE`` tells which ``COMMON`` shingles come last; results don't depend on it.
 SAMPLE, COMMON = 16, 1 << 18
 CHUNK = 1 << 15
@@ -259,6 +261,36 @@ def _linked(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.R
             yield rows(key[a:z], fps[a:z], fps[a:z])
 
 
+def _spanned(batches: Iterator[pa.RecordBatch], most: int = SPAN) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_linked``, but of its edges those of a spanning forest, from each component's first; they connect the same.
+
+    A copy meets the others under most of its keys, each time from another first set. Edges
+    are thinned whenever ``most`` are held; a forest of more than half of that is given and
+    another one begun.
+    """
+
+    def rows(d: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(d), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(d), *(none for _ in WORDS), pa.array(b)], names=["key", "d", *WORDS, "b"])
+
+    held, count = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if batch.column("key").null_count < batch.num_rows:
+                yield batch
+                continue
+            held.append((batch.column("d").to_numpy(), batch.column("b").to_numpy()))
+            count += batch.num_rows
+        if count and (batch is None or count >= most):
+            d, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            nodes, at = np.unique(np.concatenate((d, b)), return_inverse=True)
+            d, b = star(nodes, components(len(nodes), at[:count], at[count:]))
+            held, count = [(d, b)], len(d)
+            if count and (batch is None or count > most // 2):
+                yield rows(d, b)
+                held, count = [], 0
+
+
 def alike(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect sets of shingles of likeness 0.8, by what they have in common."""
     size = np.array([len(h) for h in own], np.int64)
@@ -347,10 +379,10 @@ def candidates(distinct: DataFrame, hot: int = HOT) -> tuple[DataFrame, str]:
     """(node, root) of the components of candidates among distinct sets (d, n, words, p), and a scratch path."""
     spark = distinct.sparkSession
     keyed = indexed(distinct, segment_bits(distinct.count()))
-    found, path = written(keyed.repartition("key").sortWithinPartitions("key", "d").mapInArrow(lambda it: _linked(it, hot), _FOUND))
-    edges = found.where("key is null").selectExpr("d as a", "b")
+    found, path = written(keyed.repartition("key").sortWithinPartitions("key", "d").mapInArrow(lambda it: _spanned(_linked(it, hot)), _FOUND))
+    edges = found.where("key is null").mapInArrow(_spanned, _FOUND).selectExpr("d as a", "b")  # what tasks have in common
     crowd = found.where("key is not null").selectExpr("key", "d", *WORDS, "0 as n")
-    linked = lambda dealt: dealt.select("key", "d", *WORDS).mapInArrow(lambda it: _linked(it, None), _FOUND).selectExpr("d as a", "b")
+    linked = lambda dealt: dealt.select("key", "d", *WORDS).mapInArrow(lambda it: _spanned(_linked(it, None)), _FOUND).selectExpr("d as a", "b")
     if not crowd.isEmpty():
         roots, to = connected(edges.unionByName(linked(with_pivots(sized(crowd, hot)))))
         more = linked(with_rest(left_over(crowd, roots, hot)))

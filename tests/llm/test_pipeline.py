@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmill.llm import bpe, near_copies, quality, secrets
+from quillmill.llm import bpe, near_copies, quality, secrets, simhash
 from quillmill.llm.queries import PATTERN, VOCABULARY
 
 from .test_scans import base_spans, contained
@@ -116,6 +117,49 @@ def test_near_copies_meet_by_signatures(spark):
     assert {tuple(r) for r in near_copies.candidates(tiny, hot=2)[0].collect()} == {(k, k // 4 * 4) for k in range(600) if k % 4}
 
 
+def test_copies_are_linked_by_few_edges(spark, monkeypatch):
+    """Copies meet under most of their keys, but the edges that are joined grow with the sets, whatever the crowd."""
+    rng, seen, connected = random.Random(15), [], near_copies.connected
+
+    def counted(edges):
+        seen.append(edges.distinct().count())
+        return connected(edges)
+
+    monkeypatch.setattr(near_copies, "connected", counted)
+    signed = lambda w: w - (w >> 63 << 64)
+    for many in (300, 1200):
+        rows = []
+        for crowd in range(2):
+            sketch = rng.getrandbits(255) << 1
+            for d in range(many // 2):
+                own = sketch ^ sum(1 << b for b in rng.sample(range(1, 256), 20))
+                rows.append((2 * d + crowd, 50, *(signed(own >> 64 * k & (1 << 64) - 1) for k in range(4)), []))
+        df = spark.createDataFrame(rows, f"d long, n long, {', '.join(f'{f} long' for f in near_copies.WORDS)}, p array<long>")
+        for hot in (near_copies.HOT, 64):
+            seen.clear()
+            roots, _ = near_copies.candidates(df, hot)
+            assert sorted(tuple(r) for r in roots.collect()) == [(d, d % 2) for d in range(2, many)]
+            assert max(seen) <= 3 * many
+
+
+def test_spanned(spark):
+    """A forest connects what its edges connect, however few are held at once; rows of hot groups pass on as they are."""
+    rng, names = np.random.default_rng(16), ["key", "d", *near_copies.WORDS, "b"]
+    for nodes, edges in ((40, 30), (300, 900), (50, 2000)):
+        d, b = rng.integers(-nodes, nodes, edges), rng.integers(-nodes, nodes, edges)
+        none = pa.nulls(edges, pa.int64())
+        whole = pa.RecordBatch.from_arrays([none, pa.array(d), none, none, none, none, pa.array(b)], names=names)
+        hot = pa.RecordBatch.from_arrays([pa.array([5, 5])] * 7, names=names)
+        want = simhash.components(2 * nodes, d + nodes, b + nodes)
+        for most in (1, 64, 1 << 18):
+            got = list(near_copies._spanned(iter([whole.slice(0, 0), *(whole.slice(k, 7) for k in range(0, edges, 7)), hot]), most))
+            assert [x for x in got if not x.column("key").null_count] == [hot]
+            x, y = (np.concatenate([g.column(c).to_numpy() for g in got if g.column("key").null_count]) for c in "db")
+            assert np.array_equal(simhash.components(2 * nodes, x + nodes, y + nodes), want)
+        assert len(x) == 2 * nodes - len(np.unique(want))
+    assert list(near_copies._spanned(iter([]))) == []
+
+
 def test_signatures(spark):
     """Each bit but the first is left out of its segment once, whatever the width; shingles are keys as well."""
     one, words = 0x0123_4567_89AB_CDEF, near_copies.WORDS
