@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses
+from . import backtrack, decontaminate, licenses, resample
 from .bpe import token_report
 from .common import read
 from .decontaminate import contaminated_pairs
 from .fingerprint import edit_report
 from .licenses import license_report
+from .periods import period_report
 from .quality import quality_report
 from .secrets import secret_report
 from .shards import shard_documents
@@ -67,6 +68,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("score", F.round("score", 9))  # sums of doubles differ by their order
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_report(read(spark, sf_dir, "documents"))
+
+
+#: Tokenizer that op12 applies.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op12_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtrack.token_report(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
@@ -78,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_shards": op9_shards,
     "op10_decontaminate": op10_decontaminate,
+    "op11_periods": op11_periods,
+    "op12_backtrack": op12_backtrack,
+    "op13_resample": op13_resample,
 }
 
 #: CRC-32 of a text's bytes, one by one over the table of the reversed polynomial.
@@ -109,7 +129,27 @@ _WEIGHT = "case label " + " ".join(f"when '{label}' then {w}::double" for label,
 _TAG = "|".join(licenses.TAGS)
 #: Runs of five words (of fewer: all) of a list of words.
 _RUNS = lambda words: f"(case when len({words}) <= 5 then [array_to_string({words}, ' ')] else list_transform(range(1, len({words}) - 3), lambda k: array_to_string(({words})[k:k + 4], ' ')) end)"
+#: The table that ``_CRC`` reads, as ``tab``.
+_CRC_TABLE = "select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab from (select unnest(range(256)) as i)"
+_LOW = lambda column: f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = {
+    "op13_resample": rf"""
+        with t as ({_CRC_TABLE}),
+        d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        dw as (select r, unnest(w) as word from d),
+        bw as (select unnest(regexp_extract_all({_LOW("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+        v as (select word, encode(word) as data from (select word from dw union select word from bw)),
+        k as (select word, {_CRC} % {resample.BUCKETS} as bucket from v, t),
+        source as (select bucket, count(*) as s from dw join k using (word) group by bucket),
+        target as (select bucket, count(*) as t from bw join k using (word) group by bucket),
+        whole as (select coalesce((select sum(s) from source), 0) as s_all, coalesce((select sum(t) from target), 0) as t_all),
+        gain as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (s_all + {resample.BUCKETS})::double / ((s + 1)::double * (t_all + {resample.BUCKETS})::double)))::bigint as gain from source left join target using (bucket), whole),
+        weight as (select r, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight from dw join k using (word) join gain using (bucket) group by r),
+        scored as (select r, doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+                          coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resample.SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score from d left join weight using (r)),
+        placed as (select *, case when n_features >= {resample.LEAST_WORDS} then row_number() over (partition by n_features >= {resample.LEAST_WORDS} order by score desc, doc_id nulls last, n_features, weight) end as place from scored)
+        select doc_id, n_features, weight, score, case when place <= (select count(*) * {resample.PERCENT} // 100 from placed where n_features >= {resample.LEAST_WORDS}) then place end as rank from placed
+    """,
     "op8_licenses": rf"""
         with recursive d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents),
         w as (select r, doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from d),
@@ -198,8 +238,7 @@ ORACLE_SQL: dict[str, str] = {
         from d left join g using (r)
     """,
     "op9_shards": f"""
-        with t as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab
-                   from (select unnest(range(256)) as i)),
+        with t as ({_CRC_TABLE}),
         d as (select row_number() over () as r, doc_id, coalesce(doc_id::varchar, '') as key, encode(coalesce(text, '')) as data, coalesce(text, '') as text from documents),
         c as (select r, doc_id, key, octet_length(data)::bigint + 8 as size, {_CRC} as text_crc32, ('0x' || substr(md5(key || '/' || md5(text)), 1, 13))::bigint % 512 as part from d, t),
         h as (select r, s, ('0x' || substr(md5(key || '/' || s), 1, 13))::bigint as draw from c, (select unnest(range(25)) as s)),
