@@ -17,9 +17,15 @@ that have nothing to do with each other, so chance doesn't chain them. Component
 blocks; within a block the sets themselves are compared, and only likeness 0.8 links.
 No pairs are listed: candidates and links are kept as stars, from each component's first.
 
-Keys and blocks with more than ``HOT`` sets are dealt into parts. Each part's sets are compared
-with each other and with some pivots, which are the same for all parts: so a group of copies
-becomes one component at a cost linear in its sets. Those that are not in the group's largest
+A few of the signatures make a first round; in the second, sets that it connected count as one, so
+that a crowd of copies, which meets under dozens of keys, is connected once. A key with more than
+``HOT`` sets is covered with balls as its sets stream by: a set that is near to a ball's centre is linked to it and done. Two
+balls whose centres lie too far apart for their radii have no candidates between them (sketches' distance is a metric), the
+others are compared; so a crowd of copies and some strangers cost a few comparisons a set. Only of keys for which that
+doesn't settle all (``WORK``) are the sets brought together once more, dealt into parts like blocks with more than ``HOT`` sets.
+
+Each part's sets are compared with each other and with some pivots, which are the same for all parts: so a
+group becomes one component at a cost linear in its sets. Those that are not in the group's largest
 component then are compared with all of the group, so no pair of two components goes unseen. Joins
 on such a group's key or component rely on AQE, which splits the partitions of skewed keys.
 """
@@ -31,6 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +57,12 @@ SURE = 31
 SEGMENTS, CROWD = (16, 21, 32), 512
 #: Up to so many sets of a key or block, and shingles of a block, are compared with each other by one task.
 HOT, TOKENS = 1024, 1 << 20
+#: Signatures of the first round.
+EARLY = 8
+#: Of a larger key so many sets are held, and comparisons made (for each set of it, as many as ``EACH`` in any case).
+HELD, WORK, EACH = 1 << 18, 1 << 26, 64
+#: Up to so many keys, and texts' hashes, are broadcast.
+MARKS, MEMBERS = 1 << 17, 1 << 18
 #: Pairs of groups of up to so many sets are looked at all at once.
 FEW = 32
 #: A task thins its edges to a forest whenever it holds so many.
@@ -149,8 +162,10 @@ def segment_bits(count: int) -> int:
     return next((wide for wide in SEGMENTS if count <= CROWD << (wide - 1)), SEGMENTS[-1])
 
 
-def indexed(distinct: DataFrame, wide: int) -> DataFrame:
-    """key, d and words of each set (d, n, words, p) under its signatures and the shingles of its prefix; empty sets have none.
+def indexed(distinct: DataFrame, wide: int, early: bool | None = None) -> DataFrame:
+    """key and the columns of each set (d, n, words, p, ...) but n and p, under its signatures and the shingles of its prefix; empty sets have none.
+
+    With ``early``, only under the signatures of the first round, or else only under all other keys.
 
     Signature v is segment v // wide without its bit v % wide. Equal segments agree in all of
     theirs, so none is indexed as it is. Bit 0 of a sketch belongs to no signature. Keys of
@@ -158,20 +173,29 @@ def indexed(distinct: DataFrame, wide: int) -> DataFrame:
     """
     per = 64 // wide
     many = len(WORDS) * per * wide
-    keys = F.when(F.col("n") > 0, F.concat(F.sequence(F.lit(1).cast("long"), F.lit(many - 1).cast("long")), "p"))
+    step = many // EARLY
+    some = [v for v in range(1, many) if early is None or early == (v % step == 1)]
+    signatures = F.array(*(F.lit(v).cast("long") for v in some))
+    keys = F.when(F.col("n") > 0, signatures if early else F.concat(signatures, "p"))
     word = f"element_at(array(f0 & -2L, {', '.join(WORDS[1:])}), cast(v div {wide * per} as int) + 1)"
     segment = f"shiftrightunsigned({word}, cast({wide} * (v div {wide} % {per}) as int)) & {(1 << wide) - 1}L"
     signature = f"shiftleft(v, 32) | ({segment} & ~shiftleft(1L, cast(v % {wide} as int)))"
-    rows = distinct.select("d", *WORDS, F.posexplode(keys).alias("at", "v"))
-    return rows.selectExpr(f"case when at < {many - 1} then {signature} else v | {MINUS} end as key", "d", *WORDS)
+    own = [c for c in distinct.columns if c not in ("n", "p", "t")]
+    rows = distinct.select(*own, F.posexplode(keys).alias("at", "v"))
+    return rows.selectExpr(f"case when at < {len(some)} then {signature} else v | {MINUS} end as key", *own)
 
 
-def near(a: np.ndarray, b: np.ndarray, signed) -> np.ndarray:
-    """Whether sketches (rows of id and words) are candidates, by broadcasting; ``signed``: they met by a signature."""
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of sketches (rows of id and words), by broadcasting."""
     apart = a[..., 1:] ^ b[..., 1:]
     apart[..., 0] &= ~np.uint64(1)
+    return np.bitwise_count(apart).sum(axis=-1, dtype=np.int32)
+
+
+def near(a: np.ndarray, b: np.ndarray, signed) -> np.ndarray:
+    """Whether sketches (rows of id and words) are candidates, by broadcasting; ``signed``: they met by a signature."""
     tiny = ((a[..., 1] | b[..., 1]) & np.uint64(1)).astype(bool)
-    return np.bitwise_count(apart).sum(axis=-1, dtype=np.int32) <= np.where(tiny, np.where(signed, SURE, LOOSE), DISTANCE)
+    return distance(a, b) <= np.where(tiny, np.where(signed, SURE, LOOSE), DISTANCE)
 
 
 def forest(n: int, links_to: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,43 +221,144 @@ def pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more) - more, more)
 
 
+class Crowd:
+    """The sets of a large key, covered with balls as they stream by.
+
+    A set near to a ball's centre belongs to that ball (the first such) and is linked to the centre; one that is near to none
+    is the centre of another ball. Members are held up to ``HELD`` sets, centres always.
+    """
+
+    def __init__(self, signed: bool):
+        self.signed, self.count, self.work, self.over = signed, 0, 0, False
+        self.bound = DISTANCE
+        self.centers: list[np.ndarray] = []
+        self.radius: list[int] = []
+        self.members: list[list[np.ndarray]] | None = []
+        self.leaf, self.root = [], []
+
+    def _spent(self, comparisons: int) -> bool:
+        self.work += comparisons
+        return self.work > WORK + EACH * self.count
+
+    def _into(self, ball: int, rows: np.ndarray) -> np.ndarray:
+        """Puts what is near to a ball's centre into the ball; the other rows."""
+        center = self.centers[ball]
+        hit = near(center, rows, self.signed)
+        self.over |= self._spent(len(rows))
+        if not hit.any():
+            return rows
+        own = rows[hit]
+        self.radius[ball] = max(self.radius[ball], int(distance(center, own).max()))
+        if self.members is not None:
+            self.members[ball].append(own)
+        self.leaf.append(own[:, 0]), self.root.append(np.full(len(own), center[0]))
+        return rows[~hit]
+
+    def add(self, rows: np.ndarray) -> None:
+        self.count += len(rows)
+        if self.count > HELD:
+            self.members = None
+        if not self.signed and (rows[:, 1] & np.uint64(1)).any():
+            self.bound = LOOSE
+        for ball in range(len(self.centers)):
+            if self.over or not len(rows):
+                return
+            rows = self._into(ball, rows)
+        while len(rows) and not self.over:
+            self.centers.append(rows[0].copy()), self.radius.append(0)
+            if self.members is not None:
+                self.members.append([])
+            rows = self._into(len(self.centers) - 1, rows)
+
+    def settled(self) -> bool:
+        """Links balls with candidates between them; whether all such are linked."""
+        if self.over:
+            return False
+        centers, radius, of = np.array(self.centers), np.array(self.radius), list(range(len(self.centers)))
+
+        def first(ball: int) -> int:
+            while of[ball] != ball:
+                of[ball] = ball = of[of[ball]]
+            return ball
+
+        for i in range(len(centers)):
+            if self._spent(len(centers) - i):
+                return False
+            close = np.flatnonzero(distance(centers[i], centers[i + 1 :]) - radius[i] - radius[i + 1 :] <= self.bound) + i + 1
+            for j in close.tolist():
+                if first(i) == first(j):
+                    continue
+                if self.members is None:
+                    return False
+                a, b = (np.concatenate(self.members[k]) for k in (i, j))
+                a = a[distance(centers[j], a) <= self.bound + radius[j]]  # others are too far from all of the other ball
+                b = b[distance(centers[i], b) <= self.bound + radius[i]]
+                if len(a) > len(b):
+                    a, b = b, a
+                for row in a:
+                    if self._spent(len(b)):
+                        return False
+                    hit = near(row, b, self.signed)
+                    if hit.any():
+                        self.leaf.append(row[:1]), self.root.append(b[hit.argmax()][:1])
+                        of[first(j)] = first(i)
+                        break
+        return True
+
+
 def _linked(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (key, d, words) sorted by key, d -> (key, d, words, b): an edge d-b, or, with a key, a hot group's member d.
+    """Rows (key, id, words) sorted by key -> (key, d, b): an edge d-b between ids, or, with a key only, that its sets have to be brought together again.
 
-    At most ``hot`` sketches of a group are held; a larger group's rows pass on.
+    Sets with one id are connected already. A group of more than ``hot`` sets (None: none is) is a ``Crowd``.
     """
 
-    def rows(key: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        a, b = a.view(np.int64), b.view(np.int64)
-        none = pa.nulls(len(a), pa.int64())
-        words = [none if key is None else pa.array(np.ascontiguousarray(x)) for x in a.T[1:]]
-        ends = [pa.array(np.ascontiguousarray(x[:, 0])) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([none if key is None else pa.array(key), ends[0], *words, ends[1]], names=["key", "d", *WORDS, "b"])
+    def rows(a: np.ndarray, b: np.ndarray, key: list | None = None) -> pa.RecordBatch:
+        apart = a != b
+        a, b = a[apart].view(np.int64), b[apart].view(np.int64)
+        marks = pa.array([*([None] * len(a)), *(key or [])], pa.int64())
+        ends = [pa.array([*x.tolist(), *([None] * len(key or []))], pa.int64()) if key else pa.array(x) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([marks, *ends], names=["key", "d", "b"])
+
+    def told(key: int, crowd: Crowd) -> pa.RecordBatch:
+        done = crowd.settled()
+        return rows(np.concatenate(crowd.leaf), np.concatenate(crowd.root), None if done else [int(key)])
 
     width = len(WORDS) + 1
-    held_key, held, flowing = None, np.empty((0, width), np.uint64), None
+    held_key, held, crowd = None, np.empty((0, width), np.uint64), None
     for batch in itertools.chain(batches, [None]):
         if batch is None:
             key, fps = np.empty(0, np.int64), np.empty((0, width), np.uint64)
         else:
             key = batch.column(0).to_numpy()
             fps = np.column_stack([batch.column(k).to_numpy() for k in range(1, width + 1)]).view(np.uint64)
+        if crowd is not None:
+            more = int(np.searchsorted(key != held_key, True))
+            crowd.add(fps[:more])
+            key, fps = key[more:], fps[more:]
+            if len(key) or batch is None:
+                yield told(held_key, crowd)
+                crowd = None
         key, fps = np.concatenate([np.full(len(held), held_key if len(held) else 0, np.int64), key]), np.concatenate([held, fps])
         held = held[:0]
         if not len(key):
             continue
         cut = np.flatnonzero(key[1:] != key[:-1]) + 1
         start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
-        passing = np.zeros(len(start), bool) if hot is None else end - start > hot
-        passing |= key[start] == flowing if flowing is not None else False
+        large = np.zeros(len(start), bool) if hot is None else end - start > hot
         if batch is not None:
-            if passing[-1]:
-                flowing = key[-1]
+            held_key = key[-1]
+            if large[-1]:
+                crowd = Crowd(bool(held_key >= 0))
+                crowd.add(fps[start[-1] :])
             else:
-                held_key, held = key[-1], fps[start[-1] :].copy()
-                start, end, passing = start[:-1], end[:-1], passing[:-1]
+                held = fps[start[-1] :].copy()
+            start, end, large = start[:-1], end[:-1], large[:-1]
+        for a, z in zip(start[large].tolist(), end[large].tolist(), strict=True):
+            whole = Crowd(bool(key[a] >= 0))
+            whole.add(fps[a:z])
+            yield told(key[a], whole)
         size = end - start
-        few = (size > 1) & ~passing
+        few = (size > 1) & ~large
         s, n = start[few], size[few]
         first = np.repeat(s, n)  # most groups are near to their first set as a whole
         own = first + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -256,9 +381,7 @@ def _linked(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.R
             leaf.append(x + a), root.append(y + a)
         leaf, root = np.concatenate(leaf), np.concatenate(root)
         if len(leaf):
-            yield rows(None, fps[leaf], fps[root])
-        for a, z in zip(start[passing].tolist(), end[passing].tolist(), strict=True):
-            yield rows(key[a:z], fps[a:z], fps[a:z])
+            yield rows(fps[leaf, 0], fps[root, 0])
 
 
 def _spanned(batches: Iterator[pa.RecordBatch], most: int = SPAN) -> Iterator[pa.RecordBatch]:
@@ -270,15 +393,15 @@ def _spanned(batches: Iterator[pa.RecordBatch], most: int = SPAN) -> Iterator[pa
     """
 
     def rows(d: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(d), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(d), *(none for _ in WORDS), pa.array(b)], names=["key", "d", *WORDS, "b"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(d), pa.array(b)], names=["key", "d", "b"])
 
     held, count = [], 0
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
             if batch.column("key").null_count < batch.num_rows:
-                yield batch
-                continue
+                marked = batch.column("key").is_valid()
+                yield batch.filter(marked)
+                batch = batch.filter(pc.invert(marked))
             held.append((batch.column("d").to_numpy(), batch.column("b").to_numpy()))
             count += batch.num_rows
         if count and (batch is None or count >= most):
@@ -372,26 +495,42 @@ def with_rest(rows: DataFrame) -> DataFrame:
     return _dealt(rows, F.when(F.col("rest"), F.array_union(met, meets)).otherwise(met))
 
 
-_FOUND = f"key long, d long, {', '.join(f'{f} long' for f in WORDS)}, b long"
+_FOUND = "key long, d long, b long"
 
 
 def candidates(distinct: DataFrame, hot: int = HOT) -> tuple[DataFrame, str]:
     """(node, root) of the components of candidates among distinct sets (d, n, words, p), and a scratch path."""
-    spark = distinct.sparkSession
-    keyed = indexed(distinct, segment_bits(distinct.count()))
-    found, path = written(keyed.repartition("key").sortWithinPartitions("key", "d").mapInArrow(lambda it: _spanned(_linked(it, hot)), _FOUND))
-    edges = found.where("key is null").mapInArrow(_spanned, _FOUND).selectExpr("d as a", "b")  # what tasks have in common
-    crowd = found.where("key is not null").selectExpr("key", "d", *WORDS, "0 as n")
-    linked = lambda dealt: dealt.select("key", "d", *WORDS).mapInArrow(lambda it: _spanned(_linked(it, None)), _FOUND).selectExpr("d as a", "b")
-    if not crowd.isEmpty():
-        roots, to = connected(edges.unionByName(linked(with_pivots(sized(crowd, hot)))))
-        more = linked(with_rest(left_over(crowd, roots, hot)))
-        final, last = connected(roots.selectExpr("node as a", "root as b").unionByName(more))
-        remove(spark, to)
-    else:
-        final, last = connected(edges)
-    remove(spark, path)
-    return final, last
+    spark, wide = distinct.sparkSession, segment_bits(distinct.count())
+
+    def found(keyed: DataFrame, most: int | None) -> DataFrame:
+        return keyed.mapInArrow(lambda it: _spanned(_linked(it, most)), _FOUND)
+
+    def met(rows: DataFrame, early: bool, by: str) -> tuple[DataFrame, str]:
+        keyed = indexed(rows, wide, early).select("key", by, *WORDS)
+        return written(found(keyed.repartition("key").sortWithinPartitions("key", by), hot))
+
+    def edges(rows: DataFrame) -> DataFrame:
+        return rows.where("key is null").mapInArrow(_spanned, _FOUND).selectExpr("d as a", "b")  # what tasks have in common
+
+    first, path = met(distinct, True, "d")
+    early, to = connected(edges(first))
+    as_one = distinct.join(early, F.col("d") == F.col("node"), "left").withColumn("root", F.coalesce("root", "d")).drop("node")
+    second, at = met(as_one, False, "root")
+    both = lambda roots: roots.selectExpr("node as a", "root as b")
+    roots, last = connected(both(early).unionByName(edges(second)))
+    scratch = [path, to, at]
+    marks = first.unionByName(second).where("key is not null").select("key").distinct()
+    many = marks.count()
+    if many:
+        again = indexed(distinct, wide).select("key", "d", *WORDS, F.lit(0).alias("n"))
+        crowd, rows = written(again.join(F.broadcast(marks) if many <= MARKS else marks, "key", "left_semi"))
+        linked = lambda dealt: found(dealt.select("key", "d", *WORDS), None).selectExpr("d as a", "b")
+        grown, more = connected(both(roots).unionByName(linked(with_pivots(sized(crowd, hot)))))
+        final, end = connected(both(grown).unionByName(linked(with_rest(left_over(crowd, grown, hot)))))
+        scratch += [rows, last, more]
+        roots, last = final, end
+    remove(spark, *scratch)
+    return roots, last
 
 
 def links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> tuple[DataFrame, str]:
@@ -400,7 +539,9 @@ def links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, hot: int
     blocks, path = candidates(distinct, hot)
     members = blocks.unionByName(blocks.selectExpr("root as node", "root")).distinct().selectExpr("node as d", "root as key")
     members, at = written(sized(members.join(distinct.select("d", "t", "n"), "d"), hot))
-    texts = docs.select("text", F.xxhash64("text").alias("t")).groupBy("t").agg(F.first("text").alias("text"))
+    own = members.select("t").distinct()
+    own = F.broadcast(own) if own.count() <= MEMBERS else own
+    texts = docs.select("text", F.xxhash64("text").alias("t")).join(own, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
 
     def settled(rows: DataFrame, deal: Callable[[DataFrame], DataFrame]) -> DataFrame:
         held = with_columns(texts.join(rows, "t").drop("t"), ["text"], lambda x: ([shingles(t, shingle).view(np.int64) for t in x],), "h array<long>", drop=("text",), rows=256)

@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -142,18 +144,93 @@ def test_copies_are_linked_by_few_edges(spark, monkeypatch):
             assert max(seen) <= 3 * many
 
 
+def sketched(rng, center, flips):
+    own = center ^ sum(1 << b for b in rng.sample(range(1, 256), flips))
+    return [w - (w >> 63 << 64) for w in (own >> 64 * k & (1 << 64) - 1 for k in range(4))]
+
+
+@pytest.mark.parametrize("held, work", [(1 << 18, 1 << 26), (10, 1 << 26), (1 << 18, 0), (200, 3000)])
+def test_crowds_are_linked_or_marked(monkeypatch, held, work):
+    """Edges of a large key connect what comparing each with each does, or else the key is marked; however its rows come."""
+    monkeypatch.setattr(near_copies, "HELD", held), monkeypatch.setattr(near_copies, "WORK", work), monkeypatch.setattr(near_copies, "EACH", 0 if work < 10_000 else 64)
+    rng, names, marked = random.Random(17), ["key", "d", *near_copies.WORDS], []
+    for signed in (True, False):
+        for flips in (5, 20, 36, 60):
+            centers = [rng.getrandbits(255) << 1 for _ in range(3)]
+            centers.append(centers[0] ^ sum(1 << b for b in rng.sample(range(1, 256), 75)))  # a crowd that touches another one, or not
+            own = [sketched(rng, rng.choice(centers), flips) for _ in range(150)] + [sketched(rng, rng.getrandbits(255) << 1, 0) for _ in range(30)]
+            own = [[w[0] | (k % 40 == 7), *w[1:]] for k, w in enumerate(own)]  # some are tiny
+            rng.shuffle(own)
+            keys = sorted([3 if signed else -3] * len(own) + [9 if signed else -1] * 2)
+            own += own[:2]
+            if not signed:
+                own = own[-2:] + own[:-2] if keys[0] == -1 else own
+            rows = np.array([[k, d, *w] for d, (k, w) in enumerate(zip(keys, own, strict=True))], np.int64)
+            group = rows[rows[:, 0] == (3 if signed else -3), 1:].view(np.uint64)
+            near = near_copies.near(group[:, None], group[None], signed)
+            i, j = np.nonzero(near)
+            want = simhash.components(len(group), i, j)
+            for cut in (1, 7, 1000):
+                batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[at : at + cut].T], names=names) for at in range(0, len(rows), cut)]
+                got = pa.Table.from_batches(list(near_copies._linked(iter(batches), 50)))
+                edges = got.filter(pc.is_null(got["key"]))
+                ids = group[:, 0].astype(np.int64).tolist()
+                place = {d: k for k, d in enumerate(ids)}
+                pairs = [(place[a], place[b]) for a, b in zip(edges["d"].to_pylist(), edges["b"].to_pylist(), strict=True) if a in place and b in place]
+                assert all(near[a, b] for a, b in pairs) and len(pairs) < len(group)
+                marks = got.filter(pc.is_valid(got["key"]))["key"].to_pylist()
+                marked.append(bool(marks))
+                if not marks:
+                    label = simhash.components(len(group), *(np.array(x, np.int64) for x in zip(*pairs, strict=True))) if pairs else np.arange(len(group))
+                    assert np.array_equal(label, want)
+    assert any(marked) == ((held, work) != (1 << 18, 1 << 26))
+
+
+def test_rows_of_crowds_grow_with_their_sets(spark, monkeypatch):
+    """What tasks write about crowds of near copies among other sets: a few rows a set, below and above what makes a key large."""
+    rng, counts, written = random.Random(18), [], near_copies.written
+
+    def counted(df):
+        out = written(df)
+        if df.columns == ["key", "d", "b"]:
+            counts.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    for many, flips, hot in ((1500, 10, 1024), (1500, 20, 1024), (3000, 10, 1024), (3000, 20, 1024), (3000, 10, 5000), (6000, 20, 1024)):
+        center = rng.getrandbits(255) << 1
+        rows = [(d, 50, *sketched(rng, center, flips), []) for d in range(many)] + [(many + d, 50, *sketched(rng, rng.getrandbits(255) << 1, 0), []) for d in range(1500)]
+        df = spark.createDataFrame(rows, f"d long, n long, {', '.join(f'{f} long' for f in near_copies.WORDS)}, p array<long>")
+        counts.clear()
+        roots, _ = near_copies.candidates(df, hot)
+        assert sorted(tuple(r) for r in roots.collect()) == [(d, 0) for d in range(1, many)]
+        assert sum(counts) <= 6 * many, (many, flips, hot, counts)
+
+
+def test_keys_that_are_not_settled_meet_again(spark, monkeypatch):
+    """With next to no work for a large key, whole groups are dealt again; the components are the same."""
+    rng = random.Random(19)
+    rows = [(d, 50, *sketched(rng, c, 20), []) for d, c in enumerate([rng.getrandbits(255) << 1 for _ in range(3)] * 60)]
+    rows = [(*r[:6], [7, -9]) for r in rows]  # all of them share two shingles
+    df = spark.createDataFrame(rows, f"d long, n long, {', '.join(f'{f} long' for f in near_copies.WORDS)}, p array<long>")
+    want = sorted((d, d % 3) for d in range(3, 180))
+    for work, marks in ((1 << 26, 1 << 17), (0, 1 << 17), (0, 0)):
+        monkeypatch.setattr(near_copies, "WORK", work), monkeypatch.setattr(near_copies, "EACH", 0 if not work else 64), monkeypatch.setattr(near_copies, "MARKS", marks)
+        assert sorted(tuple(r) for r in near_copies.candidates(df, 16)[0].collect()) == want
+
+
 def test_spanned(spark):
-    """A forest connects what its edges connect, however few are held at once; rows of hot groups pass on as they are."""
-    rng, names = np.random.default_rng(16), ["key", "d", *near_copies.WORDS, "b"]
+    """A forest connects what its edges connect, however few are held at once; marked keys pass on as they are."""
+    rng, names = np.random.default_rng(16), ["key", "d", "b"]
     for nodes, edges in ((40, 30), (300, 900), (50, 2000)):
         d, b = rng.integers(-nodes, nodes, edges), rng.integers(-nodes, nodes, edges)
         none = pa.nulls(edges, pa.int64())
-        whole = pa.RecordBatch.from_arrays([none, pa.array(d), none, none, none, none, pa.array(b)], names=names)
-        hot = pa.RecordBatch.from_arrays([pa.array([5, 5])] * 7, names=names)
+        whole = pa.RecordBatch.from_arrays([none, pa.array(d), pa.array(b)], names=names)
+        marks = pa.RecordBatch.from_arrays([pa.array([5, None, 6]), pa.array([None, int(d[0]), None]), pa.array([None, int(b[0]), None])], names=names)
         want = simhash.components(2 * nodes, d + nodes, b + nodes)
         for most in (1, 64, 1 << 18):
-            got = list(near_copies._spanned(iter([whole.slice(0, 0), *(whole.slice(k, 7) for k in range(0, edges, 7)), hot]), most))
-            assert [x for x in got if not x.column("key").null_count] == [hot]
+            got = list(near_copies._spanned(iter([whole.slice(0, 0), *(whole.slice(k, 7) for k in range(0, edges, 7)), marks]), most))
+            assert [x.column("key").to_pylist() for x in got if not x.column("key").null_count] == [[5, 6]]
             x, y = (np.concatenate([g.column(c).to_numpy() for g in got if g.column("key").null_count]) for c in "db")
             assert np.array_equal(simhash.components(2 * nodes, x + nodes, y + nodes), want)
         assert len(x) == 2 * nodes - len(np.unique(want))
@@ -172,6 +249,8 @@ def test_signatures(spark):
             want.append(v << 32 | (word >> wide * (segment % per)) & ((1 << wide) - 1) & ~(1 << bit))
         got = near_copies.indexed(df, wide).collect()
         assert sorted(r.key for r in got) == sorted([*want, 5 - (1 << 63), -6]) and {r.d for r in got} == {1}
+        parts = [near_copies.indexed(df, wide, early).collect() for early in (True, False)]
+        assert near_copies.EARLY <= len(parts[0]) <= near_copies.EARLY + 1 and sorted(r.key for p in parts for r in p) == sorted(r.key for r in got)
     assert [near_copies.segment_bits(k) for k in (0, 10**6, 10**8, 10**12)] == [16, 16, 21, 32]
 
 
