@@ -15,6 +15,7 @@ from ..operators.line_offers import offer_candidate, parse_lines, split_title, t
 from ..operators.row_offers import parse_rows
 from ..operators.segment import segment
 from ..sources import readers
+from ..sources.shared import scratch_path
 from ..types import OFFER, schema
 from . import derived
 from .imports import process, split
@@ -465,6 +466,49 @@ def deletable_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.deletable(derived.plans(spark, sf_dir), derived.lists(spark, sf_dir)).select("id", "name")
 
 
+#: Plans that pass the checks with the ids that they get, and lists in the order in which they are inserted: three commits.
+_LOG = f"""with p as (select id as k, row_number() over (order by id) as id from (select id, trim(name) as name, budget, upper(trim(base_currency)) as currency from ({_PLANS}))
+        where name <> '' and (budget is null or budget >= 0) and regexp_matches(currency, '^[A-Z]{{3}}$')),
+    l as (select l.id as k, l.name, p.id as plan_id, row_number() over (order by l.id % 3, l.id) as turn from ({_LISTS}) l left join p on l.order_plan_id = p.k),
+    own as (select *, plan_id is not null and row_number() over (partition by plan_id, name order by turn) = 1 as good from l)"""
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tuple[planning.PlanStore, DataFrame, list[DataFrame]]:
+    """A store of the derived plans, and of the lists in three commits; what the inserts gave."""
+    store = planning.PlanStore(spark, scratch_path(spark))
+    placed = store.insert_plans(derived.plans(spark, sf_dir).withColumnRenamed("id", "k"), "k")
+    ids = placed.where("id is not null").select(F.col("k").alias("order_plan_id"), F.col("id").alias("plan_id"))
+    lists = derived.lists(spark, sf_dir).withColumnRenamed("id", "k").join(ids, "order_plan_id", "left").withColumn("order_plan_id", F.coalesce("plan_id", F.lit(-1)))
+    given = [store.insert_lists(lists.where(F.col("k") % 3 == turn).select("k", "name", "order_plan_id"), "k") for turn in range(3)]
+    return store, placed, given
+
+
+@query(f"{_LOG} select row_number() over (order by turn) as id, name, plan_id as order_plan_id from own where good")
+def lists_in_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of the last version."""
+    store, _, _ = _store(spark, sf_dir)
+    return store.lists().select("id", "name", "order_plan_id")
+
+
+@query(f"""{_LOG} select k, case when good then '' when plan_id is null then 'order_plan_id does not exist' || case when turn > first then '|name has already been used in this order plan' else '' end
+    else 'name has already been used in this order plan' end as errors from (select *, min(turn) over (partition by k % 3, coalesce(plan_id, -1), name) as first from own)""")
+def lists_refused_by_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each list's insertion said."""
+    _, _, given = _store(spark, sf_dir)
+    every = given[0].unionByName(given[1]).unionByName(given[2])
+    return every.select("k", _bar(F.transform("errors", lambda e: F.concat_ws(" ", e["field"], e["message"]))).alias("errors"))
+
+
+@query(f"{_LOG} select p.id, p.k from p where p.id % 2 = 0 and not exists (select 1 from own where good and plan_id = p.id)")
+def plans_deleted_in_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of even ids that are gone after an attempt to delete all of these."""
+    store, placed, _ = _store(spark, sf_dir)
+    before = store.log.snapshot().version
+    store.delete_plans(store.plans().where("id % 2 = 0").select("id"))
+    gone = store.plans(before).join(store.plans().select("id"), "id", "left_anti").select("id")
+    return gone.join(placed.select("id", "k"), "id")
+
+
 @query(f"""select k, n, case when length(flat) > 12 then substr(flat, 1, 12) || '…' else flat end as shown, flat = '' as blank_, nullif(flat, '') as clean_
     from (select k, n, trim(regexp_replace(text, '\\s+', ' ', 'g')) as flat from ({LINES}))""")
 def display_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
