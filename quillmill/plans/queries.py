@@ -11,9 +11,11 @@ from ..functions import signals as S
 from ..functions.isbn import is_valid_isbn
 from ..functions.text import blank, clean, grapheme_len, locator_text, shortened, utrim, ws_normalize
 from ..operators import catalog, import_quality, interpret, planning, spreadsheet
+from ..operators.catalog_index import CatalogIndex
 from ..operators.line_offers import offer_candidate, parse_lines, split_title, text_lines, without_preamble
 from ..operators.row_offers import parse_rows
 from ..operators.segment import segment
+from ..operators.substring_join import contained
 from ..sources import readers
 from ..sources.shared import scratch_path
 from ..types import OFFER, schema
@@ -407,6 +409,21 @@ def grounding_first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpret.grounded(_results(spark, sf_dir)).where("ungrounded is not null").select("doc_id", "ungrounded.field", "ungrounded.value")
 
 
+_VALUES = _RESULTS.replace("{documents}", "documents")
+
+
+@query(rf"""with d as (select doc_id, trim(regexp_replace(replace(text, chr(10), ' '), '\s+', ' ', 'g')) as text, unnest([title, note, description]) as value from ({_VALUES})),
+    v as (select distinct trim(regexp_replace(value, '\s+', ' ', 'g')) as value from d),
+    s as (select distinct doc_id, text from d)
+    select value, count(*) as records, min(doc_id) as first from v join s on contains(s.text, v.value) where v.value <> '' group by value""")
+def grounded_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each value of any record's reading, in how many records' sources it lies, whosever they are."""
+    rows = _results(spark, sf_dir)
+    sources = rows.select(F.col("doc_id").alias("source_id"), ws_normalize(F.concat_ws(" ", "source_lines")).alias("text"))
+    values = rows.select(F.explode(F.array("title", F.get("notes", F.lit(0)), F.get("descriptions", F.lit(0)))).alias("value")).select(ws_normalize(F.col("value")).alias("value"))
+    return contained(values, sources).groupBy("value").agg(F.count(F.lit(1)).alias("records"), F.min("source_id").alias("first"))
+
+
 _CATALOG = _duck(derived.CATALOG)
 
 
@@ -415,6 +432,18 @@ def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.TableAdapter(derived.catalog(spark, sf_dir)).search("  RING Brand#2 ").records.drop("source")
 
 
+@query(f"""with c as (select record_id, title, isbn, lower(concat_ws(' ', title, creator, isbn)) as hay from ({_CATALOG})),
+    q as (select distinct unnest(string_split(title, ' ') || [left(title, 1), right(title, 2), ' ' || upper(title) || '  ', substr(isbn, 4, 8)]) as query from c where record_id::bigint % 50 = 0)
+    select query, record_id from q join c on contains(hay, lower(trim(query)))""")
+def catalog_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every 50th title, the title, its first and last characters and a part of its isbn as queries, against all records."""
+    records = derived.catalog(spark, sf_dir)
+    title = F.col("title")
+    asked = F.concat(F.split(title, " "), F.array(F.left(title, F.lit(1)), F.right(title, F.lit(2)), F.concat(F.lit(" "), F.upper(title), F.lit("  ")), F.substring("isbn", 4, 8)))
+    queries = records.where("cast(record_id as long) % 50 = 0").select(F.explode(asked).alias("query"))
+    return CatalogIndex.build(records).search(queries).select("query", "record_id")
+
+
 @query(f"select source, record_id, title, creator, isbn from ({_CATALOG}) where record_id = '17' or isbn = '17' order by record_id limit 1")
 def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.Catalog("parts", parts=catalog.TableAdapter(derived.catalog(spark, sf_dir))).lookup(" 17 ").records
