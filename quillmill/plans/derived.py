@@ -241,6 +241,29 @@ def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOG = f"select 'parts' as source, cast(p_partkey as string) as record_id, p_name as title, p_brand as creator, {ISBN} as isbn from {{part}}"
+_CORE = "lpad(cast(p_partkey as string), 9, '0')"
+_TEN = "({digits}) % 11".format(digits=" + ".join(f"{i + 1} * (cast(floor(p_partkey / {10 ** (8 - i)}) as bigint) % 10)" for i in range(9)))
+#: A part's ISBN-10; every seventh has a wrong check digit.
+ISBN10 = f"concat({_CORE}, case when ({_TEN} + case when p_partkey % 7 = 0 then 1 else 0 end) % 11 = 10 then 'x' else cast(({_TEN} + case when p_partkey % 7 = 0 then 1 else 0 end) % 11 as string) end)"
+_HYPHENS = f"concat(substr({ISBN10}, 1, 4), '-', substr({ISBN10}, 5, 5), '- ', substr({ISBN10}, 10, 1))"
+#: Offers' ISBNs (first and second) with placeholders, broken and missing ones; and records that a library holds, some of them twice under one ISBN.
+OFFERED = f"""
+    select p_partkey as offer_id, case p_partkey % 9 when 3 then '978-0-00-000000-2' when 4 then 'n/a' when 5 then null when 6 then ' ' else {ISBN} end as first,
+           case when p_partkey % 3 = 1 then {ISBN10} end as second from {{part}}
+"""
+HELD = f"""
+    select concat('h', cast(p_partkey as string)) as record_id, case when p_partkey % 50 = 0 then '9780000000002' when p_partkey % 2 = 0 then {ISBN} else {_HYPHENS} end as isbn from {{part}} where p_partkey % 5 <> 1
+    union all select concat('d', cast(p_partkey as string)), {ISBN10} from {{part}} where p_partkey % 11 = 0
+"""
+#: Amounts selected for plans: some unknown, some in another currency or for no plan.
+SELECTED = """
+    select o_custkey + case when o_orderkey % 101 = 0 then 100000000 else 0 end as order_plan_id, case when o_orderkey % 29 <> 0 then cast(o_totalprice as decimal(14,2)) end as amount,
+           case when o_orderkey % 17 = 0 then 'CHF' when o_custkey % 5 = 0 then 'USD' when o_custkey % 5 = 1 then 'EUR' else 'BND' end as currency from {orders} where o_custkey % 3 <> 1
+"""
+BUDGETS = """
+    select c_custkey as id, case c_custkey % 5 when 0 then 'USD' when 1 then 'EUR' when 2 then null else 'BND' end as base_currency, case when c_custkey % 4 <> 0 then cast(c_acctbal as decimal(14,2)) end as budget
+    from {customer}
+"""
 PLANS = """
     select c_custkey as id, case when c_custkey % 40 = 0 then '  ' else concat(' ', c_name, ' ') end as name, cast(c_acctbal as decimal(14,2)) as budget,
            case c_custkey % 5 when 0 then ' usd' when 1 then 'EUR' when 2 then 'Euro' when 3 then '' else 'BND' end as base_currency,

@@ -11,9 +11,11 @@ from ..functions import signals as S
 from ..functions.isbn import is_valid_isbn
 from ..functions.text import blank, clean, grapheme_len, locator_text, shortened, utrim, ws_normalize
 from ..operators import catalog, import_quality, interpret, planning, spreadsheet
+from ..operators.budgets import budget_summary
 from ..operators.catalog_index import CatalogIndex
 from ..operators.line_offers import offer_candidate, parse_lines, split_title, text_lines, without_preamble
 from ..operators.row_offers import parse_rows
+from ..operators.matching import matched
 from ..operators.segment import segment
 from ..operators.substring_join import contained
 from ..sources import readers
@@ -449,6 +451,37 @@ def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.Catalog("parts", parts=catalog.TableAdapter(derived.catalog(spark, sf_dir))).lookup(" 17 ").records
 
 
+#: A canonical ISBN of a value ``c`` in capitals without hyphens and blanks.
+_THIRTEEN = """case when regexp_matches(c, '^[0-9]{13}$') and list_sum(list_transform(range(1, 14), lambda i: (case when i % 2 = 1 then 1 else 3 end) * substr(c, i::int, 1)::int)) % 10 = 0 then c
+    when regexp_matches(c, '^[0-9]{9}[0-9X]$') and list_sum(list_transform(range(1, 11), lambda i: i * (case substr(c, i::int, 1) when 'X' then 10 else ascii(substr(c, i::int, 1)) - 48 end))) % 11 = 0
+    then '978' || left(c, 9) || (10 - (38 + list_sum(list_transform(range(1, 10), lambda i: (case when i % 2 = 1 then 3 else 1 end) * substr(c, i::int, 1)::int))) % 10) % 10 end"""
+
+
+@query(f"""with o as (select offer_id, value, upper(regexp_replace(value, '[\\s-]', '', 'g')) as c from (select offer_id, unnest([first, second]) as value from ({_duck(derived.OFFERED)}))),
+    e as (select distinct offer_id, trim(value) <> '' as given, {_THIRTEEN} as isbn from o),
+    h as (select isbn, count(distinct record_id) as n, min(record_id) as first from (select record_id, {_THIRTEEN} as isbn from (select record_id, upper(regexp_replace(isbn, '[\\s-]', '', 'g')) as c from ({_duck(derived.HELD)}))) where isbn is not null group by isbn),
+    g as (select offer_id, coalesce(bool_or(given), false) as given, count(e.isbn) as valid, coalesce(sum(n), 0)::bigint as records, min(h.first) as record_id from e left join h on e.isbn = h.isbn group by offer_id)
+    select offer_id, case when not given or valid = 0 then 'failed' when records = 0 then 'not_found' when records = 1 then 'exact_edition' else 'ambiguous' end as state,
+      case when not given then 'no_identifier' when valid = 0 then 'invalid_identifier' end as reason, records, record_id from g""")
+def offer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = derived.table(spark, sf_dir, "part")
+    offers = spark.sql(derived.OFFERED, part=part).select("offer_id", F.array("first", "second").alias("isbns"))
+    return matched(offers, catalog.Answer(spark.sql(derived.HELD, part=part)))
+
+
+@query(f"""with s as (select order_plan_id, currency, count(*) as items, count(amount) as amounts, sum(amount) as amount from ({_duck(derived.SELECTED)}) group by all),
+    p as (select b.id, b.base_currency, b.budget, coalesce(sum(items), 0) as items, coalesce(sum(amounts) filter (where currency = base_currency), 0) as known, coalesce(sum(amount) filter (where currency = base_currency), 0) as selected
+        from ({_duck(derived.BUDGETS)}) b left join s on s.order_plan_id = b.id group by all),
+    g as (select case when grouping(id) = 0 then 'plan' when grouping(base_currency) = 0 then 'currency' else 'all' end as level, id as order_plan_id, base_currency as currency, count(*) as plans, sum(budget) as budget, count(*) - count(budget) as unbudgeted,
+        sum(items)::bigint as items, sum(selected) as selected, sum(items - known)::bigint as unknown from p group by grouping sets ((id, base_currency), (base_currency), ()))
+    select level, order_plan_id, currency, plans, case when level <> 'all' then cast(budget * 100 as bigint) end as budget, unbudgeted, items, case when level <> 'all' then cast(selected * 100 as bigint) end as selected, unknown,
+      case when level <> 'all' and unbudgeted = 0 and unknown = 0 then cast((budget - selected) * 100 as bigint) end as remaining from g""")
+def budget_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = spark.sql(derived.BUDGETS, customer=derived.table(spark, sf_dir, "customer"))
+    out = budget_summary(plans, spark.sql(derived.SELECTED, orders=derived.table(spark, sf_dir, "orders")))
+    return out.select("level", "order_plan_id", "currency", "plans", _cents(F.col("budget")).alias("budget"), "unbudgeted", "items", _cents(F.col("selected")).alias("selected"), "unknown", _cents(F.col("remaining")).alias("remaining"))
+
+
 _PLANS = f"select id, name, budget, base_currency, timestamp '2024-01-01 00:00:00' + to_days(day) as inserted_at from ({_duck(derived.PLANS)})"
 _LISTS = _duck(derived.LISTS)
 
