@@ -18,7 +18,7 @@ from ..operators.row_offers import parse_rows
 from ..operators.matching import matched
 from ..operators.segment import segment
 from ..operators.substring_join import contained
-from ..sources import readers
+from ..sources import export, offer_files, readers
 from ..sources.shared import scratch_path
 from ..types import OFFER, schema
 from . import derived
@@ -612,3 +612,21 @@ def xlsx_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readers.worksheet_rows(derived.workbooks(spark, sf_dir), "Stock").where("error is null")
     kept = F.filter("cells", lambda c: c["kind"] != "null")
     return rows.select("file", F.posexplode(kept).alias("place", "c")).select("file", (F.col("place") + 1).alias("place"), F.col("c.s").alias("v"))
+
+
+_EXPORTED = """
+    select k, case k % 8 when 0 then '=' when 1 then '+' when 2 then '-' when 3 then '@' when 4 then ' =' when 5 then chr(9) when 6 then '<&>' else '' end || p_name as name,
+      case when k % 3 <> 0 then p_brand end as brand, price from (select p_partkey as k, p_name, p_brand, case when p_partkey % 5 <> 0 then cast(p_retailprice as decimal(12,2)) end as price from {part})
+"""
+
+
+@query(f"""with x as ({_duck(_EXPORTED)})
+    select k, case when k % 8 < 6 then chr(39) else '' end || name as name, brand, cast(price * 100 as bigint) as hundredths from x""")
+def exported_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as they are read from the workbooks that they were exported to."""
+    path = scratch_path(spark)
+    export.export_xlsx(spark.sql(_EXPORTED, part=derived.table(spark, sf_dir, "part")), path, rows=1000)
+    offer_files.register(spark)
+    rows = spark.read.format("quillmill_files").option("kind", "xlsx").load(path).where("error is null and row_no > 1")
+    cell = lambda k, of="s": F.get("cells", F.lit(k))[of]
+    return rows.select(cell(0).cast("long").alias("k"), cell(1).alias("name"), cell(2).alias("brand"), (cell(3, "d") * 100).cast("long").alias("hundredths"))

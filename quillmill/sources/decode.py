@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 from decimal import Decimal, InvalidOperation, localcontext
+from typing import Any
 from xml.parsers import expat
 
-#: Bytes that a member of an archive may unpack to.
-MEMBER_BYTES = 256 << 20
+#: Bytes that a member of an archive may unpack to: one that is held whole, and one that is read in pieces.
+MEMBER_BYTES, STREAM_BYTES = 256 << 20, 4 << 30
+#: Bytes of a piece; cells or paragraphs of a file that are held until it is known to be whole (64 characters of text count as one more).
+PIECE, HELD = 1 << 16, 1 << 16
 
 
 class DecodeError(ValueError):
@@ -27,9 +32,10 @@ def local(name: str) -> str:
     return name.rpartition(":")[2]
 
 
-def parse(data: bytes, start: Callable, end: Callable, text: Callable) -> None:
-    """Runs handlers over XML; names come without prefixes. Document type declarations are refused.
+def parse_pieces(pieces: Iterable[bytes], start: Callable, end: Callable, text: Callable, found: list | None = None) -> Iterator:
+    """Runs handlers over XML that comes in pieces; what they have put into ``found`` is handed on after each piece.
 
+    Names come without prefixes. Document type declarations are refused.
     Whatever is wrong with the XML, its encoding or the values in it is a ``DecodeError``.
     """
 
@@ -42,37 +48,76 @@ def parse(data: bytes, start: Callable, end: Callable, text: Callable) -> None:
     parser.StartElementHandler = lambda name, own: start(local(name), {local(k): v for k, v in own.items()})
     parser.EndElementHandler = lambda name: end(local(name))
     parser.CharacterDataHandler = text
-    try:
-        parser.Parse(data, True)
-    except DecodeError:
-        raise
-    except (expat.ExpatError, ValueError, LookupError, ArithmeticError) as e:
-        raise DecodeError("invalid_xml", str(e)) from None
+    for piece in itertools.chain(pieces, [None]):
+        try:
+            parser.Parse(piece or b"", piece is None)
+        except DecodeError:
+            raise
+        except (expat.ExpatError, ValueError, LookupError, ArithmeticError) as e:
+            raise DecodeError("invalid_xml", str(e)) from None
+        if found:
+            yield from found
+            found.clear()
 
 
-def member(archive: bytes, name: str, missing: str, broken: str) -> bytes:
+def parse(data: bytes, start: Callable, end: Callable, text: Callable) -> None:
+    """``parse_pieces`` of the whole."""
+    for _ in parse_pieces([data], start, end, text):
+        pass
+
+
+@contextmanager
+def _opened(archive: bytes, name: str, missing: str, broken: str) -> Iterator[tuple[zipfile.ZipFile, zipfile.ZipInfo]]:
     try:
         with zipfile.ZipFile(io.BytesIO(archive)) as z:
             try:
                 info = z.getinfo(name)
             except KeyError:
                 raise DecodeError(missing) from None
-            if info.file_size > MEMBER_BYTES:
-                raise DecodeError(broken, f"{name} unpacks to {info.file_size} bytes")
-            return z.read(info)
+            yield z, info
     except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, RuntimeError, OSError, ValueError) as e:
         if isinstance(e, DecodeError):
             raise
         raise DecodeError(broken, str(e)) from None
 
 
-def docx_paragraphs(xml: bytes) -> list[tuple[int, str, str | None]]:
+def member(archive: bytes, name: str, missing: str, broken: str) -> bytes:
+    with _opened(archive, name, missing, broken) as (z, info):
+        if info.file_size > MEMBER_BYTES:
+            raise DecodeError(broken, f"{name} unpacks to {info.file_size} bytes")
+        return z.read(info)
+
+
+def member_pieces(archive: bytes, name: str, missing: str, broken: str) -> Iterator[bytes]:
+    """A member as it unpacks, a piece at a time."""
+    with _opened(archive, name, missing, broken) as (z, info), z.open(info) as f:
+        size = 0
+        while piece := f.read(PIECE):
+            size += len(piece)
+            if size > STREAM_BYTES:
+                raise DecodeError(broken, f"{name} unpacks to more than {STREAM_BYTES} bytes")
+            yield piece
+
+
+def whole(make: Callable[[], Iterator], weight: Callable[[Any], int] = lambda x: 1) -> Iterator:
+    """What ``make`` gives, only if it ends without an error: a little is held, more is checked first and then read again."""
+    some, size = [], 0
+    for x in make():
+        size += weight(x)
+        if size <= HELD:
+            some.append(x)
+        else:
+            some.clear()
+    return iter(some) if size <= HELD else make()
+
+
+def _paragraphs(pieces: Iterable[bytes]) -> Iterator[tuple[int, str, str | None]]:
     """(index, text, style) of every paragraph, empty ones too, numbered from 1 as they end.
 
     Breaks are line feeds, tabs tab characters; paragraphs within a paragraph (text boxes) are
     paragraphs of their own.
     """
-    found, open_, inside = [], [], 0
+    found, open_, inside, count = [], [], 0, 0
 
     def start(name, own):
         nonlocal inside
@@ -89,26 +134,32 @@ def docx_paragraphs(xml: bytes) -> list[tuple[int, str, str | None]]:
                 open_[-1][1] = own["val"]
 
     def end(name):
-        nonlocal inside
+        nonlocal inside, count
         if name == "t":
             inside = max(0, inside - 1)
         elif name == "p" and open_:
             parts, style = open_.pop()
-            found.append((len(found) + 1, "".join(parts), style))
+            count += 1
+            found.append((count, "".join(parts), style))
 
     def text(data):
         if inside and open_:
             open_[-1][0].append(data)
 
     try:
-        parse(xml, start, end, text)
+        yield from parse_pieces(pieces, start, end, text, found)
     except DecodeError as e:
-        raise DecodeError("invalid_docx_xml", str(e)) from None
-    return found
+        raise (e if e.reason.startswith(("document_", "invalid_docx")) else DecodeError("invalid_docx_xml", str(e))) from None
+
+
+def docx_paragraphs(xml: bytes) -> list[tuple[int, str, str | None]]:
+    """All paragraphs of a document's XML, as ``_paragraphs`` gives them."""
+    return list(_paragraphs([xml]))
 
 
-def docx(archive: bytes) -> list[tuple[int, str, str | None]]:
-    return docx_paragraphs(member(archive, "word/document.xml", "document_xml_not_found", "invalid_docx_archive"))
+def docx(archive: bytes) -> Iterator[tuple[int, str, str | None]]:
+    """Paragraphs of a word-processor file, if it is whole; the XML isn't held."""
+    return whole(lambda: _paragraphs(member_pieces(archive, "word/document.xml", "document_xml_not_found", "invalid_docx_archive")), lambda p: 1 + len(p[1]) // 64)
 
 
 def mods_records(xml: bytes) -> list[dict]:
@@ -161,8 +212,8 @@ def mods_records(xml: bytes) -> list[dict]:
     return found
 
 
-#: Fixed values of the format: the last column, XFD; numbers of the built-in date and time formats.
-COLUMNS = 16_384
+#: Fixed values of the format: the last row, the last column, XFD; numbers of the built-in date and time formats.
+LAST_ROW, COLUMNS = 1_048_576, 16_384
 DATES = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
 #: What a cell's number holds as an exact decimal.
 DIGITS, SCALE = 38, 18
@@ -230,7 +281,9 @@ def _cell(kind: str | None, text: str | None, shared: list[str], dated: bool = F
     if text is None:
         return "null", None, None
     if kind == "s":
-        return "string", shared[int(text)], None
+        if (place := int(text)) < 0:
+            raise ValueError(f"no shared string {place}")
+        return "string", shared[place], None
     if kind in ("str", "inlineStr", "e"):
         return "string", text, None
     if kind == "b":
@@ -277,15 +330,21 @@ def _strings(xml: bytes) -> list[str]:
     return found
 
 
-def _sheet(xml: bytes, shared: list[str], dates: list[bool] | None = None, late: bool = False) -> list[tuple[int, list]]:
-    rows, now, kind, value, at, inside, spoken, dated = [], {}, None, [], -1, 0, 0, False
-    number, dates = 0, dates or []
+Cell = tuple[str, str | None, Decimal | None]
+NO_CELL: Cell = ("null", None, None)
+
+
+def _sheet(pieces: Iterable[bytes], shared: list[str], dates: list[bool], late: bool) -> Iterator[tuple[int, dict[int, Cell]]]:
+    """Number and cells by column of each row as it ends; cells that aren't there are left out."""
+    found, now, kind, value, at, inside, spoken, dated, number = [], {}, None, [], -1, 0, 0, False, 0
 
     def start(name, own):
         nonlocal now, kind, at, number, inside, spoken, dated
         spoken += name == "rPh"
         if name == "row":
             number = int(own.get("r", number + 1))
+            if not 0 < number <= LAST_ROW:
+                raise ValueError(f"no row {number}")
             now, at = {}, -1
         elif name == "c":
             at = _column(own["r"]) if own.get("r") else at + 1
@@ -305,17 +364,13 @@ def _sheet(xml: bytes, shared: list[str], dates: list[bool] | None = None, late:
         elif name == "c":
             now[at] = _cell(kind, "".join(value) if value or kind in ("str", "inlineStr") else None, shared, dated, late)
         elif name == "row":
-            rows.append((number, [now.get(k, ("null", None, None)) for k in range(max(now, default=-1) + 1)]))
+            found.append((number, now))
 
-    parse(xml, start, end, lambda x: value.append(x) if inside and not spoken else None)
-    return rows
+    return parse_pieces(pieces, start, end, lambda x: value.append(x) if inside and not spoken else None, found)
 
 
-def xlsx(archive: bytes, only: str | None = None) -> list[tuple[str, list[tuple[int, list]]]]:
-    """(sheet, rows) in the workbook's order; a row is its number and its cells (kind, text, number).
-
-    Cells whose format shows days or times are ISO texts, as ``_dated`` gives them.
-    """
+def _book(archive: bytes, only: str | None) -> Callable[[], Iterator[tuple[str, Iterator[tuple[int, dict[int, Cell]]]]]]:
+    """Reads what all sheets share; then gives the sheets in the workbook's order, as often as it is called."""
     broken = "invalid_xlsx_archive"
 
     def other(name: str, read: Callable[[bytes], list]) -> list:
@@ -328,32 +383,54 @@ def xlsx(archive: bytes, only: str | None = None) -> list[tuple[str, list[tuple[
             return []
         return read(data)
 
-    try:
-        sheets, targets, late = [], {}, False
+    sheets, targets, late = [], {}, False
 
-        def book(name, own):
-            nonlocal late
-            if name == "sheet":
-                sheets.append((own.get("name"), own.get("id")))
-            elif name == "workbookPr":
-                late = own.get("date1904") in ("1", "true")
+    def book(name, own):
+        nonlocal late
+        if name == "sheet":
+            sheets.append((own.get("name"), own.get("id")))
+        elif name == "workbookPr":
+            late = own.get("date1904") in ("1", "true")
 
+    try:
         parse(member(archive, "xl/workbook.xml", "workbook_not_found", broken), book, lambda n: None, lambda x: None)
         parse(member(archive, "xl/_rels/workbook.xml.rels", "workbook_not_found", broken), lambda n, o: targets.update({o.get("Id"): o.get("Target", "")}) if n == "Relationship" else None, lambda n: None, lambda x: None)
         shared, dates = other("xl/sharedStrings.xml", _strings), other("xl/styles.xml", _styles)
-        if only is not None and only not in [n for n, _ in sheets]:
-            raise DecodeError("sheet_not_found", only)
-        found = []
-        for name, rel in sheets:
-            if only in (None, name):
-                target = targets.get(rel, "").lstrip("/")
-                path = target if target.startswith("xl/") else f"xl/{target}"
-                try:
-                    found.append((name, _sheet(member(archive, path, "sheet_missing", broken), shared, dates, late)))
-                except DecodeError as e:
-                    raise DecodeError("sheet_error", f"{name}: {e}") from None
-        return found
     except DecodeError as e:
-        if e.reason == "invalid_xml":
-            raise DecodeError(broken, e.detail) from None
-        raise
+        raise (DecodeError(broken, e.detail) if e.reason == "invalid_xml" else e) from None
+    if only is not None and only not in [n for n, _ in sheets]:
+        raise DecodeError("sheet_not_found", only)
+
+    def rows(name: str, rel: str) -> Iterator[tuple[int, dict[int, Cell]]]:
+        target = targets.get(rel, "").lstrip("/")
+        path = target if target.startswith("xl/") else f"xl/{target}"
+        try:
+            yield from _sheet(member_pieces(archive, path, "sheet_missing", broken), shared, dates, late)
+        except DecodeError as e:
+            raise DecodeError("sheet_error", f"{name}: {e}") from None
+
+    return lambda: ((name, rows(name, rel)) for name, rel in sheets if only in (None, name))
+
+
+def xlsx_rows(archive: bytes, only: str | None = None) -> Iterator[tuple[str, int, dict[int, Cell]]]:
+    """(sheet, row number, cells by column) of a workbook, if all of it is whole; rows are handed on as they end.
+
+    Cells are (kind, text, number); those whose format shows days or times are ISO texts, as ``_dated`` gives them.
+    Shared strings are held, sheets aren't.
+    """
+    book = _book(archive, only)
+    return whole(lambda: ((sheet, number, cells) for sheet, rows in book() for number, cells in rows), lambda row: weight(row[2]))
+
+
+def weight(cells: dict[int, Cell]) -> int:
+    return 1 + len(cells) + sum(len(s or "") for _, s, _ in cells.values()) // 64
+
+
+def padded(cells: dict[int, Cell]) -> list[Cell]:
+    """A row's cells up to its last one, empty ones in between."""
+    return [cells.get(k, NO_CELL) for k in range(max(cells, default=-1) + 1)]
+
+
+def xlsx(archive: bytes, only: str | None = None) -> list[tuple[str, list[tuple[int, list]]]]:
+    """(sheet, rows) of a small workbook; a row is its number and its cells up to the last one."""
+    return [(name, [(number, padded(cells)) for number, cells in rows]) for name, rows in _book(archive, only)()]

@@ -1,13 +1,16 @@
 """Documents, workbooks, XML responses and worksheets, from bytes made here."""
 
 import io
+import subprocess
+import sys
 import zipfile
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 
 from quillmill.operators import spreadsheet
-from quillmill.sources import decode, readers
+from quillmill.sources import decode, export, offer_files, readers
 from quillmill.streaming import file_drop
 from quillmill.types import CELL
 
@@ -183,3 +186,153 @@ def test_file_drop(spark, tmp_path):
     assert [(r.file[-6:], r.error) for r in failed.collect()] == [("c.docx", "invalid_docx_archive")]
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.source.source_filename[-6:], r.error or r.vendor_category) for r in got.collect()) == [("a.docx", "Arts"), ("a.docx", "not_offer"), ("b.docx", "Arts"), ("b.docx", "not_offer")]
+
+
+def sheet_book(rows, **more):
+    return archive(**{
+        "xl/workbook.xml": "<workbook xmlns:r='urn:r'><sheets><sheet name='S' r:id='a'/></sheets></workbook>", "xl/_rels/workbook.xml.rels": "<R><Relationship Id='a' Target='worksheets/s.xml'/></R>",
+        "xl/worksheets/s.xml": f"<worksheet><sheetData>{rows}</sheetData></worksheet>", **more,
+    })
+
+
+def test_workbooks_at_the_edges_of_the_format(spark, tmp_path):
+    """Rows and strings that the format can't have fail their file, not the job; the last row and column are read."""
+    strings = {"xl/sharedStrings.xml": "<sst><si><t>a</t></si></sst>"}
+    books = {
+        "row": sheet_book("<row r='99999999999'><c r='A1'><v>1</v></c></row>"), "zero": sheet_book("<row r='0'/>"), "next": sheet_book("<row r='1048576'/><row/>"),
+        "string": sheet_book("<row r='1'><c r='A1' t='s'><v>-1</v></c></row>", **strings), "beyond": sheet_book("<row r='1'><c r='A1' t='s'><v>1</v></c></row>", **strings),
+        "late": sheet_book("<row r='1'><c r='A1'><v>1</v></c></row>" * 40_000 + "<row"), "good": sheet_book("<row r='1048576'><c r='XFD1048576'><v>7</v></c><c r='B1048576' t='s'><v>0</v></c></row>", **strings),
+    }
+    for name, data in books.items():
+        (tmp_path / f"{name}.xlsx").write_bytes(data)
+    got = {}
+    for r in readers.read_xlsx(spark, str(tmp_path)).collect():
+        got.setdefault(r.file.rpartition("/")[2], []).append(r)
+    assert {k: [r.error for r in v] for k, v in got.items() if k != "good.xlsx"} == {f"{k}.xlsx": ["sheet_error"] for k in books if k != "good"}
+    (row,) = got["good.xlsx"]
+    assert row.row_no == 1_048_576 and len(row.cells) == 16_384 and row.cells[1].s == "a" and row.cells[-1].s == "7" and {c.kind for c in row.cells[2:-1]} == {"null"}
+
+
+def test_rows_are_read_again_beyond_what_is_held(monkeypatch):
+    rows = "".join(f"<row r='{k}'><c r='B{k}'><v>{k}</v></c></row>" for k in range(1, 60))
+    few = list(decode.xlsx_rows(sheet_book(rows)))
+    monkeypatch.setattr(decode, "HELD", 20), monkeypatch.setattr(decode, "PIECE", 50)
+    assert list(decode.xlsx_rows(sheet_book(rows))) == few and len(few) == 59 and few[2] == ("S", 3, {1: ("int", "3", Decimal(3))})
+    text = "".join(f"<w:p><w:r><w:t>{k} é</w:t></w:r></w:p>" for k in range(60))
+    doc = lambda more: archive(**{"word/document.xml": f'<w:document xmlns:w="urn:w"><w:body>{text}{more}</w:body></w:document>'})
+    assert list(decode.docx(doc(""))) == [(k + 1, f"{k} é", None) for k in range(60)]
+    with pytest.raises(decode.DecodeError, match="invalid_docx_xml"):
+        decode.docx(doc("<w:p>"))
+    monkeypatch.setattr(decode, "STREAM_BYTES", 100)
+    with pytest.raises(decode.DecodeError, match="invalid_docx_archive"):
+        decode.docx(doc(""))
+
+
+def test_large_members_take_little_memory():
+    """A sheet of 200 MB, and rows of one cell in the last column, in a process of their own."""
+    program = """
+import io, resource, zipfile
+import pyarrow as pa
+from quillmill.sources import readers
+
+def book(rows):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        z.writestr("xl/workbook.xml", "<workbook xmlns:r='urn:r'><sheets><sheet name='S' r:id='a'/></sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<R><Relationship Id='a' Target='worksheets/s.xml'/></R>")
+        with z.open("xl/worksheets/s.xml", "w") as f:
+            f.write(b"<worksheet><sheetData>")
+            for r in rows:
+                f.write(r)
+            f.write(b"</sheetData></worksheet>")
+    return out.getvalue()
+
+sparse, large = book(f"<row><c r='XFD{k}'><v>1</v></c></row>".encode() for k in range(600)), book(b"<row><c t='inlineStr'><is><t>" + b"text " * 400 + b"</t></is></c></row>" for _ in range(100_000))
+cell = pa.struct([("kind", pa.string()), ("s", pa.string()), ("d", pa.decimal128(38, 18))])
+out = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(cell)), ("error", pa.string()), ("detail", pa.string())])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for data, want in ((sparse, 600), (large, 100_000)):
+    count = 0
+    for batch in readers.row_batches([("f", data)], None, out):
+        count += batch.num_rows
+        assert batch.column("error").null_count == batch.num_rows
+    assert count == want
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    used = subprocess.run([sys.executable, "-c", program], cwd=Path(__file__).parent.parent, capture_output=True, text=True, check=True).stdout
+    assert int(used) < 150_000  # KB
+
+
+def test_workbooks_that_arrive(spark, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    cells = lambda *texts: "<row>" + "".join(f"<c t='inlineStr'><is><t>{t}</t></is></c>" for t in texts) + "</row>"
+    (drop / "good.xlsx").write_bytes(sheet_book(cells("Title", "ISBN") + cells("One", "9780306406157") + cells(" ", "") + cells("Two", "1")))
+    (drop / "twice.xlsx").write_bytes(sheet_book(cells("Title", "Title") + cells("One", "Two")))
+    (drop / "broken.xlsx").write_bytes(b"broken")
+    (drop / "other.docx").write_bytes(b"broken")
+    for _ in range(2):
+        file_drop.ingest(spark, str(drop), str(tmp_path / "out"), str(tmp_path / "check"), kind="xlsx").awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.source.source_filename[-9:], r.titles[0].text, r.identifiers[0].validation_status) for r in got) == [("good.xlsx", "One", "valid"), ("good.xlsx", "Two", "invalid")]
+    failed = spark.read.parquet(str(tmp_path / "out_failed")).collect()
+    assert sorted((r.file.rpartition("/")[2], r.error, r.detail if r.error != "invalid_xlsx_archive" else "") for r in failed) == [("broken.xlsx", "invalid_xlsx_archive", ""), ("twice.xlsx", "duplicate_headers", "S: Title")]
+
+
+def test_data_source(spark, tmp_path):
+    offer_files.register(spark)
+    book = lambda *names: archive(**{
+        "xl/workbook.xml": f"<workbook xmlns:r='urn:r'><sheets>{''.join(f'<sheet name={n!r} r:id={n!r}/>' for n in names)}</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": f"<R>{''.join(f'<Relationship Id={n!r} Target={f'worksheets/{n}.xml'!r}/>' for n in names)}</R>",
+        **{f"xl/worksheets/{n}.xml": f"<worksheet><sheetData><row r='1'><c r='A1'><v>{k}</v></c></row></sheetData></worksheet>" if n != "bad" else "<worksheet" for k, n in enumerate(names)},
+    })
+    (tmp_path / "deep").mkdir()
+    for k in range(7):
+        (tmp_path / f"{k}.docx").write_bytes(docx((f"a{k}", None), ("b", "Heading1")))
+        (tmp_path / "deep" / f"{k}.xlsx").write_bytes(book("one", "two"))
+    (tmp_path / "deep" / "bad.xlsx").write_bytes(book("one", "bad"))
+    (tmp_path / "7.docx").write_bytes(b"broken"), (tmp_path / "_8.docx").write_bytes(b"broken"), (tmp_path / "r.xml").write_bytes(MODS.encode())
+    read = lambda kind, path=tmp_path, **o: spark.read.format("quillmill_files").options(kind=kind, **o).load(str(path))
+    for bundle, parts in ((1, 8), (1 << 20, 1)):
+        got = read("docx", bundle=bundle)
+        assert got.rdd.getNumPartitions() == parts
+        assert sorted(tuple(r)[:5] for r in got.where("error is null").collect()) == sorted(tuple(r)[:5] for k in range(7) for r in [(str(tmp_path / f"{k}.docx"), 1, f"a{k}", None, None), (str(tmp_path / f"{k}.docx"), 2, "b", "Heading1", None)])
+        assert [(r.file[-6:], r.error) for r in got.where("error is not null").collect()] == [("7.docx", "invalid_docx_archive")]
+    assert read("mods").count() == 2 and read("mods", tmp_path / "r.xml").count() == 2 and read("docx", "file://" + str(tmp_path / "0.docx")).count() == 2
+    assert read("xlsx").groupBy("sheet").count().orderBy("sheet").collect() == [(None, 1), ("one", 7), ("two", 7)]
+    assert read("xlsx", sheet="one").where("error is null").count() == 8
+    assert read("xlsx").where("sheet = 'one'").count() == 8  # the broken sheet isn't looked at
+    assert read("xlsx").where("sheet = 'two' and row_no = 1").select("file").count() == 7 and read("xlsx", sheet="one").where("sheet = 'two'").count() == 0
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert read("docx", empty).count() == 0
+    for bad in (("pdf", tmp_path), ("docx", tmp_path / "nowhere")):
+        with pytest.raises(Exception, match="kind is one of|FileNotFound|nowhere"):
+            read(*bad).count()
+
+
+def test_export(spark, tmp_path):
+    texts = ["=1+1", "+1", "-1", "@x", " =1", "\t=1", "\tx", "|x", "%x", "plain", "a=b", "", None, "<&>\"'", "中 é 😀", "a\r\nb", "\x01\ufffe", " kept  blanks ", "'quoted"]
+    rows = [(k, t, Decimal("12.50") if k % 2 else None, float(k) / 4, k % 3 == 0) for k, t in enumerate(texts)] + [(99, "nan", Decimal("-0.01"), float("nan"), None), (-5, "inf", None, float("-inf"), True)]
+    df = spark.createDataFrame(rows, "`=k` long, `a``b` string, price decimal(10,2), x double, flag boolean").coalesce(1)
+    export.export_xlsx(df, str(tmp_path / "out"), rows=9)
+    (file,) = (tmp_path / "out").iterdir()
+    book = decode.xlsx(file.read_bytes())
+    assert [n for n, _ in book] == ["Sheet1", "Sheet2", "Sheet3"] and all([c[1] for c in own[0][1]] == ["'=k", "a`b", "price", "x", "flag"] for _, own in book)
+    got = [[c[1] for c in cells] + [None] * (5 - len(cells)) for _, own in book for _, cells in own[1:]]
+    shown = [f"'{t}" if t is not None and k in range(9) else t for k, t in enumerate(texts)]
+    shown[16], shown[15] = "\ufffd\ufffd", "a\r\nb"
+    assert [r[1] for r in got][: len(texts)] == shown and [r[0] for r in got] == [str(r[0]) for r in rows]
+    assert [r[2] for r in got] == [None if r[2] is None else str(r[2]) for r in rows] and [r[4] for r in got] == [None if r[4] is None else str(r[4]).lower() for r in rows]
+    assert [r[3] for r in got][-2:] == [None, "-inf"] and [float(r[3]) for r in got[:-2]] == [r[3] for r in rows[:-2]]
+    export.export_xlsx(df.limit(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists() or not list((tmp_path / "none").iterdir())
+    with pytest.raises(ValueError, match="not a cell's kind: n"):
+        export.export_xlsx(spark.sql("select array(1) as n"), str(tmp_path / "x"))
+    failing = df.repartition(2).selectExpr("`=k`", "case when `=k` = 3 then raise_error('stop') else 'x' end as t")
+    with pytest.raises(Exception, match="stop"):
+        export.export_xlsx(failing, str(tmp_path / "failed"))
+    assert not (tmp_path / "failed").exists() or not [f for f in (tmp_path / "failed").iterdir() if not f.name.startswith(".")]
+    csv = export.exported(df).select("`a``b`").where("`a``b` is not null").write.csv
+    csv(str(tmp_path / "csv"), quoteAll=True)
+    assert "'=1+1" in {r[0] for r in spark.read.csv(str(tmp_path / "csv")).collect()}
