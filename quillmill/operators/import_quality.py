@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
@@ -62,6 +62,15 @@ def paragraphs_of(records: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 
 def preview(rows: DataFrame, most: int, *order: str) -> tuple[list, int]:
-    """The first rows in an order, and how many more there are."""
-    shown = rows.orderBy(*order).limit(most).collect()
-    return shown, max(0, rows.count() - len(shown))
+    """The first rows in an order, and how many more there are.
+
+    Rows are counted by the job that finds the first ones, as it sees them all; without an order it needn't, and they are counted by another.
+    """
+    if not order:
+        shown = rows.limit(most).collect()
+        return shown, 0 if len(shown) < most else rows.count() - len(shown)
+    seen, tie = Observation(), next(c for k in range(len(rows.columns) + 1) if (c := f"_tie{k}") not in rows.columns)
+    # with the tie no plan is sorted already, so that none stops before it has seen all rows
+    found = rows.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn(tie, F.monotonically_increasing_id()).orderBy(*order, tie)
+    shown = found.limit(max(most, 1)).drop(tie).collect()[:most]
+    return shown, seen.get["rows"] - len(shown)

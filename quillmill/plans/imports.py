@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.isbn import validated
+from ..operators.places import numbered
 
 
 class Parser(Protocol):
@@ -30,3 +31,9 @@ def process(records: DataFrame, parser: Parser) -> DataFrame:
 def split(processed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Offers, and the sources that failed with why. Order lies in the locators."""
     return processed.where(F.col("error").isNull()), processed.where(F.col("error").isNotNull()).select("source", "error")
+
+
+def placed(processed: DataFrame, first: int = 1) -> DataFrame:
+    """``processed`` with ``place``: gapless numbers over all files, by file name, sheet, row and paragraph, without one task for all."""
+    locator = F.col("source.locator")
+    return numbered(processed, F.col("source.source_filename"), locator["sheet"], locator["row"], locator["paragraph_start"], name="place", first=first)

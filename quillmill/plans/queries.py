@@ -22,7 +22,7 @@ from ..sources import export, offer_files, readers
 from ..sources.shared import scratch_path
 from ..types import OFFER, schema
 from . import derived
-from .imports import process, split
+from .imports import placed, process, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -323,6 +323,15 @@ def sheet_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("locator.sheet", F.col("locator.row").alias("row_no"), text("Name").alias("name"), text("Brand").alias("brand"), text("__unnamed_column_2").alias("unnamed"), text("__unnamed_column_4").alias("beyond"))
 
 
+@query(f"""select sheet, row_no, a as name, row_number() over (order by sheet, row_no) as place from ({_SHEET})
+    where sheet <> 's1' and not (coalesce(trim(a), '') = '' and coalesce(trim(b), '') = '' and coalesce(trim(c), '') = '' and d is null)""")
+def record_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each sheet's record in the order of all files."""
+    records = spreadsheet.from_rows(derived.sheet_rows(spark, sf_dir)).where("error is null").drop("error", "detail")
+    found = placed(process(records, parse_rows))
+    return found.select("source.locator.sheet", F.col("source.locator.row").alias("row_no"), F.try_element_at("source.raw_row", F.lit("Name"))["s"].alias("name"), "place")
+
+
 @query(f"""select 'offers' as side, count(*) as n, sum(k)::bigint as keys from ({ROWS}) where k % 50 <> 49
     union all select 'invalid_raw_record', count(*), sum(k)::bigint from ({ROWS}) where k % 50 = 49""")
 def process_many_split(spark: SparkSession, sf_dir: str) -> DataFrame:
