@@ -11,6 +11,8 @@ Pre-tokens don't affect each other, so a bucket's positions merge together. With
 pre-token that is right as long as no pair with the merged token has a lower rank;
 ranks for which the vocabulary has such a pair (``Vocabulary.inverts``) merge the
 leftmost position of each pre-token only, and the rest go back into the bucket.
+A pre-token of more than ``LONG`` bytes is merged by itself, a position at a time: its
+buckets are sorted positions with a cursor, and a heap for those that come later.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,8 @@ from .common import bound_batches, make_room
 NONE = 1 << 30
 #: Pre-tokens that a worker remembers at most; then it starts anew.
 REMEMBERED = 400_000
+#: Bytes from which on a pre-token is merged by itself.
+LONG = 1024
 #: Characters of the texts that are encoded together, but for a longer single text.
 TOGETHER = 1_500_000
 
@@ -66,18 +72,53 @@ class RankQueue:
         a = (b << 6) + (self.mid[b] & -self.mid[b]).bit_length() - 1
         return (a << 6) + (self.low[a] & -self.low[a]).bit_length() - 1
 
-    def take(self, rank: int) -> np.ndarray:
-        """The bucket's positions, sorted, each once; the bucket is gone."""
+    def drop(self, rank: int) -> list:
+        """What the bucket holds; the bucket is gone."""
         a, b = rank >> 6, rank >> 12
         self.low[a] &= ~(1 << (rank & 63))
         if not self.low[a]:
             self.mid[b] &= ~(1 << (a & 63))
             if not self.mid[b]:
                 self.top &= ~(1 << b)
-        held = self.bucket.pop(rank)
+        return self.bucket.pop(rank)
+
+    def take(self, rank: int) -> np.ndarray:
+        """The bucket's positions, sorted, each once; the bucket is gone."""
+        held = self.drop(rank)
         return np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
 
 
+class Ordered(RankQueue):
+    """Buckets that give their leftmost position: sorted ones that were there first, with a cursor, and a heap."""
+
+    def begin(self, rank: int, at: np.ndarray) -> None:
+        self.push(rank, at)
+        self.bucket[rank] += [0, []]
+
+    def add(self, rank: int, at: int) -> None:
+        held = self.bucket.get(rank)
+        if held is None:
+            self.begin(rank, _NOTHING)
+            held = self.bucket[rank]
+        heapq.heappush(held[2], at)
+
+    def leftmost(self, rank: int) -> int:
+        """The bucket's leftmost position, which is taken out."""
+        held = self.bucket[rank]
+        sorted_, cursor, heap = held
+        if cursor < len(sorted_) and (not heap or sorted_[cursor] <= heap[0]):
+            at = int(sorted_[cursor])
+            held[1] = cursor + 1
+        else:
+            at = heapq.heappop(heap)
+        if not heap and held[1] == len(sorted_):
+            self.drop(rank)
+        return at
+
+
+_NOTHING = np.empty(0, np.int32)
+
+
 class Vocabulary:
     """Ranks of byte strings, as tiktoken files list them (base64, blank, rank); ids are ranks."""
 
@@ -97,6 +138,7 @@ class Vocabulary:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
+        self.joins = pairs
         self.pair = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
         self.inverts = np.zeros(self.size, bool)
@@ -132,6 +174,51 @@ class Vocabulary:
 
     def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces by merges alone, and where each piece's ids end."""
+        if not any(len(p) > LONG for p in pieces):
+            return self._together(pieces)
+        ids, ends = self._together([p for p in pieces if len(p) <= LONG])
+        short = iter(np.split(ids, ends[:-1])) if len(ends) else iter(())
+        found = [self._alone(p) if len(p) > LONG else next(short) for p in pieces]
+        return np.concatenate(found), np.cumsum([len(f) for f in found])
+
+    def _alone(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece by merges, the leftmost of the lowest rank each time."""
+        n, joins = len(piece), self.joins
+        start = self.byte[np.frombuffer(piece, np.uint8)]
+        found = self.rank(start[:-1], start[1:])
+        token, rank = array("i", start.astype(np.int32).tobytes()), array("i", np.append(found, NONE).astype(np.int32).tobytes())
+        after, before = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes()), array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+        queue, order = Ordered(self.size), np.argsort(found, kind="stable").astype(np.int32)
+        order = order[: np.count_nonzero(found < NONE)]
+        cut = np.flatnonzero(np.diff(found[order])) + 1
+        for some in np.split(order, cut) if len(order) else ():
+            queue.begin(int(found[some[0]]), some)
+        del found, start
+        while (r := queue.first()) >= 0:
+            at = queue.leftmost(r)
+            if rank[at] != r:
+                continue
+            gone = after[at]
+            beyond = after[gone]
+            token[at], token[gone], rank[gone] = r, -1, NONE
+            after[at] = beyond
+            if beyond < n:
+                before[beyond] = at
+                new = rank[at] = joins.get(r << 32 | token[beyond], NONE)
+                if new < NONE:
+                    queue.add(new, at)
+            else:
+                rank[at] = NONE
+            left = before[at]
+            if left >= 0:
+                new = rank[left] = joins.get(token[left] << 32 | r, NONE)
+                if new < NONE:
+                    queue.add(new, left)
+        ids = np.frombuffer(token, np.int32)
+        return ids[ids >= 0].astype(np.int64)
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, merged all at once, and where each piece's ids end."""
         length = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n, ends = len(data), np.cumsum(length)
