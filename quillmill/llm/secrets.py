@@ -13,6 +13,7 @@ counts is at or after that end. Far from where matches begin, no byte is read tw
 from __future__ import annotations
 
 import functools
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -291,11 +292,16 @@ class Automaton:
         self.states = n
 
     def begins(self, data: bytes) -> dict[int, list[int]]:
-        """Where a match of each pattern begins, from the last place to the first: one pass of a backward automaton.
+        """Where a match of each pattern begins, from the last place to the first."""
+        return {k: [p for i in range(0, len(own), 2) for p in range(own[i], own[i + 1] - 1, -1)] for k, own in self.runs(data).items()}
 
-        Only a chunk in which the automaton accepts is gone through once more, with places.
+    def runs(self, data: bytes) -> dict[int, array]:
+        """Where a match of each pattern begins: one pass of a backward automaton.
+
+        Places are given as runs, the last one first: its last place, its first place. Only a chunk in which the automaton accepts is gone
+        through once more, with places.
         """
-        state, table, accepting, hits = self.start, self.table, self.accepting, []
+        state, table, accepting, found = self.start, self.table, self.accepting, {}
         classes = data.translate(self.classes)[::-1]
         for at in range(0, len(classes), CHUNK):
             some, before, hit = classes[at : at + CHUNK], state, False
@@ -304,14 +310,15 @@ class Automaton:
                 if state >= accepting:
                     hit = True
             if hit:
-                for n, c in enumerate(some, at + 1):
+                for place, c in zip(range(len(data) - at - 1, -1, -1), some, strict=False):
                     before = table[before + c]
                     if before >= accepting:
-                        hits.append((n, before))
-        found: dict[int, list[int]] = {}
-        for n, state in hits:
-            for k in self.accepts[state]:
-                found.setdefault(k, []).append(len(data) - n)
+                        for k in self.accepts[before]:
+                            runs = found.setdefault(k, array("q"))
+                            if runs and runs[-1] == place + 1:
+                                runs[-1] = place
+                            else:
+                                runs.extend((place, place))
         return found
 
     def longest(self, classes: bytes, start: int) -> int:
@@ -334,25 +341,26 @@ class Scanner:
         self.all = Automaton([r.pattern for r in rules], anywhere=True, backward=True)
         self.own = [(Automaton([r.pattern], False), Automaton([r.prefix], False) if r.prefix else None) for r in rules]
 
-    def bounds(self, k: int, data: bytes, begins: list[int]) -> list[tuple[int, int]]:
-        """Leftmost, longest, non-overlapping matches, from all places where one begins (the last first)."""
+    def bounds(self, k: int, data: bytes, begins: array) -> list[tuple[int, int]]:
+        """Leftmost, longest, non-overlapping matches, from all runs of places where one begins (the last first)."""
         rule, (anchored, prefix) = self.rules[k], self.own[k]
         whole = data.translate(anchored.classes)
         found, at = [], 0
-        for start in reversed(begins):
-            if start < at:
-                continue
-            at = anchored.longest(whole, start)
-            lead = prefix.longest(data[start:at].translate(prefix.classes), 0) if prefix else 0
-            if at - start - lead >= rule.least:
-                found.append((start, at))
+        for i in range(len(begins) - 2, -1, -2):
+            start = max(begins[i + 1], at)
+            while start <= begins[i]:
+                at = anchored.longest(whole, start)
+                lead = prefix.longest(data[start:at].translate(prefix.classes), 0) if prefix else 0
+                if at - start - lead >= rule.least:
+                    found.append((start, at))
+                start = at
         return found
 
     def scan(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by start and then by the rules' order."""
         text = text or ""
         data = text.encode("utf-8", "surrogatepass")
-        spans = sorted((s, k, e) for k, places in self.all.begins(data).items() for s, e in self.bounds(k, data, places))
+        spans = sorted((s, k, e) for k, places in self.all.runs(data).items() for s, e in self.bounds(k, data, places))
         if len(data) == len(text):
             return [(self.rules[k].kind, s, e) for s, k, e in spans]
         points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
