@@ -32,10 +32,19 @@ NOTICES = {
     "redistribution and use in source and binary forms": "bsd",
 }
 TAGS = ("spdx-license-identifier:", "license-expression:")
-#: Label of a licence identifier by how it begins; the first that fits counts.
-FAMILIES = (("mit", "mit"), ("apache", "apache"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("gpl", "gpl"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("cc0", "public-domain"), ("cc", "cc"), ("unlicense", "public-domain"), ("isc", "isc"))
+#: Label of a licence identifier by the family that it begins with, if its version, a mark such as ``+`` or ``-only``, or nothing follows.
+FAMILIES = {
+    "mit": "mit", "x11": "mit", "isc": "isc", "apache": "apache", "bsd": "bsd", "0bsd": "public-domain", "unlicense": "public-domain", "wtfpl": "public-domain", "cc0": "public-domain", "pddl": "public-domain", "cc": "cc",
+    "bsl": "bsl", "zlib": "zlib", "psf": "psf", "python": "psf", "artistic": "artistic", "ofl": "ofl", "ms-pl": "ms-pl", "ms-rl": "ms-rl", "mpl": "mpl", "epl": "epl", "cpl": "epl", "cddl": "cddl", "eupl": "eupl", "cecill": "cecill",
+    "osl": "osl", "afl": "afl", "lgpl": "lgpl", "gpl": "gpl", "agpl": "agpl", "sspl": "sspl", "busl": "busl",
+}
+#: What may follow a family's name.
+FOLLOWS = "($|[-+.0-9]|v[0-9])"
 #: What a licence asks for, from 0 (nothing) to 1 (all rights reserved); with an exception, less by a quarter.
-WEIGHT = {"public-domain": 0.05, "mit": 0.1, "isc": 0.1, "bsd": 0.15, "apache": 0.2, "cc": 0.4, "mpl": 0.5, "epl": 0.5, "lgpl": 0.6, "gpl": 0.8, "agpl": 0.9, "proprietary": 1.0}
+WEIGHT = {
+    "public-domain": 0.05, "mit": 0.1, "isc": 0.1, "bsl": 0.1, "zlib": 0.1, "bsd": 0.15, "psf": 0.15, "apache": 0.2, "afl": 0.2, "artistic": 0.3, "ofl": 0.3, "ms-pl": 0.3, "cc": 0.4, "mpl": 0.5, "epl": 0.5, "cddl": 0.5, "ms-rl": 0.5,
+    "lgpl": 0.6, "eupl": 0.7, "cecill": 0.8, "osl": 0.8, "gpl": 0.8, "agpl": 0.9, "busl": 0.9, "sspl": 0.95, "proprietary": 1.0,
+}
 UNKNOWN = 0.7
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -92,6 +101,15 @@ def postfix(expression: str) -> list[str]:
     return out
 
 
+_FAMILY = re.compile(f"({'|'.join(FAMILIES)}){FOLLOWS}")
+
+
+def label_of(identifier: str) -> str:
+    """The label of a lower-cased licence identifier; ``other`` for one of no known family."""
+    m = _FAMILY.match(identifier)
+    return FAMILIES[m[1]] if m else "other"
+
+
 def evaluate(tokens: list[str]) -> Parsed:
     """``or`` leaves the choice (the lesser weight), ``and`` asks for both, ``with`` grants an exception."""
     stack: list[Parsed] = []
@@ -103,7 +121,7 @@ def evaluate(tokens: list[str]) -> Parsed:
             else:
                 stack.append(Parsed(left.labels | right.labels, (min if token == "or" else max)(left.weight, right.weight)))
         else:
-            label = next((to for begin, to in FAMILIES if token.startswith(begin)), "other")
+            label = label_of(token)
             stack.append(Parsed({label}, WEIGHT.get(label, UNKNOWN)))
     return stack[0]
 

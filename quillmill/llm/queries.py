@@ -124,7 +124,7 @@ _FOUND = " union all ".join(
 )
 #: Rows of the phrases: words, whether it is a base phrase, and its label.
 _PHRASES = ", ".join(f"({phrase.split()}, {phrase in licenses.BASE}, '{label}')" for phrase, label in (licenses.BASE | licenses.NOTICES).items())
-_FAMILY = "case " + " ".join(f"when starts_with(t, '{begin}') then '{label}'" for begin, label in licenses.FAMILIES) + " else 'other' end"
+_FAMILY = "case " + " ".join(f"when regexp_matches(t, '^{begin}{licenses.FOLLOWS}') then '{label}'" for begin, label in licenses.FAMILIES.items()) + " else 'other' end"
 _WEIGHT = "case label " + " ".join(f"when '{label}' then {w}::double" for label, w in licenses.WEIGHT.items()) + f" else {licenses.UNKNOWN}::double end"
 _TAG = "|".join(licenses.TAGS)
 #: Runs of five words (of fewer: all) of a list of words.

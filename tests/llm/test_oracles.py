@@ -40,7 +40,7 @@ def test_query(spark, name):
 
 def test_licences_in_sql():
     rng = random.Random(3)
-    pieces = ["mit", "apache-2.0", "gpl-3.0+", "lgpl", "x11", "or", "and", "with", "OR", "With", "(", ")", "(", ")", "*/", "\n", "é", ",", "SPDX-License-Identifier:", "license-expression:", "mit license", "All rights reserved", "Apache License", "GNU General Public License"]
+    pieces = ["mit", "apache-2.0", "gpl-3.0+", "lgpl", "x11", "mitsubishi", "iscsi", "bsl-1.0", "cc0", "gplv3", "or", "and", "with", "OR", "With", "(", ")", "(", ")", "*/", "\n", "é", ",", "SPDX-License-Identifier:", "license-expression:", "mit license", "All rights reserved", "Apache License", "GNU General Public License"]
     texts = [None, "", "SPDX-License-Identifier: " + "(" * 60 + "mit" + ")" * 60 + " or gpl", "license-expression: mit or " * 3]
     texts += [" ".join(rng.choices(pieces, k=rng.randint(1, 40))) for _ in range(400)]
     texts += ["SPDX-License-Identifier: " + " ".join(rng.choices(["mit", "gpl", "isc", "or", "and", "with", "(", ")"], k=rng.randint(1, 12))) for _ in range(600)]

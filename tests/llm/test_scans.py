@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import public_tokenizers
@@ -59,7 +60,7 @@ def test_any_order_of_ranks(tokens, pieces):
     """Vocabularies whose ranks don't come from training, where a merge may give a pair of a lower rank."""
     ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + k for k, t in enumerate(tokens)}
     pieces = [p.encode() for p in pieces]
-    ids, end = bpe.Vocabulary(ranks).encode(pieces)
+    own = bpe.Vocabulary(ranks)
 
     def plain(piece):
         if piece in ranks:
@@ -71,8 +72,26 @@ def test_any_order_of_ranks(tokens, pieces):
                 return [ranks[p] for p in parts]
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
-    start = [0, *end[:-1].tolist()]
-    assert [ids[s:e].tolist() for s, e in zip(start, end.tolist(), strict=True)] == [plain(p) for p in pieces]
+    most = bpe.LONG
+    try:
+        for bpe.LONG in (most, 7, 1):  # together, some by themselves, nearly all by themselves
+            ids, end = own.encode(pieces)
+            start = [0, *end[:-1].tolist()]
+            assert [ids[s:e].tolist() for s, e in zip(start, end.tolist(), strict=True)] == [plain(p) for p in pieces]
+    finally:
+        bpe.LONG = most
+
+
+def test_very_long_pre_tokens_take_linear_time(vocabulary):
+    rng = random.Random(5)
+    for alphabet in (b"ab", b"acgt", b"abcdefghijklmnopqrstuvwxyz"):
+        took = []
+        for n in (100_000, 800_000):
+            piece = bytes(rng.choices(alphabet, k=n)) if len(alphabet) > 2 else alphabet * (n // 2)
+            began = time.process_time()
+            vocabulary.encode([piece])
+            took.append(time.process_time() - began)
+        assert took[1] < 16 * took[0] + 2 and took[1] < 20
 
 
 def test_a_token_that_no_merge_reaches(spark, tmp_path):
@@ -211,6 +230,28 @@ def test_expressions():
             licenses.postfix(bad.split())
 
 
+def test_licence_identifiers():
+    of = {"mitsubishi": "other", "iscsi": "other", "bsl-1.0": "bsl", "mit": "mit", "mit-0": "mit", "gpl-2.0+": "gpl", "gpl-2.0-only": "gpl", "lgpl-2.1-or-later": "lgpl", "gplv3": "gpl", "gplx": "other", "cc0-1.0": "public-domain", "cc-by-4.0": "cc", "ccx": "other", "apache2": "apache", "0bsd": "public-domain", "bsd-3-clause": "bsd", "bsdish": "other", "ms-pl": "ms-pl", "x11": "mit"}
+    assert {i: licenses.label_of(i) for i in of} == of
+    assert {k for k, _ in licenses.FAMILIES.items() if licenses.FAMILIES[k] not in licenses.WEIGHT} == set()
+    assert licenses.scan("SPDX-License-Identifier: Mitsubishi")[3:] == ({"other"}, licenses.UNKNOWN)
+
+
+def test_long_runs_take_little_memory():
+    """What a long hex run, in which a match begins at nearly every byte, needs beside its text."""
+    import tracemalloc
+
+    scan = secrets.scanner(secrets.RULES).scan
+    text = "0123456789abcdef" * 62_500
+    assert scan(text) == [("hex", 0, 1_000_000)]
+    tracemalloc.start()
+    try:
+        scan(text + " " + "token=abcdefgh " * 1000)
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_license_columns(spark):
     text = "// SPDX-License-Identifier: GPL-2.0 OR MIT\nLicensed under the Apache License, and the apache license."
     df = spark.createDataFrame([(1, text, 7), (2, None, 7), (3, "MIT License " * 3, 7)], "doc_id long, text string, labels int")
