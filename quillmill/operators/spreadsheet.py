@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
+from ..sources.shared import written
 
 UNNAMED = "__unnamed_column_"
+#: Headings of so many files are broadcast.
+FILES = 10_000
 
 
 def prepared(cells: Column) -> Column:
@@ -51,13 +54,40 @@ def from_rows(rows: DataFrame, vendor: str | None = None, header_row: int = 1) -
     row = (F.col("row_no") > header_row) & ~is_empty_row(F.col("cells"))
     kept = every.where(F.when(F.col("error").isNull(), row).otherwise(F.col("nth") == 1))
     good = F.col("error").isNull()
+    detail = F.when(F.col("error") == "duplicate_headers", F.array_join("twice", ", ")).when(~good, F.lit(str(header_row)))
+    return _records(kept, "xlsx", vendor, detail)
+
+
+def from_csv(rows: DataFrame, vendor: str | None = None, header_row: int = 1) -> DataFrame:
+    """The same of the records of CSV files (``sources.csv_files``): file, row_no and cells.
+
+    A file's rows stay in the tasks that read them: headings, a row for each file, are joined to them (broadcast, if there are at most
+    ``FILES`` files). A file whose header row is missing or has a heading twice gives one record with ``error``.
+    """
+    if header_row < 1:
+        raise ValueError(f"invalid_header_row: {header_row}")
+    own = rows.select("file", "row_no", "cells")
+    found = own.where(F.col("row_no") == header_row).select("file", prepared(F.col("cells")).alias("headers"))
+    heads = own.select("file").distinct().join(found, "file", "left").withColumn("twice", duplicates(F.col("headers")))
+    heads = heads.withColumn("error", F.when(F.col("headers").isNull(), "header_row_not_found").when(F.size("twice") > 0, "duplicate_headers"))
+    heads = written(heads)  # read thrice
+    good = heads.where("error is null").drop("twice", "error")
+    kept = own.where((F.col("row_no") > header_row) & ~is_empty_row(F.col("cells"))).join(F.broadcast(good) if good.count() <= FILES else good, "file")
+    none = F.lit(None).cast("string")
+    bad = heads.where("error is not null").select("file", F.lit(None).cast("long").alias("row_no"), F.array().cast(own.schema["cells"].dataType).alias("cells"), "headers", "error", F.array_join("twice", ", ").alias("detail"))
+    every = kept.withColumn("error", none).withColumn("detail", none).unionByName(bad).withColumn("sheet", none)
+    return _records(every, "csv", vendor, F.when(F.col("error") == "header_row_not_found", F.lit(str(header_row))).otherwise(F.col("detail")))
+
+
+def _records(kept: DataFrame, format_: str, vendor: str | None, detail: Column) -> DataFrame:
+    """Source records of rows (file, sheet, row_no, cells) with their headers and error."""
+    good = F.col("error").isNull()
     width = F.greatest(F.size("headers"), F.size("cells"))
     beyond = lambda i: F.concat(F.lit(UNNAMED), i.cast("string"), F.when(F.array_contains("headers", F.concat(F.lit(UNNAMED), i.cast("string"))), "_").otherwise(""))
     names = F.concat("headers", F.when(width > F.size("headers"), F.transform(F.sequence(F.size("headers") + 1, width), beyond)).otherwise(F.array().cast("array<string>")))
     values = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.get("cells", i))
-    detail = F.when(F.col("error") == "duplicate_headers", F.array_join("twice", ", ")).when(~good, F.lit(str(header_row)))
     return kept.select(
-        F.lit("xlsx").alias("format"), F.col("file").alias("source_filename"), F.lit(vendor).cast("string").alias("vendor"), _locator(F.col("sheet"), F.when(good, F.col("row_no").cast("int"))),
+        F.lit(format_).alias("format"), F.col("file").alias("source_filename"), F.lit(vendor).cast("string").alias("vendor"), _locator(F.col("sheet"), F.when(good, F.col("row_no").try_cast("int"))),
         F.when(good, F.map_from_arrays(names, values)).alias("raw_row"), F.col("headers").alias("original_headers"), "error", detail.alias("detail"),
     )
 

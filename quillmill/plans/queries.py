@@ -18,7 +18,7 @@ from ..operators.row_offers import parse_rows
 from ..operators.matching import matched
 from ..operators.segment import segment
 from ..operators.substring_join import contained
-from ..sources import export, offer_files, readers
+from ..sources import csv_files, export, offer_files, readers
 from ..sources.shared import scratch_path
 from ..types import OFFER, schema
 from . import derived
@@ -639,3 +639,20 @@ def exported_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.format("quillmill_files").option("kind", "xlsx").load(path).where("error is null and row_no > 1")
     cell = lambda k, of="s": F.get("cells", F.lit(k))[of]
     return rows.select(cell(0).cast("long").alias("k"), cell(1).alias("name"), cell(2).alias("brand"), (cell(3, "d") * 100).cast("long").alias("hundredths"))
+
+
+_CSV = """
+    select p_partkey as k, case when p_partkey % 6 = 0 then concat(p_name, chr(10), 'second "line", ', p_brand) else p_name end as title, case when p_partkey % 4 <> 0 then p_brand end as brand,
+      case when p_partkey % 9 = 0 then concat('"', p_type, '"') else p_type end as type from {part}
+"""
+
+
+@query(f"""with x as ({_duck(_CSV)}) select k, 'invalid' as status, title, brand, type from x""".replace("'invalid' as status", "case when k % 5 = 0 then 'file' else 'row' end as status"))
+def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of CSV files made of the table, read by stretches of 32 KB: lines' ends, quotes and delimiters lie within fields."""
+    path = scratch_path(spark)
+    rows = spark.sql(_CSV, part=derived.table(spark, sf_dir, "part")).withColumn("status", F.when(F.col("k") % 5 == 0, "file").otherwise("row"))
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "").csv(path)
+    found = spreadsheet.from_csv(csv_files.read_csv(spark, path, stretch=1 << 15)).where("error is null")
+    cell = lambda name: F.try_element_at("raw_row", F.lit(name))["s"]
+    return found.select(cell("k").cast("long").alias("k"), cell("status").alias("status"), cell("title").alias("title"), cell("brand").alias("brand"), cell("type").alias("type"))

@@ -1,6 +1,8 @@
 """Documents, workbooks, XML responses and worksheets, from bytes made here."""
 
+import csv
 import io
+import random
 import subprocess
 import sys
 import zipfile
@@ -10,7 +12,9 @@ from pathlib import Path
 import pytest
 
 from quillmill.operators import spreadsheet
-from quillmill.sources import decode, export, offer_files, readers
+from quillmill.operators.row_offers import parse_rows
+from quillmill.plans.imports import process
+from quillmill.sources import csv_files, decode, export, offer_files, readers
 from quillmill.streaming import file_drop
 from quillmill.types import CELL
 
@@ -336,3 +340,52 @@ def test_export(spark, tmp_path):
     csv = export.exported(df).select("`a``b`").where("`a``b` is not null").write.csv
     csv(str(tmp_path / "csv"), quoteAll=True)
     assert "'=1+1" in {r[0] for r in spark.read.csv(str(tmp_path / "csv")).collect()}
+
+
+def csv_text(rng, rows):
+    field = lambda: rng.choice(["", "a", "é 中 😀", '"x"', '"a ""b"" c"', '"line\nline"', '"\n"', '""', '",,"', '"\r\n"', '"x\n\n,y"', "x" * 50])
+    return "".join(",".join(field() for _ in range(rng.randint(1, 4))) + rng.choice(["\n", "\r\n", "\n\n"]) for _ in range(rows))
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 7, 40, 1 << 20])
+def test_csv_stretches(spark, tmp_path, stretch):
+    """However a file is cut, its records and their numbers are those of one reader of the whole."""
+    rng = random.Random(stretch)
+    (tmp_path / "deep").mkdir()
+    texts = {f"{k}.csv": csv_text(rng, 6 if stretch < 3 else 40) for k in range(3)} | {"bom.csv": "\ufeffa,b\n1,2", "end.csv": "a", "empty.csv": "", "deep/one.csv": '"only\none"', "deep/blank.csv": "\n\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "_skipped.csv").write_text("x")
+    got = {}
+    for r in csv_files.read_csv(spark, str(tmp_path), stretch=stretch).collect():
+        assert r.error is None and r.sheet is None
+        got.setdefault(r.file.removeprefix(f"{tmp_path}/"), []).append((r.row_no, [c.s for c in r.cells]))
+    for name, text in texts.items():
+        want = [(k, [v or None for v in row]) for k, row in enumerate(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")), 1)]
+        assert sorted(got.get(name, [])) == want, name
+
+
+def test_csv_records(spark, tmp_path, monkeypatch):
+    files = {"good.csv": 'Title;ISBN;\n"One;\n1";9780306406157;x\n;;\n\nTwo;1;y;beyond\n', "twice.csv": "a;a\n1;2\n", "short.csv": "", "other.csv": "Title\nThree\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    rows = csv_files.read_csv(spark, str(tmp_path), delimiter=";", stretch=5)
+    for most in (spreadsheet.FILES, 0):
+        monkeypatch.setattr(spreadsheet, "FILES", most)
+        found = sorted(spreadsheet.from_csv(rows, "V").collect(), key=lambda r: (r.source_filename, r.locator.row or 0))
+        assert [(r.source_filename.rpartition("/")[2], r.format, r.locator.row, r.error, r.detail) for r in found] == [("good.csv", "csv", 2, None, None), ("good.csv", "csv", 5, None, None), ("other.csv", "csv", 2, None, None), ("twice.csv", "csv", None, "duplicate_headers", "a")]
+        assert {k: v and v.s for k, v in found[1].raw_row.items()} == {"Title": "Two", "ISBN": "1", "__unnamed_column_3": "y", "__unnamed_column_4": "beyond"} and found[0].raw_row["Title"].s == "One;\n1"
+    offers = process(spreadsheet.from_csv(rows).where("error is null").drop("error", "detail"), parse_rows)
+    assert sorted(r.titles[0].text for r in offers.collect()) == ["One;\n1", "Three", "Two"]
+    assert [r.error for r in spreadsheet.from_csv(rows, header_row=9).collect()] == ["header_row_not_found"] * 3
+    monkeypatch.setattr(csv_files, "RECORD", 20), monkeypatch.setattr(csv_files, "MORE", 4)
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "open.csv").write_text('a\n"' + "never closed " * 20), (broken / "bytes.csv").write_bytes(b"a\n\xff\n")
+    assert [r.error for r in csv_files.read_csv(spark, str(broken), stretch=8).where("error is not null").collect()] == ["invalid_encoding"]
+    with pytest.raises(decode.DecodeError, match="record_too_long: from byte 2"):
+        csv_files.records(io.BytesIO((broken / "open.csv").read_bytes()), csv_files.Stretch("open.csv", 0, 8))
+    with pytest.raises(FileNotFoundError):
+        csv_files.read_csv(spark, str(tmp_path / "nowhere"))
+    (tmp_path / "none").mkdir()
+    assert csv_files.read_csv(spark, str(tmp_path / "none")).count() == 0
