@@ -53,7 +53,8 @@ BITS, TINY = 256, 16
 DISTANCE, LOOSE = 70, 100
 #: The same where one is tiny and a signature is all that they share: few votes give sketches that are near by chance.
 SURE = 31
-#: Bits of a segment: the first of these that holds the sets which meet by chance to ``CROWD`` a signature.
+#: Bits of a segment: the first of these that holds the sets which meet by chance to ``CROWD`` a signature. Wider segments find
+#: less by themselves (README: 0.999, 0.934 and 0.477 of measured pairs), and the prefix filter the same.
 SEGMENTS, CROWD = (16, 21, 32), 512
 #: Up to so many sets of a key or block, and shingles of a block, are compared with each other by one task.
 HOT, TOKENS = 1024, 1 << 20

@@ -18,6 +18,7 @@ and ranges are numbered from the counts of those before them.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -239,12 +240,10 @@ def ranked(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, list[str
     salt = F.monotonically_increasing_id()  # equal rows can be dealt to several ranges
     top = rows.where(among).withColumn("_salt", salt).repartitionByRange(*order, "_salt").sortWithinPartitions(*order, "_salt").drop("_salt")
     placed, path = written(top.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    before, offsets = 0, [F.lit(-1), F.lit(0)]
-    for number, n in sorted(placed.groupBy(part.alias("part")).count().collect()):  # one row for each range
-        offsets += [F.lit(number), F.lit(before)]
-        before += n
-    rank = F.element_at(F.create_map(*offsets), part) + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    part = F.shiftright("_at", 33).cast("int")
+    counts = dict(placed.groupBy(part).count().collect())  # one row for each range
+    begins = itertools.accumulate((counts.get(k, 0) for k in range(max(counts, default=0))), initial=1)
+    rank = F.get(F.expr(f"array({', '.join(f'{b}L' for b in begins)})"), part) + F.col("_at").bitwiseAND((1 << 33) - 1)
     drawn = placed.withColumn("rank", F.when(rank <= draw, rank).cast("long")).drop("_at")
     return rows.where(~among | among.isNull()).withColumn("rank", F.lit(None).cast("long")).unionByName(drawn), [path]
 
