@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,8 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "place", first: in
     tie, at = (next(c for k in range(len(df.columns) + 1) if (c := f"{n}{k}") not in (*df.columns, name)) for n in ("_tie", "_at"))
     dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).drop(tie)
     held = written(dealt.withColumn(at, F.monotonically_increasing_id()))
-    part, before, offsets = F.shiftright(at, 33), first, []
-    for number, rows in sorted(held.groupBy(part).count().collect()):  # one row for each range
-        offsets += [F.lit(number), F.lit(before).cast("long")]
-        before += rows
-    if not offsets:
-        return held.withColumn(name, F.lit(None).cast("long")).drop(at)
-    return held.withColumn(name, F.element_at(F.create_map(*offsets), part) + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at)
+    part = F.shiftright(at, 33).cast("int")
+    counts = dict(held.groupBy(part).count().collect())  # one row for each range
+    begins = itertools.accumulate((counts.get(k, 0) for k in range(max(counts, default=0))), initial=first)
+    before = F.get(F.expr(f"array({', '.join(f'{b}L' for b in begins)})"), part)
+    return held.withColumn(name, before + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at)
