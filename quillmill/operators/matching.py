@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.isbn import is_valid_isbn
 from ..functions.text import let
+from ..sources.shared import written
 from .catalog import Answer
 
 #: Rows of one ISBN that a task gets; an ISBN with more (a placeholder in a vendor's list) is salted.
@@ -57,6 +58,7 @@ def matched(offers: DataFrame, answer: Answer, part: int = PART) -> DataFrame:
     """
     every = offers.select("offer_id", F.explode_outer("isbns").alias("value"))
     each = every.select("offer_id", (F.trim("value") != "").alias("given"), canonical_isbn(F.col("value")).alias("isbn")).distinct()
+    each = written(each)  # it is counted before it is joined
     if answer.ok:
         held = answer.records.select("record_id", canonical_isbn(F.col("isbn")).alias("isbn")).where("isbn is not null").distinct()
         found = salted_join(each, held.groupBy("isbn").agg(F.count(F.lit(1)).alias("_records"), F.min("record_id").alias("_first")), "isbn", part)

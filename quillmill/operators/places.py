@@ -19,7 +19,8 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "place", first: in
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
     tie, at = (next(c for k in range(len(df.columns) + 1) if (c := f"{n}{k}") not in (*df.columns, name)) for n in ("_tie", "_at"))
-    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).drop(tie)
+    plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]  # others have no hash
+    dealt = df.withColumn(tie, F.xxhash64(*(F.col(f"`{c}`") for c in plain)) if plain else F.lit(0)).repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).drop(tie)
     held = written(dealt.withColumn(at, F.monotonically_increasing_id()))
     part = F.shiftright(at, 33).cast("int")
     counts = dict(held.groupBy(part).count().collect())  # one row for each range

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-#: Bits of the bitmap over values' marks; characters of a text that are looked at together.
-BITS, CHUNK = 1 << 27, 1 << 20
+#: Bits of the bitmap over values' marks; characters of a text that are looked at together; marks of a batch.
+BITS, CHUNK, MARKS = 1 << 27, 1 << 20, 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,15 +62,25 @@ def _marked(df: DataFrame, widths: list[int] | None, bitmap=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, size = [], 0
             for k, text in enumerate(batch.column(0).to_pylist()):
                 for w, h, at in marks(text, widths or [width(len(text))]):
                     if bitmap is not None:
                         bit = h & np.uint64(BITS - 1)
                         has = (bitmap.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
                         h, at = h[has], at[has]
-                    if len(h):
-                        own = [batch.column(c + 1).slice(k, 1).take(pa.array(np.zeros(len(h), np.int64))) for c in range(len(keep))]
-                        yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(h), w, np.int32)), pa.array(h.view(np.int64)), pa.array(at)], names=[*keep, "w", "h", "at"])
+                    found.append((np.full(len(h), k), np.full(len(h), w, np.int32), h.view(np.int64), at))
+                    size += len(h)
+                if size >= MARKS:
+                    yield rows(batch, found)
+                    found, size = [], 0
+            if size:
+                yield rows(batch, found)
+
+    def rows(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        of, *columns = (np.concatenate(c) for c in zip(*found, strict=True))
+        own = [batch.column(c + 1).take(pa.array(of)) for c in range(len(keep))]
+        return pa.RecordBatch.from_arrays([*own, *map(pa.array, columns)], names=[*keep, "w", "h", "at"])
 
     schema = df.select(*keep).schema.add("w", "integer").add("h", "long").add("at", "long")
     return df.select("text", *keep).mapInArrow(run, schema)
