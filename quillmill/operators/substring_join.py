@@ -1,11 +1,12 @@
 """Which texts of one table lie within which texts of another, without comparing each with each.
 
-A value of length L belongs to the class of width w, the largest power of two with 2w - 1 <= L. Stretches of w
-characters have hashes, made by doubling; of any w neighbouring stretches the one with the least hash (the
-first such) is that window's mark. A value's windows are windows of every text that it lies in, so it shares
-all of its marks with them. Texts give their marks for the widths that values have, values all of theirs, and each value is looked for under
-the mark that the fewest places of texts have: an equality join, whose finds are verified in the text itself. A
-bitmap of bounded size over the values' marks keeps nearly all other marks of texts from leaving their task.
+Stretches of g characters have rolling hashes; of any g / 2 neighbouring stretches the one with the least hash (the first
+such) is marked. A value belongs to the class of the largest g for which it has such a window. Its windows are windows of every
+text that it lies in, so it shares all of its marks with them. Each value is looked for under that of its marks which the fewest
+places have, as a sample of the texts tells (what is found doesn't depend on it): an equality join of these marks
+with those of the texts. A text's mark brings as much of the text around it as a value of its class can
+take, so finds are verified without the text. A bitmap of bounded size over the values' marks keeps nearly all
+other marks of texts from leaving their task.
 """
 
 from __future__ import annotations
@@ -16,74 +17,124 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.shared import written
 
 #: Bits of the bitmap over values' marks; characters of a text that are looked at together; marks of a batch.
-BITS, CHUNK, MARKS = 1 << 27, 1 << 20, 1 << 18
+BITS, CHUNK, MARKS = 1 << 27, 1 << 20, 1 << 16
+#: One text of so many tells which marks are rare.
+SAMPLE = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
+#: Lengths of stretches: powers of two and three halves of them.
+SIZES = sorted({1, *(m << k for k in range(26) for m in (2, 3))})
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(31)) * _ODD
-    return h ^ h >> np.uint64(29)
+def _window(size: int) -> int:
+    return max(1, size // 2)
 
 
-def width(length: int) -> int:
+def size_of(length: int) -> int:
     """The class of a value of this length."""
-    return 1 << ((length + 1) // 2).bit_length() - 1
+    return next(b for b in reversed(SIZES) if b + _window(b) - 1 <= length)
+
+
+def longest(size: int) -> int:
+    """The length of the longest value of a class."""
+    more = SIZES[SIZES.index(size) + 1]
+    return more + _window(more) - 2
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * _ODD
+    return h ^ h >> np.uint64(29)
 
 
-def marks(text: str, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each width (ascending): marks' hashes and where their stretches begin; windows of 2w - 1 characters have one each."""
+def marks(text: str, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size (ascending) that the text is long enough for: marks' hashes and where their stretches begin."""
+    wide = sizes[-1] + _window(sizes[-1])
     for begin in range(0, max(len(text), 1), CHUNK):
-        part = text[begin : begin + CHUNK + 2 * widths[-1] - 2]
-        h = _mixed(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
-        w = 1
-        for wide in widths:
-            while w < wide:
-                h = _mixed(h[: max(len(h) - w, 0)] * _ODD + h[w:])
-                w *= 2
-            starts = min(len(h) - wide + 1, CHUNK)  # windows that begin in this chunk
+        part = text[begin : begin + CHUNK + wide]
+        letters = _mixed(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
+        power = lambda base, n: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), base))))[:n]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * power(_ODD, len(letters)), dtype=np.uint64)))
+        back = power(_BACK, len(letters))
+        for size in sizes:
+            window = _window(size)
+            starts = min(len(letters) - size - window + 2, CHUNK)  # windows that begin in this chunk
             if starts < 1:
                 break
-            least, n = np.arange(starts + wide - 1), 1
-            while n < wide:
-                a, b = least[: len(least) - n], least[n:]
-                least = np.where(h[a] <= h[b], a, b)
-                n *= 2
+            n = starts + window - 1
+            h = _mixed((sums[size : size + n] - sums[:n]) * back[:n])
+            least, span = np.arange(n), 1
+            lower = lambda a, b, h=h: np.where(h[a] <= h[b], a, b)
+            while span * 2 <= window:
+                least = lower(least[: len(least) - span], least[span:])
+                span *= 2
+            if span < window:
+                least = lower(least[:starts], least[window - span : window - span + starts])
             at = np.unique(least[:starts])
-            yield wide, h[at], at + begin
+            yield size, h[at], at + begin
 
 
-def _marked(df: DataFrame, widths: list[int] | None, bitmap=None) -> DataFrame:
-    """w, h, at of every mark of ``text``, and the other columns; without ``widths`` that of each text's own class."""
-    keep = [c for c in df.columns if c != "text"]
+def _marked(df: DataFrame, schema: StructType, sizes: list[int] | None, bitmap, made) -> DataFrame:
+    """Rows that ``made`` gives for the marks of a batch's texts: (batch, texts, marks as (row, size, hashes, places)).
+
+    Without ``sizes`` each text has those of its own class; only marks that ``bitmap`` has count, if there is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, size = [], 0
-            for k, text in enumerate(batch.column(0).to_pylist()):
-                for w, h, at in marks(text, widths or [width(len(text))]):
+            texts, found, count = batch.column(0).to_pylist(), [], 0
+            for k, text in enumerate(texts):
+                for size, h, at in marks(text, sizes or [size_of(len(text))]):
                     if bitmap is not None:
                         bit = h & np.uint64(BITS - 1)
                         has = (bitmap.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
                         h, at = h[has], at[has]
-                    found.append((np.full(len(h), k), np.full(len(h), w, np.int32), h.view(np.int64), at))
-                    size += len(h)
-                if size >= MARKS:
-                    yield rows(batch, found)
-                    found, size = [], 0
-            if size:
-                yield rows(batch, found)
+                    if len(h):
+                        found.append((k, size, h.view(np.int64), at))
+                        count += len(h)
+                if count >= MARKS:
+                    yield made(batch, texts, found)
+                    found, count = [], 0
+            if found:
+                yield made(batch, texts, found)
+
+    return df.mapInArrow(run, schema)
+
+
+def _flat(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    many = [len(h) for _, _, h, _ in found]
+    row, size = (np.repeat(np.array([f[k] for f in found]), many) for k in (0, 1))
+    return row, size.astype(np.int32), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
+
+
+def _placed(batch: pa.RecordBatch, texts: list[str], found: list[tuple]) -> pa.RecordBatch:
+    """Every mark with its place (o) and its text (value)."""
+    row, size, h, at = _flat(found)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(size), pa.array(h), pa.array(at)], names=["value", "size", "h", "o"])
+
+
+def _counted(batch: pa.RecordBatch, texts: list[str], found: list[tuple]) -> pa.RecordBatch:
+    """How often each mark occurs."""
+    _, size, h, _ = _flat(found)
+    order = np.lexsort((h, size))
+    size, h = size[order], h[order]
+    cut = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (size[1:] != size[:-1])))
+    return pa.RecordBatch.from_arrays([pa.array(size[cut]), pa.array(h[cut]), pa.array(np.diff(np.append(cut, len(h))))], names=["size", "h", "places"])
 
-    def rows(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
-        of, *columns = (np.concatenate(c) for c in zip(*found, strict=True))
-        own = [batch.column(c + 1).take(pa.array(of)) for c in range(len(keep))]
-        return pa.RecordBatch.from_arrays([*own, *map(pa.array, columns)], names=[*keep, "w", "h", "at"])
 
-    schema = df.select(*keep).schema.add("w", "integer").add("h", "long").add("at", "long")
-    return df.select("text", *keep).mapInArrow(run, schema)
+def _around(batch: pa.RecordBatch, texts: list[str], found: list[tuple]) -> pa.RecordBatch:
+    """Every mark with the text around it (piece), and how much of that lies before it (left)."""
+    row, size, h, at = _flat(found)
+    left, piece = np.empty(len(at), np.int64), []
+    for n, (k, s, a) in enumerate(zip(row.tolist(), size.tolist(), at.tolist(), strict=True)):
+        most = longest(s)
+        left[n] = min(a, most - s)
+        piece.append(texts[k][a - left[n] : a + most])
+    return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row)), pa.array(size), pa.array(h), pa.array(left), pa.array(piece, pa.string())], names=["source_id", "size", "h", "left", "piece"])
 
 
 def _bitmap(keys: DataFrame):
@@ -101,19 +152,19 @@ def contained(values: DataFrame, sources: DataFrame) -> DataFrame:
     Texts are compared as they are. Null and empty values lie nowhere, null texts hold nothing. A repeated source_id holds
     what any of its texts holds. Empty tables give an empty result; other columns aren't read.
     """
-    spark = values.sparkSession
-    kind = sources.schema["source_id"].dataType.simpleString()
-    held = sources.where("text is not null").select("source_id", "text", F.xxhash64("text").alias("t"))
-    own = values.where("value <> ''").select(F.col("value"), F.col("value").alias("text")).distinct()
-    keys = written(_marked(own, None).withColumnRenamed("at", "o"))
-    widths = sorted(r.w for r in keys.select("w").distinct().collect())  # a few powers of two
-    if not widths:
-        return spark.createDataFrame([], f"value string, source_id {kind}")
-    found = written(_marked(held, widths, _bitmap(keys)).distinct())
-    counted = keys.join(found.groupBy("w", "h").agg(F.count(F.lit(1)).alias("places")), ["w", "h"])
-    every = keys.groupBy("value").agg(F.count(F.lit(1)).alias("own"))
-    rarest = counted.groupBy("value").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("places", "w", "h", "o")).alias("m"))
-    rarest = rarest.join(every, "value").where("met = own").select("value", "m.w", "m.h", "m.o")  # a mark that no text has is enough
-    placed = rarest.join(found, ["w", "h"]).select("value", F.col("source_id").alias("_id"), F.col("t").alias("_t"), (F.col("at") - F.col("o")).alias("start")).where("start >= 0").distinct()
-    met = placed.join(held, F.col("_id").eqNullSafe(F.col("source_id")) & (F.col("_t") == F.col("t")))
-    return met.where(F.expr("substring(text, cast(start + 1 as int), length(value)) = value")).select("value", "source_id").distinct()
+    spark, kind = values.sparkSession, sources.schema["source_id"].dataType
+    mark = StructType().add("size", "integer").add("h", "long")
+    held = sources.where("text is not null").select("text", "source_id")
+    own = values.where("value <> ''").select("value").distinct()
+    keys = written(_marked(own, StructType().add("value", "string").add("size", "integer").add("h", "long").add("o", "long"), None, None, _placed))
+    sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())  # a few lengths
+    if not sizes:
+        return spark.createDataFrame([], StructType().add("value", "string").add("source_id", kind))
+    some = held.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = _marked(some, StructType([*mark.fields]).add("places", "long"), sizes, _bitmap(keys), _counted).groupBy("size", "h").agg(F.sum("places").alias("places"))
+    rarest = keys.join(counts, ["size", "h"], "left").groupBy("value").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "size", "h", "o")).alias("m"))
+    chosen = written(rarest.select("value", "m.size", "m.h", "m.o"))
+    around = StructType().add("source_id", kind).add("size", "integer").add("h", "long").add("left", "long").add("piece", "string")
+    met = chosen.join(_marked(held, around, sizes, _bitmap(chosen), _around), ["size", "h"])
+    within = F.expr("left >= o and substring(piece, cast(left - o + 1 as int), length(value)) = value")
+    return met.where(within).select("value", "source_id").distinct()

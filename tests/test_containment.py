@@ -8,6 +8,12 @@ from quillmill.operators import catalog, substring_join
 from quillmill.operators.catalog_index import CatalogIndex
 
 
+def test_classes():
+    for n in range(1, 5000):
+        size = substring_join.size_of(n)
+        assert size + max(1, size // 2) - 1 <= n <= substring_join.longest(size) and size * 9 >= n * 4
+
+
 @pytest.mark.parametrize("chunk", [3, 40, substring_join.CHUNK])
 def test_marks_are_shared_by_all_that_holds_them(monkeypatch, chunk):
     monkeypatch.setattr(substring_join, "CHUNK", chunk)
@@ -16,10 +22,10 @@ def test_marks_are_shared_by_all_that_holds_them(monkeypatch, chunk):
         text = "".join(rng.choice("abé😀 ") for _ in range(rng.randint(1, 120)))
         a = rng.randrange(len(text))
         value = text[a : a + rng.randint(1, 50)]
-        w = substring_join.width(len(value))
-        assert 2 * w - 1 <= len(value) < 4 * w - 1
+        w = substring_join.size_of(len(value))
+        assert w + max(1, w // 2) - 1 <= len(value) <= substring_join.longest(w)
         own = [(h, o) for _, hs, at in substring_join.marks(value, [w]) for h, o in zip(hs.tolist(), at.tolist(), strict=True)]
-        every = {(h, o) for x, hs, at in substring_join.marks(text, [1, 2, 4, 8, 16]) if x == w for h, o in zip(hs.tolist(), at.tolist(), strict=True)}
+        every = {(h, o) for x, hs, at in substring_join.marks(text, [1, 2, 3, 4, 6, 8, 12, 16, 24, 32]) if x == w for h, o in zip(hs.tolist(), at.tolist(), strict=True)}
         assert own and all((h, o + a) in every for h, o in own)
 
 
