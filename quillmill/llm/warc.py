@@ -115,22 +115,24 @@ def records(archive: DataFrame) -> DataFrame:
     return archive.select("record_id", F.when(F.col("inline"), F.concat("header", "head", "payload", end)).otherwise(F.concat("header", "head", end)).alias("record"))
 
 
+#: Bytes of a file that is read as one value.
+HELD = 1 << 30
 _LENGTH = re.compile(rb"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n")
 _HTTP = re.compile(rb"(?i)\r\nContent-Type:[ \t]*application/http")
 _ID = re.compile(rb"(?i)\r\nWARC-Record-ID:[ \t]*<([^>\r\n]*)>")
 _PARSED = "record_id string, header binary, head binary, payload binary"
 
 
-def parse_records(data: bytes) -> Iterator[tuple[str | None, bytes, bytes, bytes]]:
-    """(record id, header, head, payload) of the records of a WARC file, plain or gzipped.
+def parse_records(data: bytes | io.BufferedIOBase) -> Iterator[tuple[str | None, bytes, bytes, bytes]]:
+    """(record id, header, head, payload) of the records of a WARC file (its bytes, or a stream of them), plain or gzipped.
 
     The three parts and the two closing lines are the record's exact bytes. head is what an
     HTTP message has before its body, else empty. A gzipped file is unpacked as it is read,
-    so that one record at a time is held. ValueError at the first byte that isn't part of a
+    so that of a stream one record at a time is held. ValueError at the first byte that isn't part of a
     record.
     """
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    at = 0
+    raw = io.BufferedReader(io.BytesIO(data) if isinstance(data, bytes) else data)
+    stream, at = (gzip.GzipFile(fileobj=raw) if raw.peek(2)[:2] == b"\x1f\x8b" else raw), 0
     try:
         while header := _header(stream):
             length = _LENGTH.search(header)
@@ -161,18 +163,30 @@ def _header(stream) -> bytes:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """The records of all ``.warc`` and ``.warc.gz`` files under a path; a damaged file is an error.
 
-    A file is read as one value, which Spark bounds at 2 GB.
+    Files of up to ``HELD`` bytes are read by Spark, from any store that it knows. Larger ones are streams, of any length, which a
+    task opens by Arrow from the path's address.
     """
+    names = [f.split()[0] for f in _PARSED.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in _PARSED.split(", ")]
+    def rows(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for record in found:
+            yield pa.RecordBatch.from_arrays([pa.array([record[0]], pa.string()), *(pa.array([x], pa.binary()) for x in record[1:])], names=names)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                for record in parse_records(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([record[0]], pa.string()), *(pa.array([x], pa.binary()) for x in record[1:])], names=names)
+                yield from rows(parse_records(content.as_py()))
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                store, own = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", at))
+                with store.open_input_stream(own, compression=None) as f:
+                    yield from rows(parse_records(f))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc{,.gz}").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, _PARSED)
+    small, large = files.where(F.col("length") <= HELD).select("content"), files.where(F.col("length") > HELD).select("path")
+    return small.mapInArrow(held, _PARSED).unionByName(large.mapInArrow(streamed, _PARSED))
 
 
 def write_files(archive: DataFrame, path: str) -> DataFrame:

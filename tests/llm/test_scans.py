@@ -330,6 +330,13 @@ def test_warc_files(spark, tmp_path):
     assert sum(r.records for r in told) == len(PAGES) + 1 and {p.name: p.stat().st_size for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")} == {r.file: r.bytes for r in told}
     back = warc.read_files(spark, str(tmp_path / "out"))
     assert sorted(b"".join((r.header, r.head, r.payload, b"\r\n\r\n")) for r in back.collect()) == sorted([info, *exact])
+    held = warc.HELD
+    try:
+        for warc.HELD in (0, 300):  # all files as streams, or some
+            for folder in ("files", "out"):
+                assert sorted(b"".join((r.header, r.head, r.payload, b"\r\n\r\n")) for r in warc.read_files(spark, str(tmp_path / folder)).collect()) == sorted([info, *exact])
+    finally:
+        warc.HELD = held
     with pytest.raises(ValueError, match="record at byte"):
         list(warc.parse_records(gzip.compress(exact[0])[:-12]))
     for bad in (exact[0][:-1], b"x" + exact[0], exact[0] + b"more", exact[0].replace(b"Content-Length", b"Content-Width", 1)):
