@@ -40,8 +40,11 @@ K1, B = 1.2, 0.75
 SHINGLE, SIMILAR, PART = 5, 0.8, 0.5
 WIDE, LEAST = 2.25, 0.05
 BLOCK = 2
-#: What one index holds at most: items, and bytes of their texts. More items are searched in several passes.
+#: What one index holds at most: items, and bytes of their texts. So many indexes are searched in one pass over the documents.
 INDEX_ITEMS, INDEX_BYTES = 2048, 2 << 20
+INDEXES = 8
+#: Texts that hold items and were found by several passes are broadcast up to this number.
+FOUND = 1 << 16
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -122,9 +125,8 @@ class Index:
                         break
                     x[2] = bisect_left(x[0], pivot, x[2])
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
-        """(item id, best score, overlap, question's, answer's) of the items that a text holds."""
-        own = words(text)
+    def matches(self, own: list[str], have: set[tuple[str, ...]] | None = None) -> list[tuple[int, float, float, float, float]]:
+        """(item id, best score, overlap, question's, answer's) of the items that a text of these words (and shingles) holds."""
         get, step, width = self.row.get, self.longest, int(WIDE * self.longest)
         rows = [get(w, -1) for w in own]
         score: dict[int, float] = {}
@@ -136,7 +138,7 @@ class Index:
                 score.setdefault(item, s)
         if not score:
             return []
-        have, out = shingles(own), []
+        have, out = have or shingles(own), []
         for item, s in sorted(score.items(), key=lambda x: (self.ids[x[0]], x[0])):
             question, answer = self.question[item], self.answer[item]
             whole = question | answer
@@ -155,8 +157,16 @@ def shingles(own: list[str]) -> set[tuple[str, ...]]:
 
 
 @functools.lru_cache(2)
-def _index(shipped) -> Index:
-    return Index(*shipped.value)
+def _indexes(shipped) -> list[Index]:
+    """The indexes of one pass; their blocks grow with their number, so that the bounds of all take as much room as those of one."""
+    blocks, whole = shipped.value
+    return [Index(items, df, *whole, block=BLOCK * len(blocks)) for items, df in blocks]
+
+
+def _found(indexes: list[Index], text: str | None) -> list[dict]:
+    own = words(text)
+    have = shingles(own) if len(indexes) > 1 else None
+    return [dict(zip(_MATCH, m, strict=True)) for index in indexes for m in index.matches(own, have)]
 
 
 _MATCH = ("item_id", "score", "overlap", "question", "answer")
@@ -171,9 +181,10 @@ def contamination(docs: DataFrame, items: DataFrame, out: str = "matches") -> Da
     ``items`` only item_id and text are read; the columns of ``docs`` pass unchanged, and one
     named as ``out`` gets a number after its name. Empty tables find nothing.
 
-    The index goes to every worker by broadcast, so its size is checked: items beyond
-    ``INDEX_ITEMS`` or ``INDEX_BYTES`` are split into blocks by a hash, and the documents are
-    searched for one block after the other. Document frequencies are counted in Spark, and
+    Indexes go to every worker by broadcast, so their size is checked: items beyond
+    ``INDEX_ITEMS`` or ``INDEX_BYTES`` are split by a hash into several, and the documents are
+    searched for ``INDEXES`` of them in one pass. Where that takes several passes, each writes the texts that it has found
+    something in, by their digest, and these are joined to ``docs``. Document frequencies are counted in Spark, and
     with the lengths they are those of all items: neither rows nor scores depend on the blocks.
     """
     spark = docs.sparkSession
@@ -189,20 +200,34 @@ def contamination(docs: DataFrame, items: DataFrame, out: str = "matches") -> Da
     rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     df, to = written(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     whole = (size["n"], (size["words"] or 0) / max(1, size["n"]), size["longest"] or 1)
-    found = make_room(docs, {out}).withColumn(out, F.lit(None).cast(_MATCHES))
-    for k in range(blocks):
-        own = rows.where(F.col("block") == k)
-        block = sorted((r["item_id"], r["text"]) for r in own.select("item_id", "text").collect())
-        known = {r["word"]: r["df"] for r in own.select(F.explode("words").alias("word")).distinct().join(df, "word").collect()}
-        shipped = spark.sparkContext.broadcast((block, known, *whole))
-
-        def search(texts, before, shipped=shipped):
-            index = _index(shipped)
-            return ([(a or []) + [dict(zip(_MATCH, m, strict=True)) for m in index.matches(t)] for t, a in zip(texts, before, strict=True)],)
-
-        found = with_columns(found, ["text", out], search, StructType([found.schema[out]]))
+    docs = make_room(docs, {out})
+    passes = [range(k, min(k + INDEXES, blocks)) for k in range(0, blocks, INDEXES)]
+
+    def shipped(part: range):
+        held = []
+        for k in part:
+            own = rows.where(F.col("block") == k)
+            items = sorted((r["item_id"], r["text"]) for r in own.select("item_id", "text").collect())
+            held.append((items, {r["word"]: r["df"] for r in own.select(F.explode("words").alias("word")).distinct().join(df, "word").collect()}))
+        return spark.sparkContext.broadcast((held, whole))
+
+    if len(passes) == 1:
+        one = shipped(passes[0])
+        found = with_columns(docs.withColumn(out, F.lit(None).cast(_MATCHES)), ["text"], lambda texts: ([_found(_indexes(one), t) for t in texts],), StructType([StructField(out, _MATCHES)]))
+        remove(spark, path, to)
+        return found
+    tables, key = [], next(f"digest{k}" for k in range(len(docs.columns) + 2) if f"digest{k}" not in (*docs.columns, out))
+    digest = F.sha2("text", 256)
+    for part in passes:
+        some = shipped(part)
+        hit = with_columns(docs.select("text"), ["text"], lambda texts, some=some: ([_found(_indexes(some), t) for t in texts],), StructType([StructField(out, _MATCHES)]))
+        tables.append(written(hit.where(F.size(out) > 0).select(digest.alias(key), out).groupBy(key).agg(F.first(out).alias(out)))[0])
+        some.destroy()
     remove(spark, path, to)
-    return found
+    every = functools.reduce(DataFrame.unionByName, tables).groupBy(key).agg(F.flatten(F.collect_list(out)).alias(out))
+    every = F.broadcast(every) if every.count() <= FOUND else every
+    joined = docs.withColumn(key, digest).join(every, key, "left")
+    return joined.withColumn(out, F.coalesce(out, F.array().cast(_MATCHES))).select(*docs.columns, out)
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:

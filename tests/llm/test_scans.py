@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, decontaminate, licenses, secrets, warc
 from quillmill.llm.queries import ORACLE_SQL, PATTERN, VOCABULARY
@@ -395,9 +396,13 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"before a{k} b{k} c{k} d{k} e{k} f{k} after") for k in range(20)], DOCS)
     items = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(20)], "item_id long, text string")
     want = sorted((k, k) for k in range(20))
-    for most in (decontaminate.INDEX_ITEMS, 6):
-        monkeypatch.setattr(decontaminate, "INDEX_ITEMS", most)
+    more = docs.unionByName(spark.createDataFrame([(50, None), (51, ""), (None, "nothing"), (3, "before a3 b3 c3 d3 e3 f3 after"), (52, "a1 b1 c1 d1 e1 f1 and a9 b9 c9 d9 e9 f9")], DOCS)).withColumn("digest0", F.lit("x")).withColumn("matches0", F.lit(1))
+    for most, together, found in ((decontaminate.INDEX_ITEMS, 8, 1 << 16), (6, 8, 1 << 16), (6, 2, 1 << 16), (1, 3, 0)):
+        monkeypatch.setattr(decontaminate, "INDEX_ITEMS", most), monkeypatch.setattr(decontaminate, "INDEXES", together), monkeypatch.setattr(decontaminate, "FOUND", found)
         assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, items).collect()) == want
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(more, items).collect()) == sorted([*want, (3, 3), (52, 1), (52, 9)])
+        kept = decontaminate.decontaminated(more, items)
+        assert kept.columns == more.columns and sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(50, None, "x", 1), (51, "", "x", 1), (None, "nothing", "x", 1)], key=str)
 
 
 def test_items_of_any_length_together(spark, monkeypatch):
