@@ -3,10 +3,10 @@
 Stretches of g characters have rolling hashes; of any g / 2 neighbouring stretches the one with the least hash (the first
 such) is marked. A value belongs to the class of the largest g for which it has such a window. Its windows are windows of every
 text that it lies in, so it shares all of its marks with them. Each value is looked for under that of its marks which the fewest
-places have, as a sample of the texts tells (what is found doesn't depend on it): an equality join of these marks
-with those of the texts. A text's mark brings as much of the text around it as a value of its class can
-take, so finds are verified without the text. A bitmap of bounded size over the values' marks keeps nearly all
-other marks of texts from leaving their task.
+places have, as a sample of the texts tells (what is found doesn't depend on it). Where a text has one of these marks, the
+value could begin a few places before it: places at which the value's first characters, as many as all values of the class
+have, don't stand are passed over. Both questions are answered in the task that has the text, by bitmaps of a bounded size; what is left
+is joined by equality of the first characters' hash, and verified in the stretch of text that comes with it.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql.types import StructType
 
 from ..sources.shared import written
 
-#: Bits of the bitmap over values' marks; characters of a text that are looked at together; marks of a batch.
-BITS, CHUNK, MARKS = 1 << 27, 1 << 20, 1 << 16
+#: Bits of a bitmap; characters that are looked at together; rows of a batch.
+BITS, CHUNK, ROWS = 1 << 27, 1 << 20, 1 << 16
 #: One text of so many tells which marks are rare.
 SAMPLE = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -46,106 +46,155 @@ def longest(size: int) -> int:
     return more + _window(more) - 2
 
 
+def least_length(size: int) -> int:
+    """The length that all values of a class have at least."""
+    return size + _window(size) - 1
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(31)) * _ODD
     return h ^ h >> np.uint64(29)
 
 
-def marks(text: str, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each size (ascending) that the text is long enough for: marks' hashes and where their stretches begin."""
-    wide = sizes[-1] + _window(sizes[-1])
-    for begin in range(0, max(len(text), 1), CHUNK):
-        part = text[begin : begin + CHUNK + wide]
-        letters = _mixed(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
-        power = lambda base, n: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), base))))[:n]
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * power(_ODD, len(letters)), dtype=np.uint64)))
-        back = power(_BACK, len(letters))
-        for size in sizes:
-            window = _window(size)
-            starts = min(len(letters) - size - window + 2, CHUNK)  # windows that begin in this chunk
-            if starts < 1:
-                break
-            n = starts + window - 1
-            h = _mixed((sums[size : size + n] - sums[:n]) * back[:n])
-            least, span = np.arange(n), 1
-            lower = lambda a, b, h=h: np.where(h[a] <= h[b], a, b)
-            while span * 2 <= window:
-                least = lower(least[: len(least) - span], least[span:])
-                span *= 2
-            if span < window:
-                least = lower(least[:starts], least[window - span : window - span + starts])
-            at = np.unique(least[:starts])
-            yield size, h[at], at + begin
-
-
-def _marked(df: DataFrame, schema: StructType, sizes: list[int] | None, bitmap, made) -> DataFrame:
-    """Rows that ``made`` gives for the marks of a batch's texts: (batch, texts, marks as (row, size, hashes, places)).
-
-    Without ``sizes`` each text has those of its own class; only marks that ``bitmap`` has count, if there is one.
+class Texts:
+    """Some texts one after the other, as hashes of stretches see them; a long text comes in pieces that overlap.
+
+    ``row`` and ``start`` tell of each piece which text it is of, and where in it and in the whole it begins.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, found, count = batch.column(0).to_pylist(), [], 0
-            for k, text in enumerate(texts):
-                for size, h, at in marks(text, sizes or [size_of(len(text))]):
-                    if bitmap is not None:
-                        bit = h & np.uint64(BITS - 1)
-                        has = (bitmap.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-                        h, at = h[has], at[has]
-                    if len(h):
-                        found.append((k, size, h.view(np.int64), at))
-                        count += len(h)
-                if count >= MARKS:
-                    yield made(batch, texts, found)
-                    found, count = [], 0
-            if found:
-                yield made(batch, texts, found)
-
-    return df.mapInArrow(run, schema)
-
-
-def _flat(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    many = [len(h) for _, _, h, _ in found]
-    row, size = (np.repeat(np.array([f[k] for f in found]), many) for k in (0, 1))
-    return row, size.astype(np.int32), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
-
-
-def _placed(batch: pa.RecordBatch, texts: list[str], found: list[tuple]) -> pa.RecordBatch:
-    """Every mark with its place (o) and its text (value)."""
-    row, size, h, at = _flat(found)
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(size), pa.array(h), pa.array(at)], names=["value", "size", "h", "o"])
-
-
-def _counted(batch: pa.RecordBatch, texts: list[str], found: list[tuple]) -> pa.RecordBatch:
-    """How often each mark occurs."""
-    _, size, h, _ = _flat(found)
-    order = np.lexsort((h, size))
-    size, h = size[order], h[order]
-    cut = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (size[1:] != size[:-1])))
-    return pa.RecordBatch.from_arrays([pa.array(size[cut]), pa.array(h[cut]), pa.array(np.diff(np.append(cut, len(h))))], names=["size", "h", "places"])
-
-
-def _around(batch: pa.RecordBatch, texts: list[str], found: list[tuple]) -> pa.RecordBatch:
-    """Every mark with the text around it (piece), and how much of that lies before it (left)."""
-    row, size, h, at = _flat(found)
-    left, piece = np.empty(len(at), np.int64), []
-    for n, (k, s, a) in enumerate(zip(row.tolist(), size.tolist(), at.tolist(), strict=True)):
-        most = longest(s)
-        left[n] = min(a, most - s)
-        piece.append(texts[k][a - left[n] : a + most])
-    return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row)), pa.array(size), pa.array(h), pa.array(left), pa.array(piece, pa.string())], names=["source_id", "size", "h", "left", "piece"])
-
-
-def _bitmap(keys: DataFrame):
-    """The marks' last bits, as a broadcast array of ``BITS`` bits whatever their number."""
-    bit = F.col("h").bitwiseAND(BITS - 1)
-    words = keys.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    def __init__(self, pieces: list[tuple[int, int, str]]):
+        self.text = "".join(p for _, _, p in pieces)
+        length = np.array([len(p) for _, _, p in pieces])
+        self.row, self.at = np.array([r for r, _, _ in pieces]), np.array([b for _, b, _ in pieces])
+        self.end = np.cumsum(length)
+        self.begin = self.end - length
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        n = len(codes)
+        powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, _ODD))))
+        self.back = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, _BACK))))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(codes + np.uint64(1)) * powers[:n], dtype=np.uint64)))
+        self.room = np.repeat(self.end, length) - np.arange(n)  # characters up to the piece's end
+
+    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the stretches of a length that begin at these places."""
+        return _mixed((self.sums[at + length] - self.sums[at]) * self.back[at])
+
+    def piece(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.end, at, "right")
+
+    def marks(self, size: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the marks of all windows within one piece (of the pieces ``among``)."""
+        window, n = _window(size), len(self.room) - size + 1
+        starts = n - window + 1
+        if starts < 1:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        h = _mixed((self.sums[size:] - self.sums[:n]) * self.back[:n])
+        least, span = np.arange(n), 1
+        lower = lambda a, b: np.where(h[a] <= h[b], a, b)
+        while span * 2 <= window:
+            least = lower(least[: len(least) - span], least[span:])
+            span *= 2
+        if span < window:
+            least = lower(least[:starts], least[window - span : window - span + starts])
+        own = self.room[:starts] >= least_length(size)
+        if among is not None:
+            own &= np.repeat(among, self.end - self.begin)[:starts]
+        at = least[:starts][own]  # in order, as a window's mark never lies before that of an earlier one
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+        return at, h[at]
+
+
+def together(texts: list[str], most: int) -> Iterator[Texts]:
+    """``texts`` in parts of about ``CHUNK`` characters; pieces of long ones overlap by ``most``."""
+    some, size = [], 0
+    for row, text in enumerate(texts):
+        for begin in range(0, max(len(text) - most, 1), CHUNK):
+            piece = text[begin : begin + CHUNK + most]
+            some.append((row, begin, piece))
+            size += len(piece)
+            if size >= CHUNK:
+                yield Texts(some)
+                some, size = [], 0
+    if size:
+        yield Texts(some)
+
+
+def _has(bitmap, h: np.ndarray) -> np.ndarray:
+    bit = h & np.uint64(64 * len(bitmap.value) - 1)
+    return (bitmap.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _bitmap(keys: DataFrame, column: str):
+    """The hashes' last bits, as a broadcast array of ``BITS`` bits whatever their number."""
+    bit = F.col(column).bitwiseAND(BITS - 1)
+    words = keys.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(out)
 
 
+def _keys(own: DataFrame) -> DataFrame:
+    """Every mark of every value (value): size, h, its place o, and the hash of the value's first characters (head)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            size_of_row = np.array([size_of(len(t)) for t in texts])
+            for part in together(texts, max(map(len, texts), default=0)):  # values aren't cut
+                sizes = size_of_row[part.row]
+                for size in np.unique(sizes).tolist():
+                    at, h = part.marks(size, sizes == size)
+                    piece = part.piece(at)
+                    head = part.hashes(part.begin[piece], least_length(size))
+                    columns = [batch.column(0).take(pa.array(part.row[piece])), pa.array(np.full(len(at), size, np.int32)), pa.array(h.view(np.int64)), pa.array(at - part.begin[piece]), pa.array(head.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["value", "size", "h", "o", "head"])
+
+    return own.mapInArrow(run, "value string, size int, h long, o long, head long")
+
+
+def _counts(texts: DataFrame, sizes: list[int], marks) -> DataFrame:
+    """How often the marks that values have occur in ``texts`` (text): size, h, places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in together(batch.column(0).to_pylist(), longest(sizes[-1])):
+                for size in sizes:
+                    _, h = part.marks(size)
+                    h, places = np.unique(h[_has(marks, h)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), size, np.int32)), pa.array(h.view(np.int64)), pa.array(places)], names=["size", "h", "places"])
+
+    return texts.mapInArrow(run, "size int, h long, places long").groupBy("size", "h").agg(F.sum("places").alias("places"))
+
+
+def _begun(held: DataFrame, offsets: dict[int, list[int]], marks, heads) -> DataFrame:
+    """Where values may begin in texts (text, source_id): source_id, size, head, and as much text as a value may have (piece)."""
+    schema = StructType().add("source_id", held.schema["source_id"].dataType).add("size", "integer").add("head", "long").add("piece", "string")
+    sizes = sorted(offsets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in together(batch.column(0).to_pylist(), longest(sizes[-1])):
+                for size in sizes:
+                    at, h = part.marks(size)
+                    at = at[_has(marks, h)]
+                    piece, need = part.piece(at), least_length(size)
+                    places = []
+                    for o in offsets[size]:
+                        begin = at - o
+                        begin = begin[(begin >= part.begin[piece]) & (begin + need <= part.end[piece])]
+                        places.append(begin[_has(heads, part.hashes(begin, need))])
+                    begin = np.unique(np.concatenate(places))
+                    piece = part.piece(begin)
+                    head, end = part.hashes(begin, need).view(np.int64), np.minimum(begin + longest(size), part.end[piece])
+                    for k in range(0, len(begin), ROWS):
+                        some = slice(k, k + ROWS)
+                        texts = [part.text[a:z] for a, z in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
+                        columns = [batch.column(1).take(pa.array(part.row[piece[some]])), pa.array(np.full(len(texts), size, np.int32)), pa.array(head[some]), pa.array(texts, pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return held.mapInArrow(run, schema)
+
+
 def contained(values: DataFrame, sources: DataFrame) -> DataFrame:
     """(value, source_id), each pair once: a text of ``values`` (value) lies within a text of ``sources`` (source_id, text).
 
@@ -153,18 +202,18 @@ def contained(values: DataFrame, sources: DataFrame) -> DataFrame:
     what any of its texts holds. Empty tables give an empty result; other columns aren't read.
     """
     spark, kind = values.sparkSession, sources.schema["source_id"].dataType
-    mark = StructType().add("size", "integer").add("h", "long")
     held = sources.where("text is not null").select("text", "source_id")
-    own = values.where("value <> ''").select("value").distinct()
-    keys = written(_marked(own, StructType().add("value", "string").add("size", "integer").add("h", "long").add("o", "long"), None, None, _placed))
+    keys = written(_keys(values.where("value <> ''").select("value").distinct()))
     sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())  # a few lengths
     if not sizes:
         return spark.createDataFrame([], StructType().add("value", "string").add("source_id", kind))
-    some = held.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = _marked(some, StructType([*mark.fields]).add("places", "long"), sizes, _bitmap(keys), _counted).groupBy("size", "h").agg(F.sum("places").alias("places"))
-    rarest = keys.join(counts, ["size", "h"], "left").groupBy("value").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "size", "h", "o")).alias("m"))
-    chosen = written(rarest.select("value", "m.size", "m.h", "m.o"))
-    around = StructType().add("source_id", kind).add("size", "integer").add("h", "long").add("left", "long").add("piece", "string")
-    met = chosen.join(_marked(held, around, sizes, _bitmap(chosen), _around), ["size", "h"])
-    within = F.expr("left >= o and substring(piece, cast(left - o + 1 as int), length(value)) = value")
-    return met.where(within).select("value", "source_id").distinct()
+    some = held.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    counts = _counts(some, sizes, _bitmap(keys, "h"))
+    rarest = keys.join(counts, ["size", "h"], "left").groupBy("value").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "size", "h", "o", "head")).alias("m"))
+    chosen = written(rarest.select("value", "m.size", "m.h", "m.o", "m.head"))
+    offsets: dict[int, list[int]] = {}
+    for size, o in chosen.select("size", "o").distinct().collect():  # at most as many as the longest values have characters
+        offsets.setdefault(size, []).append(o)
+    begun = _begun(held, offsets, _bitmap(chosen, "h"), _bitmap(chosen, "head"))
+    met = chosen.select("value", "size", "head").join(begun, ["size", "head"])
+    return met.where(F.startswith("piece", "value")).select("value", "source_id").distinct()

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quillmill.operators import catalog, substring_join
@@ -18,15 +19,23 @@ def test_classes():
 def test_marks_are_shared_by_all_that_holds_them(monkeypatch, chunk):
     monkeypatch.setattr(substring_join, "CHUNK", chunk)
     rng = random.Random(chunk)
-    for _ in range(150):
-        text = "".join(rng.choice("abé😀 ") for _ in range(rng.randint(1, 120)))
-        a = rng.randrange(len(text))
-        value = text[a : a + rng.randint(1, 50)]
-        w = substring_join.size_of(len(value))
-        assert w + max(1, w // 2) - 1 <= len(value) <= substring_join.longest(w)
-        own = [(h, o) for _, hs, at in substring_join.marks(value, [w]) for h, o in zip(hs.tolist(), at.tolist(), strict=True)]
-        every = {(h, o) for x, hs, at in substring_join.marks(text, [1, 2, 3, 4, 6, 8, 12, 16, 24, 32]) if x == w for h, o in zip(hs.tolist(), at.tolist(), strict=True)}
+    for _ in range(60):
+        texts = ["".join(rng.choice("abé😀 ") for _ in range(rng.randint(1, 120))) for _ in range(4)]
+        k = rng.randrange(4)
+        a = rng.randrange(len(texts[k]))
+        value = texts[k][a : a + rng.randint(1, 50)]
+        size = substring_join.size_of(len(value))
+        whole = substring_join.Texts([(0, 0, value)])
+        places, hashes = whole.marks(size)
+        own = set(zip(hashes.tolist(), places.tolist(), strict=True))
+        every = set()
+        for part in substring_join.together(texts, substring_join.longest(size)):
+            at, h = part.marks(size)
+            piece = part.piece(at)
+            assert (at + size <= part.end[piece]).all()
+            every |= {(x, p) for x, p, r in zip(h.tolist(), (at - part.begin[piece] + part.at[piece]).tolist(), part.row[piece].tolist(), strict=True) if r == k}
         assert own and all((h, o + a) in every for h, o in own)
+        assert whole.hashes(np.array([0]), len(value)) == substring_join.Texts([(0, 0, "xyz"), (1, 0, texts[k])]).hashes(np.array([3 + a]), len(value))
 
 
 def pairs(spark, values, sources):
