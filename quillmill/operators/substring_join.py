@@ -23,9 +23,10 @@ from ..sources.shared import written
 
 #: Bits of a bitmap; characters that are looked at together; rows of a batch.
 BITS, CHUNK, ROWS = 1 << 27, 1 << 20, 1 << 16
-#: One text of so many tells which marks are rare.
-SAMPLE = 16
+#: About so many texts tell which marks are rare.
+SAMPLE = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = np.uint64(0xFFFFFFFF)
 _BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 #: Lengths of stretches: powers of two and three halves of them.
 SIZES = sorted({1, *(m << k for k in range(26) for m in (2, 3))})
@@ -89,18 +90,21 @@ class Texts:
         if starts < 1:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         h = _mixed((self.sums[size:] - self.sums[:n]) * self.back[:n])
-        least, span = np.arange(n), 1
-        lower = lambda a, b: np.where(h[a] <= h[b], a, b)
-        while span * 2 <= window:
-            least = lower(least[: len(least) - span], least[span:])
-            span *= 2
-        if span < window:
-            least = lower(least[:starts], least[window - span : window - span + starts])
         own = self.room[:starts] >= least_length(size)
         if among is not None:
             own &= np.repeat(among, self.end - self.begin)[:starts]
-        at = least[:starts][own]  # in order, as a window's mark never lies before that of an earlier one
-        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+        if window == 1:
+            at = np.flatnonzero(own)
+            return at, h[at]
+        least, span = h & ~_PLACE | np.arange(n, dtype=np.uint64), 1  # a half of the hash decides, then the place
+        while span * 2 <= window:
+            least = np.minimum(least[: len(least) - span], least[span:])
+            span *= 2
+        if span < window:
+            least = np.minimum(least[:starts], least[window - span : window - span + starts])
+        least = least[:starts][own]  # in order, as a window's mark never lies before that of an earlier one
+        least = least[np.append(True, least[1:] != least[:-1])] if len(least) else least
+        at = (least & _PLACE).astype(np.int64)
         return at, h[at]
 
 
@@ -120,14 +124,19 @@ def together(texts: list[str], most: int) -> Iterator[Texts]:
 
 
 def _has(bitmap, h: np.ndarray) -> np.ndarray:
-    bit = h & np.uint64(64 * len(bitmap.value) - 1)
-    return (bitmap.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+    """Whether both bits of each hash are set."""
+    last, out = np.uint64(64 * len(bitmap.value) - 1), np.zeros(len(h), bool)
+    bit = h & last
+    some = np.flatnonzero(bitmap.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+    bit = h[some] >> np.uint64(32) & last
+    out[some] = (bitmap.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
 
 
 def _bitmap(keys: DataFrame, column: str):
-    """The hashes' last bits, as a broadcast array of ``BITS`` bits whatever their number."""
-    bit = F.col(column).bitwiseAND(BITS - 1)
-    words = keys.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    """Two bits of every hash, as a broadcast array of ``BITS`` bits whatever their number."""
+    bits = keys.select(F.explode(F.array(F.col(column).bitwiseAND(BITS - 1), F.shiftrightunsigned(column, 32).bitwiseAND(BITS - 1))).alias("bit"))
+    words = bits.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(out)
@@ -185,11 +194,12 @@ def _begun(held: DataFrame, offsets: dict[int, list[int]], marks, heads) -> Data
                         places.append(begin[_has(heads, part.hashes(begin, need))])
                     begin = np.unique(np.concatenate(places))
                     piece = part.piece(begin)
-                    head, end = part.hashes(begin, need).view(np.int64), np.minimum(begin + longest(size), part.end[piece])
+                    row, head, end = part.row[piece], part.hashes(begin, need).view(np.int64), np.minimum(begin + longest(size), part.end[piece])
                     for k in range(0, len(begin), ROWS):
                         some = slice(k, k + ROWS)
                         texts = [part.text[a:z] for a, z in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
-                        columns = [batch.column(1).take(pa.array(part.row[piece[some]])), pa.array(np.full(len(texts), size, np.int32)), pa.array(head[some]), pa.array(texts, pa.string())]
+                        once = np.array(list(dict(zip(zip(row[some].tolist(), texts, strict=True), range(len(texts)), strict=True)).values()))  # what a text repeats is told once
+                        columns = [batch.column(1).take(pa.array(row[some][once])), pa.array(np.full(len(once), size, np.int32)), pa.array(head[some][once]), pa.array([texts[i] for i in once.tolist()], pa.string())]
                         yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return held.mapInArrow(run, schema)
@@ -207,7 +217,7 @@ def contained(values: DataFrame, sources: DataFrame) -> DataFrame:
     sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())  # a few lengths
     if not sizes:
         return spark.createDataFrame([], StructType().add("value", "string").add("source_id", kind))
-    some = held.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    some = held.where(F.pmod(F.xxhash64("text"), F.lit(max(1, held.count() // SAMPLE))) == 0).select("text")
     counts = _counts(some, sizes, _bitmap(keys, "h"))
     rarest = keys.join(counts, ["size", "h"], "left").groupBy("value").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "size", "h", "o", "head")).alias("m"))
     chosen = written(rarest.select("value", "m.size", "m.h", "m.o", "m.head"))
