@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank
 
+#: Places of a file whose paragraphs are brought together.
+STRETCH = 1024
+
 
 def totals(parsed: DataFrame) -> DataFrame:
     """One row of counts over parsed records, in one pass."""
@@ -54,11 +57,22 @@ def with_invalid_identifier(offers: DataFrame) -> DataFrame:
 
 
 def paragraphs_of(records: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Every paragraph in the range of each record's locator; a missing one is ``<missing>``."""
-    wanted = records.where(F.col("locator.paragraph_start").isNotNull()).select(
-        F.col("source_filename").alias("file"), F.explode(F.sequence("locator.paragraph_start", "locator.paragraph_end")).alias("index")
-    )
-    return wanted.join(paragraphs.select("file", "index", "text"), ["file", "index"], "left").select("file", "index", F.coalesce("text", F.lit("<missing>")).alias("text"))
+    """Every paragraph in the range of each record's locator; a missing one is ``<missing>``.
+
+    Ranges and paragraphs meet by stretches of ``STRETCH`` places, and a stretch is laid out after the join: what is missing isn't exchanged.
+    The join is a merge join whatever Spark takes the sizes to be: rows that a plan unfolds from a small table look small to it, and were broadcast.
+    """
+    start, end = F.col("locator.paragraph_start"), F.col("locator.paragraph_end")
+    stretch = lambda place: F.floor(place / STRETCH).cast("int")
+    of = records.where(start.isNotNull()).select(F.col("source_filename").alias("file"), start.alias("start"), end.alias("end"), F.explode(F.sequence(stretch(start), stretch(end))).alias("stretch"))
+    wanted = of.select("file", "stretch", F.greatest("start", F.col("stretch") * STRETCH).alias("start"), F.least("end", F.col("stretch") * STRETCH + (STRETCH - 1)).alias("end"))
+    shown = F.struct(F.col("index").cast("int").alias("index"), F.coalesce("text", F.lit("<missing>")).alias("text"))
+    held = paragraphs.select("file", stretch(F.col("index")).alias("stretch"), shown.alias("p")).groupBy("file", "stretch").agg(F.collect_list("p").alias("held"))
+    both = wanted.join(held.hint("merge"), ["file", "stretch"], "left").withColumn("held", F.filter("held", lambda p: p["index"].between(F.col("start"), F.col("end"))))
+    places = F.sequence("start", "end")
+    absent = F.when(F.col("held").isNull(), places).otherwise(F.array_except(places, F.col("held.index")))
+    every = F.concat(F.coalesce("held", F.array().cast(both.schema["held"].dataType)), F.transform(absent, lambda i: F.struct(i.alias("index"), F.lit("<missing>").alias("text"))))
+    return both.select("file", F.inline(every))
 
 
 def preview(rows: DataFrame, most: int, *order: str) -> tuple[list, int]:
