@@ -79,10 +79,14 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("concat('list', cast(k % 7 as string)) as file", "cast(cast(floor(k / 7) as bigint) * 100 + n as int) as index", "text", "style")
 
 
+def _recorded(lines: DataFrame) -> DataFrame:
+    paragraph = F.struct(F.col("n").cast("int").alias("index"), "text", F.col("style").cast("string").alias("style"))
+    return lines.groupBy("k").agg(F.sort_array(F.collect_list(paragraph)).cast(f"array<{PARAGRAPH}>").alias("raw_paragraphs"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each part, its lines as paragraphs."""
-    paragraph = F.struct(F.col("n").cast("int").alias("index"), "text", F.col("style").cast("string").alias("style"))
-    return lines(spark, sf_dir).groupBy("k").agg(F.sort_array(F.collect_list(paragraph)).cast(f"array<{PARAGRAPH}>").alias("raw_paragraphs")).withColumn("vendor_category", F.when(F.col("k") % 5 == 0, F.lit("Stock")))
+    return _recorded(lines(spark, sf_dir)).withColumn("vendor_category", F.when(F.col("k") % 5 == 0, F.lit("Stock")))
 
 
 #: Cells of a sheet: kind, text and number by heading; every kind of price occurs.
@@ -179,6 +183,14 @@ def _zipped(members: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
+#: Parts whose files a task makes, and decodes: a small table becomes many files.
+FILES = 4096
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    return -(-table(spark, sf_dir, "part").count() // FILES) or 1
+
+
 def _files(rows: DataFrame, path: str, content: Callable[[dict], bytes]) -> DataFrame:
     """path and content of one file for each row."""
 
@@ -200,7 +212,8 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         body = "".join(f"<w:p>{style(p['style'])}{run(p['text'])}</w:p>" for p in r["raw_paragraphs"])
         return _zipped({"word/document.xml": f'<w:document xmlns:w="urn:w"><w:body>{body}</w:body></w:document>', "word/other.xml": "<other/>"})
 
-    return _files(records(spark, sf_dir).select("k", "raw_paragraphs"), "k", content)
+    dealt = lines(spark, sf_dir).repartition(_tasks(spark, sf_dir), "k")
+    return _files(_recorded(dealt).select("k", "raw_paragraphs"), "k", content)
 
 
 def mods_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +230,7 @@ def mods_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f'<r xmlns="urn:m">{"".join(map(record, r["records"]))}</r>'.encode()
 
     rows = spark.sql(MODS, part=table(spark, sf_dir, "part"))
-    grouped = rows.groupBy("response").agg(F.sort_array(F.collect_list(F.struct("k", "record_id", "title", "subtitle", "creator", "isbn"))).alias("records"))
+    grouped = rows.repartition(_tasks(spark, sf_dir), "response").groupBy("response").agg(F.sort_array(F.collect_list(F.struct("k", "record_id", "title", "subtitle", "creator", "isbn"))).alias("records"))
     return _files(grouped, "response", content)
 
 
@@ -237,7 +250,8 @@ def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
             "xl/worksheets/s1.xml": sheet(stock), "xl/worksheets/s2.xml": sheet(days),
         })
 
-    return _files(spark.sql(BOOKS, part=table(spark, sf_dir, "part")), "k", content)
+    rows = spark.sql(BOOKS, part=table(spark, sf_dir, "part"))
+    return _files(rows.repartition(_tasks(spark, sf_dir), "k"), "k", content)
 
 
 CATALOG = f"select 'parts' as source, cast(p_partkey as string) as record_id, p_name as title, p_brand as creator, {ISBN} as isbn from {{part}}"

@@ -13,6 +13,7 @@ import pytest
 
 from quillmill.operators import spreadsheet
 from quillmill.operators.row_offers import parse_rows
+from quillmill.plans import derived
 from quillmill.plans.imports import process
 from quillmill.sources import csv_files, decode, export, offer_files, readers
 from quillmill.streaming import file_drop
@@ -389,3 +390,42 @@ def test_csv_records(spark, tmp_path, monkeypatch):
         csv_files.read_csv(spark, str(tmp_path / "nowhere"))
     (tmp_path / "none").mkdir()
     assert csv_files.read_csv(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_an_archive_is_opened_once(monkeypatch):
+    opened, real = [], zipfile.ZipFile
+    book = sheet_book("<row r='1'><c r='A1'><v>1</v></c></row>")
+    want = list(decode.xlsx_rows(book))
+    monkeypatch.setattr(decode.zipfile, "ZipFile", lambda *a: opened.append(1) or real(*a))
+    assert list(decode.xlsx_rows(book)) == want and len(opened) == 1
+    monkeypatch.setattr(decode, "SMALL", 0)  # by readers
+    assert list(decode.xlsx_rows(book)) == want and len(opened) == 2
+
+
+def test_small_members_are_what_readers_give(monkeypatch):
+    for kind in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", kind) as z:
+            z.writestr("a.xml", "é" * 500)
+            z.writestr("ü.xml", "x")
+            z.writestr("none.xml", "")
+        good = b"before" + out.getvalue()
+        z = decode.opened(good, "broken")
+        assert [decode.member(z, n, "none", "broken") for n in z.namelist()] == [b"".join(decode.member_pieces(z, n, "none", "broken")) for n in z.namelist()] == [("é" * 500).encode(), b"x", b""]
+        size = z.getinfo("a.xml").compress_size
+        for at in range(6, 6 + 35 + size, 1 if size < 100 else 37):
+            bad = good[:at] + bytes([good[at] ^ 0x55]) + good[at + 1 :]
+            z, got = decode.opened(bad, "broken"), []
+            for most in (1 << 14, 0):
+                monkeypatch.setattr(decode, "SMALL", most)
+                try:
+                    got.append(decode.member(z, "a.xml", "none", "broken"))
+                except decode.DecodeError as e:
+                    got.append((e.reason, e.detail))
+            assert got[0] == got[1]
+
+
+def test_files_of_a_small_table_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(derived, "FILES", 50)
+    for made in (derived.workbooks, derived.docx_files, derived.mods_responses):
+        assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
