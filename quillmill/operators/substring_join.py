@@ -7,6 +7,9 @@ places have, as a sample of the texts tells (what is found doesn't depend on it)
 value could begin a few places before it: places at which the value's first characters, as many as all values of the class
 have, don't stand are passed over. Both questions are answered in the task that has the text, by bitmaps of a bounded size; what is left
 is joined by equality of the first characters' hash, and verified in the stretch of text that comes with it.
+
+Pairs grow with the product of both tables, as short values lie in most texts. ``counted`` makes none: where a value's first characters stand, the
+task looks for whole values, by a third bitmap; it tells each stretch that may be one once a text, and they are counted before anything is exchanged.
 """
 
 from __future__ import annotations
@@ -15,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.shared import written
+from ..sources.shared import bound_batches, written
 
 #: Bits of a bitmap; characters that are looked at together; rows of a batch.
 BITS, CHUNK, ROWS = 1 << 27, 1 << 20, 1 << 16
@@ -143,7 +146,7 @@ def _bitmap(keys: DataFrame, column: str):
 
 
 def _keys(own: DataFrame) -> DataFrame:
-    """Every mark of every value (value): size, h, its place o, and the hash of the value's first characters (head)."""
+    """Every mark of every value (value): size, h, its place o, and the hashes of the value's first characters (head) and of all (whole)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,10 +158,11 @@ def _keys(own: DataFrame) -> DataFrame:
                     at, h = part.marks(size, sizes == size)
                     piece = part.piece(at)
                     head = part.hashes(part.begin[piece], least_length(size))
-                    columns = [batch.column(0).take(pa.array(part.row[piece])), pa.array(np.full(len(at), size, np.int32)), pa.array(h.view(np.int64)), pa.array(at - part.begin[piece]), pa.array(head.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["value", "size", "h", "o", "head"])
+                    whole = part.hashes(part.begin[piece], part.end[piece] - part.begin[piece])
+                    columns = [batch.column(0).take(pa.array(part.row[piece])), pa.array(np.full(len(at), size, np.int32)), pa.array(h.view(np.int64)), pa.array(at - part.begin[piece]), pa.array(head.view(np.int64)), pa.array(whole.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["value", "size", "h", "o", "head", "whole"])
 
-    return own.mapInArrow(run, "value string, size int, h long, o long, head long")
+    return own.mapInArrow(run, "value string, size int, h long, o long, head long, whole long")
 
 
 def _counts(texts: DataFrame, sizes: list[int], marks) -> DataFrame:
@@ -175,6 +179,19 @@ def _counts(texts: DataFrame, sizes: list[int], marks) -> DataFrame:
     return texts.mapInArrow(run, "size int, h long, places long").groupBy("size", "h").agg(F.sum("places").alias("places"))
 
 
+def _places(part: Texts, size: int, offsets: list[int], marks, heads) -> np.ndarray:
+    """Where first characters of values of a class stand, before a mark of theirs."""
+    at, h = part.marks(size)
+    at = at[_has(marks, h)]
+    piece, need = part.piece(at), least_length(size)
+    places = []
+    for o in offsets:
+        begin = at - o
+        begin = begin[(begin >= part.begin[piece]) & (begin + need <= part.end[piece])]
+        places.append(begin[_has(heads, part.hashes(begin, need))])
+    return np.unique(np.concatenate(places))
+
+
 def _begun(held: DataFrame, offsets: dict[int, list[int]], marks, heads) -> DataFrame:
     """Where values may begin in texts (text, source_id): source_id, size, head, and as much text as a value may have (piece)."""
     schema = StructType().add("source_id", held.schema["source_id"].dataType).add("size", "integer").add("head", "long").add("piece", "string")
@@ -184,17 +201,9 @@ def _begun(held: DataFrame, offsets: dict[int, list[int]], marks, heads) -> Data
         for batch in batches:
             for part in together(batch.column(0).to_pylist(), longest(sizes[-1])):
                 for size in sizes:
-                    at, h = part.marks(size)
-                    at = at[_has(marks, h)]
-                    piece, need = part.piece(at), least_length(size)
-                    places = []
-                    for o in offsets[size]:
-                        begin = at - o
-                        begin = begin[(begin >= part.begin[piece]) & (begin + need <= part.end[piece])]
-                        places.append(begin[_has(heads, part.hashes(begin, need))])
-                    begin = np.unique(np.concatenate(places))
+                    begin = _places(part, size, offsets[size], marks, heads)
                     piece = part.piece(begin)
-                    row, head, end = part.row[piece], part.hashes(begin, need).view(np.int64), np.minimum(begin + longest(size), part.end[piece])
+                    row, head, end = part.row[piece], part.hashes(begin, least_length(size)).view(np.int64), np.minimum(begin + longest(size), part.end[piece])
                     for k in range(0, len(begin), ROWS):
                         some = slice(k, k + ROWS)
                         texts = [part.text[a:z] for a, z in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
@@ -205,25 +214,87 @@ def _begun(held: DataFrame, offsets: dict[int, list[int]], marks, heads) -> Data
     return held.mapInArrow(run, schema)
 
 
+def _told(held: DataFrame, offsets: dict[int, list[int]], lengths: dict[int, list[int]], marks, heads, wholes) -> DataFrame:
+    """Stretches of texts (text, source_id) that are values, but for hashes that are equal by chance: source_id, value, each once a row."""
+    schema = StructType().add("source_id", held.schema["source_id"].dataType).add("value", "string")
+    sizes = sorted(offsets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last: set[tuple[int, str]] = set()  # what the text that ended the part before has told, as it may go on
+            for part in together(batch.column(0).to_pylist(), longest(sizes[-1])):
+                told: dict[tuple[int, str], None] = {}
+                for size in sizes:
+                    begin = _places(part, size, offsets[size], marks, heads)
+                    piece = part.piece(begin)
+                    for n in lengths[size]:
+                        some = np.flatnonzero(begin + n <= part.end[piece])
+                        some = some[_has(wholes, part.hashes(begin[some], n))]
+                        told.update(dict.fromkeys(zip(part.row[piece[some]].tolist(), (part.text[a : a + n] for a in begin[some].tolist()), strict=True)))
+                new = [x for x in told if x not in last] if last else list(told)
+                end = int(part.row[-1])
+                last = {x for x in (*last, *new) if x[0] == end}
+                for k in range(0, len(new), ROWS):
+                    rows, texts = zip(*new[k : k + ROWS], strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows)), pa.array(texts, pa.string())], names=schema.names)
+
+    return held.mapInArrow(run, schema)
+
+
+def _chosen(values: DataFrame, held: DataFrame) -> tuple[DataFrame, dict[int, list[int]]]:
+    """Each value with its class, the mark under which it is looked for and its hashes; places of these marks by class."""
+    bound_batches(values.sparkSession)
+    keys = written(_keys(values.where("value <> ''").select("value").distinct()))
+    sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())  # a few lengths
+    if not sizes:
+        return keys, {}
+    some = held.where(F.pmod(F.xxhash64("text"), F.lit(max(1, held.count() // SAMPLE))) == 0).select("text")
+    counts = _counts(some, sizes, _bitmap(keys, "h"))
+    rarest = keys.join(counts, ["size", "h"], "left").groupBy("value").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "size", "h", "o", "head", "whole")).alias("m"))
+    chosen = written(rarest.select("value", "m.size", "m.h", "m.o", "m.head", "m.whole"))
+    return chosen, _by_size(chosen, F.col("o"))
+
+
+def _by_size(chosen: DataFrame, number: Column) -> dict[int, list[int]]:
+    """The numbers that values of a class have: at most as many as the longest values have characters."""
+    found: dict[int, list[int]] = {}
+    for size, n in chosen.select("size", number).distinct().collect():
+        found.setdefault(size, []).append(n)
+    return found
+
+
 def contained(values: DataFrame, sources: DataFrame) -> DataFrame:
     """(value, source_id), each pair once: a text of ``values`` (value) lies within a text of ``sources`` (source_id, text).
 
     Texts are compared as they are. Null and empty values lie nowhere, null texts hold nothing. A repeated source_id holds
     what any of its texts holds. Empty tables give an empty result; other columns aren't read.
     """
-    spark, kind = values.sparkSession, sources.schema["source_id"].dataType
     held = sources.where("text is not null").select("text", "source_id")
-    keys = written(_keys(values.where("value <> ''").select("value").distinct()))
-    sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())  # a few lengths
-    if not sizes:
-        return spark.createDataFrame([], StructType().add("value", "string").add("source_id", kind))
-    some = held.where(F.pmod(F.xxhash64("text"), F.lit(max(1, held.count() // SAMPLE))) == 0).select("text")
-    counts = _counts(some, sizes, _bitmap(keys, "h"))
-    rarest = keys.join(counts, ["size", "h"], "left").groupBy("value").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "size", "h", "o", "head")).alias("m"))
-    chosen = written(rarest.select("value", "m.size", "m.h", "m.o", "m.head"))
-    offsets: dict[int, list[int]] = {}
-    for size, o in chosen.select("size", "o").distinct().collect():  # at most as many as the longest values have characters
-        offsets.setdefault(size, []).append(o)
+    chosen, offsets = _chosen(values, held)
+    if not offsets:
+        return values.sparkSession.createDataFrame([], StructType().add("value", "string").add("source_id", held.schema["source_id"].dataType))
     begun = _begun(held, offsets, _bitmap(chosen, "h"), _bitmap(chosen, "head"))
     met = chosen.select("value", "size", "head").join(begun, ["size", "head"])
     return met.where(F.startswith("piece", "value")).select("value", "source_id").distinct()
+
+
+def counted(values: DataFrame, sources: DataFrame) -> DataFrame:
+    """value, records, first: the number of pairs that ``contained`` has of a value, and their least source_id, without the pairs.
+
+    Values that lie nowhere have no row. Only ids that repeat go by pairs: one may hold a value in several of its texts.
+    """
+    held = sources.where("text is not null").select("text", "source_id")
+    again = written(held.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("source_id").alias("again")))
+    repeated, some = F.col("source_id").eqNullSafe(F.col("again")), not again.isEmpty()
+    single = held.join(again, repeated, "left_anti") if some else held
+    chosen, offsets = _chosen(values, single)
+    if offsets:
+        lengths = _by_size(chosen, F.length("value"))
+        told = _told(single, offsets, lengths, _bitmap(chosen, "h"), _bitmap(chosen, "head"), _bitmap(chosen, "whole"))
+    else:
+        told = values.sparkSession.createDataFrame([], StructType().add("source_id", held.schema["source_id"].dataType).add("value", "string"))
+    sums = told.groupBy("value").agg(F.count(F.lit(1)).alias("records"), F.min("source_id").alias("first")).join(chosen.select("value"), "value", "left_semi")
+    if not some:
+        return sums
+    pairs = contained(values, held.join(again, repeated, "left_semi")).groupBy("value").agg(F.count(F.lit(1)).alias("records"), F.min("source_id").alias("first"))
+    return sums.unionByName(pairs).groupBy("value").agg(F.sum("records").alias("records"), F.min("first").alias("first"))

@@ -17,7 +17,7 @@ from ..operators.line_offers import offer_candidate, parse_lines, split_title, t
 from ..operators.row_offers import parse_rows
 from ..operators.matching import matched
 from ..operators.segment import segment
-from ..operators.substring_join import contained
+from ..operators.substring_join import counted
 from ..sources import csv_files, export, offer_files, readers
 from ..sources.shared import scratch_path
 from ..types import OFFER, schema
@@ -432,7 +432,7 @@ def grounded_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _results(spark, sf_dir)
     sources = rows.select(F.col("doc_id").alias("source_id"), ws_normalize(F.concat_ws(" ", "source_lines")).alias("text"))
     values = rows.select(F.explode(F.array("title", F.get("notes", F.lit(0)), F.get("descriptions", F.lit(0)))).alias("value")).select(ws_normalize(F.col("value")).alias("value"))
-    return contained(values, sources).groupBy("value").agg(F.count(F.lit(1)).alias("records"), F.min("source_id").alias("first"))
+    return counted(values, sources)
 
 
 _CATALOG = _duck(derived.CATALOG)

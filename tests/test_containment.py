@@ -53,7 +53,13 @@ def test_contained_as_contains(spark, monkeypatch):
     values += [some("ab é", 12) for _ in range(100)]
     want = sorted({(v, i) for v in values if v for i, t in sources if t and v in t}, key=str)
     assert pairs(spark, values, sources) == want and len(want) > 1500
+    counts = lambda which: sorted((tuple(r) for r in substring_join.counted(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(which, "source_id long, text string")).collect()), key=str)
+    tallied = lambda found: sorted(((v, len(own), min((i for i in own if i is not None), default=None)) for v in {v for v, _ in found} for own in [[i for w, i in found if w == v]]), key=str)
+    assert counts(sources) == tallied(want)  # ids repeat
+    once = list({i: (i, t) for i, t in sources}.values())
+    assert counts(once) == tallied({(v, i) for v in values if v for i, t in once if t and v in t})
     monkeypatch.setattr(substring_join, "BITS", 64)  # a full bitmap keeps nothing back
+    assert counts(once) == tallied({(v, i) for v in values if v for i, t in once if t and v in t}) and counts([]) == []
     assert pairs(spark, values[:40], sources) == [p for p in want if p[0] in values[:40]]
     assert pairs(spark, [], sources) == pairs(spark, values, []) == pairs(spark, ["", None], sources) == []
 
@@ -76,3 +82,18 @@ def test_catalogue_index(spark, tmp_path):
     assert c.lookup("city").records.first().title == "İstanbul ẞ"
     empty = CatalogIndex.build(df.limit(0))
     assert empty.search(rows).count() == 0 and index.search(rows.limit(0)).count() == 0
+
+
+def test_long_texts_tell_a_value_once(spark, monkeypatch):
+    """Also where they come in several pieces; and no more rows are exchanged than values."""
+    monkeypatch.setattr(substring_join, "CHUNK", 50)
+    texts = [(k, "ab cd ef gh " * 40) for k in range(30)]
+    held = spark.createDataFrame(texts, "source_id long, text string").select("text", "source_id")
+    values = spark.createDataFrame([("ab cd",), ("h",), (" ef gh ab ",)], "value string")
+    chosen, offsets = substring_join._chosen(values, held)
+    bitmaps = [substring_join._bitmap(chosen, c) for c in ("h", "head", "whole")]
+    # the task's own closure runs here, on one batch
+    monkeypatch.setattr(type(held), "mapInArrow", lambda self, run, schema: run)
+    run = substring_join._told(held, offsets, substring_join._by_size(chosen, substring_join.F.length("value")), *bitmaps)
+    rows = [tuple(r.values()) for b in run(iter(held.toArrow().to_batches())) for r in b.to_pylist()]
+    assert sorted(rows) == sorted((k, v) for k, _ in texts for v in ("ab cd", "h", " ef gh ab "))
