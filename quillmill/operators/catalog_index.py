@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import utrim
-from ..sources.shared import scratch_path
+from ..sources.shared import scratch_path, written
 from .catalog import Answer, TableAdapter
 
 GRAM = 3
+#: Records of a task that tells their stretches; queries up to this number are broadcast, beyond it they are joined by exchange.
+RECORDS, QUERIES = 8192, 1 << 16
 
 
 def haystack() -> Column:
@@ -39,10 +41,14 @@ class CatalogIndex:
 
     @classmethod
     def build(cls, records: DataFrame, path: str | None = None) -> CatalogIndex:
-        """Writes records, stretches and how many records have each. Records may repeat, and lack any field."""
+        """Writes records, stretches and how many records have each. Records may repeat, and lack any field.
+
+        Records are dealt first: a record has a hundred stretches, so a file that is one task's to read is a hundred times that to index.
+        """
         spark = records.sparkSession
         index = cls(spark, path or scratch_path(spark))
-        records.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hay", haystack()).write.parquet(f"{index.path}/records")
+        dealt = records.repartition(-(-records.count() // RECORDS) or 1)
+        dealt.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hay", haystack()).write.parquet(f"{index.path}/records")
         hay = F.col("_hay")
         every = F.concat(F.array(F.lit("")), *(stretches(hay, n) for n in range(1, GRAM + 1)))
         rows = index._table("records").select(F.explode(every).alias("gram"), "_row")
@@ -63,7 +69,8 @@ class CatalogIndex:
         grams = F.when(F.length(needle) <= GRAM, F.array(needle)).otherwise(stretches(needle, GRAM))
         counted = asked.withColumn("gram", F.explode(grams)).join(self._table("counts"), "gram", "left")
         rarest = counted.groupBy("query", "_needle").agg(F.min(F.struct(F.coalesce("records", F.lit(0)).alias("n"), "gram")).alias("m")).where("m.n > 0")
-        rows = rarest.select("query", "_needle", "m.gram").join(self._table("rows"), "gram")
+        sought = written(rarest.select("query", "_needle", "m.gram"))
+        rows = (F.broadcast(sought) if sought.count() <= QUERIES else sought).join(self._table("rows"), "gram")
         return rows.join(self._table("records"), "_row").where((F.length(needle) <= GRAM) | F.contains("_hay", needle)).drop("gram", "_row", "_hay", "_needle")
 
     def adapter(self) -> IndexAdapter:

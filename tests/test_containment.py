@@ -97,3 +97,20 @@ def test_long_texts_tell_a_value_once(spark, monkeypatch):
     run = substring_join._told(held, offsets, substring_join._by_size(chosen, substring_join.F.length("value")), *bitmaps)
     rows = [tuple(r.values()) for b in run(iter(held.toArrow().to_batches())) for r in b.to_pylist()]
     assert sorted(rows) == sorted((k, v) for k, _ in texts for v in ("ab cd", "h", " ef gh ab "))
+
+
+def test_records_are_dealt_before_they_are_indexed(spark, monkeypatch):
+    """However few files they come from; and few queries don't move the index."""
+    from quillmill.operators import catalog_index
+
+    monkeypatch.setattr(catalog_index, "RECORDS", 100)
+    df = spark.range(1000).coalesce(1).selectExpr("'s' as source", "cast(id as string) as record_id", "concat('title ', id) as title", "'by' as creator", "'' as isbn")
+    index = CatalogIndex.build(df)
+    assert len(index._table("records").inputFiles()) == 10
+    asked = spark.createDataFrame([("title 99",), ("7",), ("none",)], "query string")
+    found = index.search(asked)
+    assert "BroadcastExchange" in found._jdf.queryExecution().executedPlan().toString().split("records", 1)[-1]
+    few = sorted((r.query, r.record_id) for r in found.collect())
+    monkeypatch.setattr(catalog_index, "QUERIES", 0)
+    assert sorted((r.query, r.record_id) for r in index.search(asked).collect()) == few
+    assert [i for q, i in few if q == "title 99"] == sorted(["99", *(str(k) for k in range(990, 1000))]) and len(few) == 11 + sum("7" in str(k) for k in range(1000))
