@@ -1,9 +1,9 @@
 """Catalogue search for many queries at once: an inverted index of what records hold, as tables.
 
 A record is found by title, creator and isbn, lower-cased and joined by blanks, as in ``catalog.matches``. The index has a row for each record
-and each of its stretches of three characters, of two and of one, and one for the empty stretch. A query of up to two characters is one of
-these stretches, and the index's rows are its answer. A longer one is looked up by the stretch of three that
-the fewest records have; those records are verified. So no record is compared with a query that it has nothing of.
+and each of its stretches of eight characters, of three, of two and of one, and one for the empty stretch. A query of up to two characters is one of
+these stretches, and the index's rows are its answer. A longer one is looked up by the stretch of three (of eight, if it is as long) that
+the fewest records have; those records are verified. Three digits of a number lie in a fixed share of all records' numbers, so that numbers looked for by these would meet ever more of them. So no record is compared with a query that it has nothing of.
 
 Rows lie in ranges of the stretch, so that a few queries read a few files. Everything is a join by equality: the rows of a
 stretch that a third of all records hold are dealt by AQE like any skewed key.
@@ -18,7 +18,7 @@ from ..functions.text import utrim
 from ..sources.shared import scratch_path, written
 from .catalog import Answer, TableAdapter
 
-GRAM = 3
+GRAM, LONG = 3, 8
 #: Records of a task that tells their stretches; queries up to this number are broadcast, beyond it they are joined by exchange.
 RECORDS, QUERIES = 8192, 1 << 16
 
@@ -50,7 +50,7 @@ class CatalogIndex:
         dealt = records.repartition(-(-records.count() // RECORDS) or 1)
         dealt.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hay", haystack()).write.parquet(f"{index.path}/records")
         hay = F.col("_hay")
-        every = F.concat(F.array(F.lit("")), *(stretches(hay, n) for n in range(1, GRAM + 1)))
+        every = F.concat(F.array(F.lit("")), *(stretches(hay, n) for n in (*range(1, GRAM + 1), LONG)))
         rows = index._table("records").select(F.explode(every).alias("gram"), "_row")
         rows.repartitionByRange("gram", "_row").sortWithinPartitions("gram", "_row").write.parquet(f"{index.path}/rows")
         index._table("rows").groupBy("gram").agg(F.count(F.lit(1)).alias("records")).write.parquet(f"{index.path}/counts")
@@ -66,7 +66,7 @@ class CatalogIndex:
         """
         asked = queries.select("query").where("query is not null").distinct().withColumn("_needle", F.lower(utrim(F.col("query"))))
         needle = F.col("_needle")
-        grams = F.when(F.length(needle) <= GRAM, F.array(needle)).otherwise(stretches(needle, GRAM))
+        grams = F.when(F.length(needle) <= GRAM, F.array(needle)).when(F.length(needle) < LONG, stretches(needle, GRAM)).otherwise(stretches(needle, LONG))
         counted = asked.withColumn("gram", F.explode(grams)).join(self._table("counts"), "gram", "left")
         rarest = counted.groupBy("query", "_needle").agg(F.min(F.struct(F.coalesce("records", F.lit(0)).alias("n"), "gram")).alias("m")).where("m.n > 0")
         sought = written(rarest.select("query", "_needle", "m.gram"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.operators import catalog, substring_join
 from quillmill.operators.catalog_index import CatalogIndex
@@ -114,3 +115,15 @@ def test_records_are_dealt_before_they_are_indexed(spark, monkeypatch):
     monkeypatch.setattr(catalog_index, "QUERIES", 0)
     assert sorted((r.query, r.record_id) for r in index.search(asked).collect()) == few
     assert [i for q, i in few if q == "title 99"] == sorted(["99", *(str(k) for k in range(990, 1000))]) and len(few) == 11 + sum("7" in str(k) for k in range(1000))
+
+
+def test_long_queries_meet_few_records(spark):
+    """A number meets the records that have eight of its digits, not those that have three."""
+    from quillmill.operators import catalog_index
+
+    df = spark.range(3000).selectExpr("'s' as source", "cast(id as string) as record_id", "'title' as title", "'by' as creator", "concat('978', lpad(cast(id * 7919 % 1000003 as string), 9, '0')) as isbn")
+    index = CatalogIndex.build(df)
+    asked = df.where("record_id % 50 = 0").selectExpr("substr(isbn, 4, 9) as query")
+    grams = index._table("rows").where(F.length("gram") == catalog_index.LONG)
+    assert grams.join(asked.select(F.explode(catalog_index.stretches(F.col("query"), 8)).alias("gram")), "gram").count() < 300
+    assert sorted(r.record_id for r in index.search(asked).select("record_id").collect()) == sorted(str(k) for k in range(0, 3000, 50))
